@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe
+from . import piece_bpe, simhash
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op5_piece_bpe": op5_piece_bpe,
+    "op8_simhash": op8_simhash,
 }
