@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe, simhash
+from . import decontaminate, piece_bpe, simhash
 from .common import table
 
 
@@ -24,7 +24,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op5_piece_bpe": op5_piece_bpe,
     "op8_simhash": op8_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
