@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_bpe, simhash
+from . import decontaminate, language_id, piece_bpe, simhash
 from .common import table
 
 
@@ -20,6 +20,12 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.fit_unheld(docs))
+    return found.select("doc_id", (language_id.fold("doc_id") == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
@@ -30,6 +36,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op5_piece_bpe": op5_piece_bpe,
+    "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
