@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, piece_bpe, simhash
+from . import decontaminate, language_id, piece_bpe, sharding, simhash
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
+def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents"), sharding.Tree.even(24))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,5 +42,6 @@ QUERIES = {
     "op5_piece_bpe": op5_piece_bpe,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_hash_tree": op9_hash_tree,
     "op10_decontaminate": op10_decontaminate,
 }
