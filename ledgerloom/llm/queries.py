@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, piece_bpe, sharding, simhash
+from . import decontaminate, language_id, piece_bpe, sharding, simhash, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
@@ -39,6 +43,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_warc": op3_warc,
     "op5_piece_bpe": op5_piece_bpe,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
