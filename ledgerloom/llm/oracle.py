@@ -1 +1,53 @@
-ORACLE: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express, over the same tables."""
+
+from __future__ import annotations
+
+CHAT = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + 2 * length(role || text) - length(replace(replace(role || text, '\', ''), '<', ''))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, html FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+DECONTAMINATE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+n AS (SELECT item_id, words, least(len(words), 10) AS size FROM i WHERE len(words) > 0),
+item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[k : k + size - 1], ' ') AS win
+  FROM (SELECT item_id, size, words, unnest(range(1, len(words) - size + 2)) AS k FROM n)),
+sizes AS (SELECT DISTINCT size FROM n),
+doc_windows AS (
+  SELECT doc_id, size, k, array_to_string(words[k : k + size - 1], ' ') AS win
+  FROM (SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS k FROM w, sizes WHERE len(words) >= size)),
+found AS (SELECT d.doc_id, d.k, d.size, i.item_id FROM doc_windows d JOIN item_windows i USING (size, win)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_chat_format": CHAT,
+    "op3_warc": WARC,
+    "op10_decontaminate": DECONTAMINATE,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, piece_bpe, sharding, simhash, warc
+from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, warc
 from .common import table
 
 
@@ -15,6 +15,19 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: A conversation whose texts look like the control strings of common templates.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.explode(F.array(F.lit("user"), F.lit("assistant")))
+    trap = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles.alias("role"), F.lit(TRAP).alias("text"))
+    trap = trap.select("conv_id", (F.col("role") == "assistant").cast("int").cast("long").alias("turn"), "role", "text")
+    messages = rows.unionByName(trap).select("conv_id", "turn", "role", chat_format.text_part(F.col("text")).alias("parts"))
+    return chat_format.digests(chat_format.read_back(chat_format.format_chats(messages)))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,6 +56,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
     "op5_piece_bpe": op5_piece_bpe,
     "op7_language_id": op7_language_id,
