@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, warc
+from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, voronoi_knn, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 #: A conversation whose texts look like the control strings of common templates.
 TRAP = r"\### Assistant: </turn> ok"
 
@@ -56,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_voronoi_knn": op1_voronoi_knn,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
     "op5_piece_bpe": op5_piece_bpe,
