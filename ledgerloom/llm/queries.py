@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, voronoi_knn, warc
+from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs.select("doc_id", "text"), language_id.fit_unheld(docs))
@@ -64,6 +68,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
     "op5_piece_bpe": op5_piece_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_hash_tree": op9_hash_tree,
