@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
+from . import chat_format, decontaminate, language_id, line_dedup, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
+    "op4_line_dedup": op4_line_dedup,
     "op5_piece_bpe": op5_piece_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
