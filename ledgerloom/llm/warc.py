@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path
+from .common import fresh_path, materialize
 
 LEAST, SEGMENT, CHUNK, PER_FILE = 100, 1 << 16, 1 << 14, 2048
 END = b"\r\n\r\n"
@@ -100,6 +100,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     long = rows.where(F.octet_length("payload") >= least)
     place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     repeated = long.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").select("d", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row"))
+    repeated = materialize(repeated, "repeated")  # so that Spark can split the payloads of one digest
     out = rows.join(repeated, rows["digest"] == repeated["d"], "left")
     again = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
     return out.select("page_id", "url", "payload", "digest", "row", F.when(again, F.col("first_id")).alias("first_id"), F.when(again, F.col("first_row")).alias("first_row"))
@@ -154,107 +155,107 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
 
 # --- reading -----------------------------------------------------------------------------
 
-HEAD = T.StructType(
+PARSED = T.StructType(
     [
         T.StructField("record_id", T.StringType()),
         T.StructField("record_type", T.StringType()),
         T.StructField("url", T.StringType()),
-        T.StructField("stated_digest", T.StringType()),
+        T.StructField("payload", T.BinaryType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_digest", T.StringType()),
         T.StructField("refers_to", T.StringType()),
-        T.StructField("origin_id", T.StringType()),
         T.StructField("segment", T.LongType()),
         T.StructField("total", T.LongType()),
         T.StructField("block", T.BinaryType()),
     ]
 )
+WHOLE = ["record_id", "record_type", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``: head fields and the block as stored."""
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = {"payload": pa.binary(), "block": pa.binary(), "payload_bytes": pa.int64(), "segment": pa.int64(), "total": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for c, n in zip(zip(*rows), names)], names=names)
+
+
+def _decoded(kind: str, stated: str | None, block: bytes, payloads: bool) -> tuple:
+    """(payload, length, digest) of a whole block; a revisit states its length and digest."""
+    head, body = http_parts(block)
+    if kind == "revisit":
+        return None, int(head["content-length"]), stated
+    digest = hashlib.sha256(body).hexdigest()
+    if stated not in (None, digest):
+        raise ValueError("a payload differs from its digest")
+    return body if payloads else None, len(body), digest
+
+
+def _members(data: bytes) -> bytes:
+    """A file's bytes; archives may hold one gzip member for each record."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        parts.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(parts)
+
+
+def parsed(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
+    """One row per record: whole ones decoded, segments with their block and their origin as record_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bare = lambda x: x.strip("<>") if x else None
         number = lambda x: int(x) if x else None
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    parts = []
-                    while data:  # archives may hold one gzip member a record
-                        member = zlib.decompressobj(31)
-                        parts.append(member.decompress(data))
-                        data = member.unused_data
-                    data = b"".join(parts)
                 rows, held = [], 0
-                for head, block in parse_records(data):
-                    ident = bare(head["warc-record-id"])
-                    rows.append((ident, head["warc-type"], head.get("warc-target-uri"), (head.get("warc-payload-digest") or "").partition(":")[2] or None, bare(head.get("warc-refers-to")), bare(head.get("warc-segment-origin-id")) or (ident if "warc-segment-number" in head else None), number(head.get("warc-segment-number")), number(head.get("warc-segment-total-length")), block))
-                    held += len(block)
+                for head, block in parse_records(_members(content.as_py())):
+                    kind, stated = head["warc-type"], (head.get("warc-payload-digest") or "").partition(":")[2] or None
+                    ident = bare(head.get("warc-segment-origin-id") or head["warc-record-id"])
+                    about = (ident, kind, head.get("warc-target-uri"))
+                    if segment := number(head.get("warc-segment-number")):
+                        rows.append((*about, None, None, stated, bare(head.get("warc-refers-to")), segment, number(head.get("warc-segment-total-length")), block))
+                        held += len(block)
+                    else:
+                        rows.append((*about, *_decoded(kind, stated, block, payloads), bare(head.get("warc-refers-to")), None, None, None))
+                        held += len(rows[-1][3] or b"")
                     if held > 1 << 22:
-                        yield _batch(rows)
+                        yield _batch(rows, PARSED.names)
                         rows, held = [], 0
                 if rows:
-                    yield _batch(rows)
+                    yield _batch(rows, PARSED.names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, PARSED)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, HEAD)
 
+def reassembled(segments: DataFrame, payloads: bool) -> DataFrame:
+    """Whole records of the rows with a segment number; a group is the segments of one response."""
+    part = F.struct("segment", "total", "block", "record_type", "url", "payload_digest")
+    groups = segments.groupBy("record_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    first, last = F.col("parts")[0], F.element_at("parts", -1)
+    in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.octet_length(p["block"]))
+    whole = F.aggregate("parts", F.lit("").cast("binary"), lambda acc, p: F.concat(acc, p["block"]))
+    bad = F.raise_error(F.concat(F.lit("segments are missing, repeated or of a wrong length: "), "record_id")).cast("binary")
+    blocks = groups.select("record_id", first["record_type"].alias("record_type"), first["url"].alias("url"), first["payload_digest"].alias("stated"), F.when(in_order & F.coalesce(length == last["total"], F.lit(False)), whole).otherwise(bad).alias("block"))
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string()] * 6 + [pa.int64()] * 2 + [pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=HEAD.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ident, kind, url, stated, block = (c[k].as_py() for c in batch.columns)
+                yield _batch([(ident, kind, url, *_decoded(kind, stated, block, payloads), None)], WHOLE)
 
+    return blocks.mapInArrow(run, T.StructType([f for f in PARSED.fields if f.name in WHOLE]))
 
-def reassembled(found: DataFrame) -> DataFrame:
-    """``records`` with continuations joined to their origin: one row per response or revisit.
 
-    Only records with a segment number are shuffled; a group is the segments of one response.
-    """
-    part = F.struct("segment", "total", "block", "record_type", "url", "stated_digest", "refers_to")
-    groups = found.where("segment is not null").groupBy("origin_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    last = F.element_at("parts", -1)
-    whole = F.aggregate("parts", F.lit("").cast("binary"), lambda acc, p: F.concat(acc, p["block"]))
-    in_order = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))
-    joined = groups.select(
-        F.col("origin_id").alias("record_id"),
-        F.col("parts")[0]["record_type"].alias("record_type"),
-        F.col("parts")[0]["url"].alias("url"),
-        F.col("parts")[0]["stated_digest"].alias("stated_digest"),
-        F.col("parts")[0]["refers_to"].alias("refers_to"),
-        F.when(in_order & last["total"].isNotNull(), whole).alias("block"),
-        last["total"].alias("total"),
-    )
-    bad = F.col("block").isNull() | (F.octet_length("block") != F.col("total"))
-    checked = joined.withColumn("block", F.when(bad, F.raise_error(F.concat(F.lit("segments are missing, repeated or of a wrong length: "), "record_id")).cast("binary")).otherwise(F.col("block"))).drop("total")
-    return found.where("segment is null").select(*checked.columns).unionByName(checked)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(record_id, record_type, url, payload, payload_bytes, payload_digest, refers_to) of each response and revisit.
 
-    A revisit has no payload; its length is what its HTTP head states and its digest what its record states.
+    A revisit has no payload; its length is what its HTTP head states and its digest what its record states. Without ``payloads``
+    they are decoded and measured but not returned. Each file is read once; only segments are shuffled.
     """
-    fields = [("record_id", "string"), ("record_type", "string"), ("url", "string"), ("payload", "binary"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("refers_to", "string")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            payloads, sizes, digests = [], [], []
-            for kind, stated, block in zip(*[batch.column(c) for c in ("record_type", "stated_digest", "block")]):
-                head, body = http_parts(block.as_py())
-                if kind.as_py() == "revisit":
-                    payloads.append(None)
-                    sizes.append(int(head["content-length"]))
-                    digests.append(stated.as_py())
-                    continue
-                digest = hashlib.sha256(body).hexdigest()
-                if stated.as_py() not in (None, digest):
-                    raise ValueError("a payload differs from its digest")
-                payloads.append(body)
-                sizes.append(len(body))
-                digests.append(digest)
-            made = {"payload": pa.array(payloads, pa.binary()), "payload_bytes": pa.array(sizes, pa.int64()), "payload_digest": pa.array(digests, pa.string())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n, _ in fields], names=[n for n, _ in fields])
-
-    return reassembled(records(spark, path)).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields))
+    found = materialize(parsed(spark, path, payloads), "records")
+    return found.where("segment is null").select(*WHOLE).unionByName(reassembled(found.where("segment is not null"), payloads))
 
 
 def page_of(ident):
@@ -267,4 +268,4 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write(pages, path, **options)
-    return read(spark, path).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+    return read(spark, path, payloads=False).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
