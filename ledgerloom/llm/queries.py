@@ -9,7 +9,7 @@ from . import chat_format, decontaminate, language_id, line_dedup, piece_bpe, sh
 from .common import table
 
 
-def _piece_model() -> str:
+def piece_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -42,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return piece_bpe.encode_documents(docs, _piece_model(), with_ids=False)
+    return piece_bpe.encode_documents(docs, piece_model(), with_ids=False)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
