@@ -170,18 +170,18 @@ def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE, sample
     n = nodes.count()
     some = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     plan = search_plan(np.array([r.fp for r in some], np.int64).view(np.uint64), n, distance) if some else [(list(range(64)), distance)]
-    held = _keyed(nodes, plan, probing=False)
-    probes = _keyed(nodes, plan, probing=True)
-    size = held.groupBy("part", "value").agg(F.count("*").alias("n"))
-    shared = size.where(F.col("n") >= (1 if any(t for _, t in plan) else 2))
-    shared = materialize(shared, "values")
-    few, many = shared.where(F.col("n") <= dense).drop("n"), shared.where(F.col("n") > dense).drop("n")
+    near = any(t for _, t in plan)  # some values are probed that are not a fingerprint's own
     key = ["part", "value"]
-    own = held.join(few, key).withColumnRenamed("fp", "u")
-    hits = probes.withColumnRenamed("fp", "v").join(few, key).join(own, key)
+    held = _keyed(nodes, plan, probing=False)
+    size = held.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= (1 if near else 2))
+    size = materialize(size, "sizes")  # a join with a table, unlike one with a grouping, can split a value with very many rows
+    held = materialize(held.join(size, key), "held")
+    probes = materialize(_keyed(nodes, plan, probing=True).join(size, key), "probes") if near else held
+    own = held.where(F.col("n") <= dense).select(*key, F.col("fp").alias("u"))
+    hits = probes.where(F.col("n") <= dense).select(*key, F.col("fp").alias("v")).join(own, key)
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    pairs = hits.where((F.col("u") < F.col("v") if not any(t for _, t in plan) else F.col("u") != F.col("v")) & close).select("u", "v")
-    crowd = probes.join(many, key).select("fp").distinct()
+    pairs = hits.where((F.col("u") != F.col("v") if near else F.col("u") < F.col("v")) & close).select("u", "v")
+    crowd = probes.where(F.col("n") > dense).select("fp").unionByName(held.where(F.col("n") > dense).select("fp")).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     if distance == 2:
         listed = crowd.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("z"))
@@ -205,7 +205,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """(doc_id, fingerprint, component_id) per row; component_id is the smallest doc_id reachable over links."""
     fps, rooted = _rooted(docs, id_col, text_col, size, distance, dense)
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialize(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = nodes.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
