@@ -1,4 +1,7 @@
 """Registry of the engine's own queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import scoring
+
+_PARTS = (scoring,)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
