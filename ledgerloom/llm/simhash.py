@@ -7,7 +7,7 @@ partition a threshold t_i (-1: not searched) with sum(t_i + 1) = distance + 1, s
 every link has a partition in which its ends differ in at most t_i bits. Each
 fingerprint probes the values within t_i of its own and the hits are verified.
 
-A partition value shared by more than ``dense`` fingerprints isn't paired up.
+A partition value that more than ``dense`` fingerprints hold or probe isn't paired up.
 Fingerprints that hold or probe such a value instead list the values within one
 bit of themselves (for distance 2): two of them share a listed value exactly if
 they differ in two bits at most, and at most 65 can share one, so each list value
@@ -173,10 +173,14 @@ def links(nodes: DataFrame, distance: int = DISTANCE, dense: int = DENSE, sample
     near = any(t for _, t in plan)  # some values are probed that are not a fingerprint's own
     key = ["part", "value"]
     held = _keyed(nodes, plan, probing=False)
-    size = held.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= (1 if near else 2))
-    size = materialize(size, "sizes")  # a join with a table, unlike one with a grouping, can split a value with very many rows
+    probes = _keyed(nodes, plan, probing=True) if near else held
+    size = held.groupBy(*key).agg(F.count("*").alias("n"))
+    if near:  # fingerprints of one value all probe the values around it: these count as well
+        both = held.select(*key, F.lit(1).alias("h"), F.lit(0).alias("p")).unionByName(probes.select(*key, F.lit(0).alias("h"), F.lit(1).alias("p")))
+        size = both.groupBy(*key).agg(F.sum("h").alias("h"), F.sum("p").alias("p")).where("h > 0 and p > 1").select(*key, F.greatest("h", "p").alias("n"))
+    size = materialize(size.where("n > 1"), "sizes")  # a join with a table, unlike one with a grouping, can split a value with very many rows
     held = materialize(held.join(size, key), "held")
-    probes = materialize(_keyed(nodes, plan, probing=True).join(size, key), "probes") if near else held
+    probes = materialize(probes.join(size, key), "probes") if near else held
     own = held.where(F.col("n") <= dense).select(*key, F.col("fp").alias("u"))
     hits = probes.where(F.col("n") <= dense).select(*key, F.col("fp").alias("v")).join(own, key)
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
