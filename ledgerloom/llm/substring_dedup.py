@@ -13,7 +13,10 @@ kept as a candidate only if its content is repeated; candidates alone are extend
 
 Nothing is grouped but counts and minima, which are combined before each shuffle, and what belongs to
 one document; so content shared by any number of documents is never in one group. Contents
-are compared by 64-bit hashes in the first level and by 128 bits at ``size``.
+are compared by 64-bit hashes in the first level and by 96 bits after it.
+
+A document is known by its id d and a number v, which is 0 as long as ids are unique and else a
+hash of the text: numbers that repeat cost little in a shuffle.
 
 Words are runs of other characters than 0x20 and 0x09-0x0D, unchanged. A window is removed if its word sequence also
 starts earlier: in a smaller doc_id, or earlier in the same document.
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, PIECE, U64, mix, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
 
-SIZE, FIRST = 20, 5
+SIZE, FIRST = 20, 10
 
 
 def levels_of(size: int, first: int) -> list[int]:
@@ -61,162 +64,151 @@ def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-class Words:
-    """Word spans and hashes of a run of documents."""
+class Windows:
+    """All windows of ``size`` words of a run of documents, each with the first-level window that represents it."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = data
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, first: int):
+        self.size = size
         self.starts, self.ends, self.first = word_spans(data, offsets, NOT_SPACE)
         self.hashes = word_hashes(data, self.starts, self.ends)
-
-    def document(self, k: int) -> tuple[int, int]:
-        return int(self.first[k]), int(self.first[k + 1])
-
-
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
+        n = len(self.hashes)
+        document = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.at = np.flatnonzero(document[: n - size + 1] == document[size - 1 :]) if n >= size else np.zeros(0, np.int64)
+        self.document = document[self.at]
+        seeds = window_hashes(self.hashes, first)
+        place = least_of_each(seeds, size - first + 1)[self.at] if len(self.at) else self.at
+        #: One group for each representative: neighbouring windows of a document that share it.
+        new = np.ones(len(self.at), bool)
+        new[1:] = (place[1:] != place[:-1]) | (self.document[1:] != self.document[:-1])
+        self.group = np.cumsum(new) - 1
+        self.seeds, self.seed_document = seeds[place[new]].view(np.int64), self.document[new]
+
+    def candidates(self, singles: pa.Array, *sent: pa.Array) -> np.ndarray:
+        """Mask of the windows whose representative isn't single and whose start wasn't sent back."""
+        once = np.sort(singles.flatten().to_numpy())  # a content that occurs once is of one document
+        alone = once[np.minimum(np.searchsorted(once, self.seeds), len(once) - 1)] == self.seeds if len(once) else np.zeros(len(self.seeds), bool)
+        out = ~alone[self.group]
+        for column in sent:
+            gone = np.zeros(len(self.hashes) + 1, bool)
+            lengths = np.array([len(x) if x.is_valid else 0 for x in column])
+            gone[column.flatten().to_numpy() + np.repeat(self.first[:-1], lengths)] = True
+            out &= ~gone[self.at]
+        return out
+
+    def hashed(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """64 and 32 bits of the first ``length`` words of some windows."""
+        other = mix(self.hashes ^ U64(0x5851F42D4C957F2D))
+        at = self.at[which]
+        return window_hashes(self.hashes, length)[at].view(np.int64), (window_hashes(other, length)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+
+
+def chunks(column: pa.Array, size: int, first: int) -> Iterator[tuple[int, int, Windows, np.ndarray]]:
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets, PIECE):
-        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        body = data[offsets[lo] : offsets[hi]]
+        yield lo, hi, Windows(body, offsets[lo : hi + 1] - offsets[lo], size, first), body
 
 
-def _seeds(words: np.ndarray, size: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the first level, place of each window's representative) of one document with a window."""
-    seeds = window_hashes(words, first)
-    return seeds, least_of_each(seeds, size - first + 1)
+# --- levels -------------------------------------------------------------------------------
 
 
-def _counted(keyed: DataFrame, size: int, first: int) -> DataFrame:
-    """(h, k, n): how often document k represents windows by content h."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, d, v, text), and whether a document and a start fit one number. d and v name a document; null ids are the smallest."""
+    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = named.groupBy("d").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("bytes"))
+    most, least, top, long = ids.agg(F.max("n"), F.min("d"), F.max("d"), F.max("bytes")).first()
+    repeated = (most or 0) > 1
+    v = F.xxhash64(F.col("doc_id").isNull(), "text") if repeated else F.lit(0).cast("long")
+    fits = not repeated and (least is None or least >= 0 and top < 1 << 38 and long < 1 << 25)
+    return named.select("doc_id", "d", v.alias("v"), "text"), fits
+
+
+def _represented(keyed: DataFrame, size: int, first: int) -> DataFrame:
+    """(h, d, v): one row for each place of a document that represents windows by content h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, hi, w in chunks(batch.column(1)):
-                hs, ks, ns = [], [], []
-                for r in range(lo, hi):
-                    a, b = w.document(r - lo)
-                    if b - a < size:
-                        continue
-                    seeds, place = _seeds(w.hashes[a:b], size, first)
-                    used = np.concatenate([place[:1], place[1:][place[1:] != place[:-1]]])
-                    h, n = np.unique(seeds[used], return_counts=True)
-                    hs.append(h.view(np.int64))
-                    ns.append(n)
-                    ks.append(np.full(len(h), keys[r]))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ks, ns)], names=["h", "k", "n"])
-
-    return keyed.select("k", "text").mapInArrow(run, "h bigint, k bigint, n bigint")
-
-
-def _singles(counted: DataFrame) -> DataFrame:
-    """(k, singles): the contents that are represented once in all, by document."""
-    alone = counted.groupBy("h").agg(F.sum("n").alias("n"), F.min("k").alias("k")).where("n = 1")
-    return alone.groupBy("k").agg(F.collect_list("h").alias("singles"))
-
-
-def _candidates(words: np.ndarray, size: int, first: int, singles: np.ndarray | None) -> np.ndarray:
-    """Starts of the windows that may be repeated."""
-    seeds, place = _seeds(words, size, first)
-    if singles is None or not len(singles):
-        return np.arange(len(place))
-    used = np.concatenate([[True], place[1:] != place[:-1]])
-    group = np.cumsum(used) - 1
-    alone = np.isin(seeds[place[used]].view(np.int64), singles)
-    return np.flatnonzero(~alone[group])
-
-
-def _list_of(column: pa.Array, r: int, kind=np.int64) -> np.ndarray | None:
-    x = column[r]
-    return None if not x.is_valid else x.values.to_numpy().astype(kind, copy=False)
-
-
-def _windows(joined_docs: DataFrame, size: int, first: int, length: int, lost: list[str]) -> DataFrame:
-    """(h, g, doc_id, start, k) of each candidate window, hashed over its first ``length`` words."""
-    kind = joined_docs.schema["doc_id"].dataType
+            for lo, _, w, _ in chunks(batch.column(2), size, first):
+                at = pa.array(w.seed_document + lo)
+                yield pa.RecordBatch.from_arrays([pa.array(w.seeds), batch.column(0).take(at), batch.column(1).take(at)], names=["h", "d", "v"])
+
+    return keyed.select("d", "v", "text").mapInArrow(run, "h bigint, d bigint, v bigint")
+
+
+def _singles(represented: DataFrame) -> DataFrame:
+    """(d, v, singles): the contents that are represented once in all, by document."""
+    alone = represented.groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("v").alias("v")).where("n = 1")
+    return alone.groupBy("d", "v").agg(F.collect_list("h").alias("singles"))
+
+
+def _hashed(have: DataFrame, size: int, first: int, length: int, lost: list[str]) -> DataFrame:
+    """(h, g, d, start, v) of each candidate window, hashed over its first ``length`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1).to_numpy()
-            for lo, hi, w in chunks(batch.column(2)):
-                hs, gs, rows, ss = [], [], [], []
-                for r in range(lo, hi):
-                    a, b = w.document(r - lo)
-                    if b - a < size:
-                        continue
-                    x = w.hashes[a:b]
-                    at = _candidates(x, size, first, _list_of(batch.column(3), r))
-                    for c in range(len(lost)):
-                        gone = _list_of(batch.column(4 + c), r)
-                        at = at if gone is None else np.setdiff1d(at, gone, assume_unique=True)
-                    if not len(at):
-                        continue
-                    hs.append(window_hashes(x, length)[at].view(np.int64))
-                    gs.append(window_hashes(mix(x ^ U64(0x5851F42D4C957F2D)), length)[at].view(np.int64))
-                    rows.append(np.full(len(at), r))
-                    ss.append(at.astype(np.int32))
-                if hs:
-                    at = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(gs)), ids.take(pa.array(at)), pa.array(np.concatenate(ss)), pa.array(keys[at])], names=["h", "g", "doc_id", "start", "k"])
-
-    return joined_docs.select("doc_id", "k", "text", "singles", *lost).mapInArrow(run, f"h bigint, g bigint, doc_id {kind.simpleString()}, start int, k bigint")
-
-
-def _firsts(windows: DataFrame) -> DataFrame:
-    """(k, firsts): starts at which a content occurs for the first time, by document."""
-    least = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start", "k")).alias("o"))
-    return least.select("o.k", "o.start").groupBy("k").agg(F.collect_list("start").alias("firsts"))
+            for lo, hi, w, _ in chunks(batch.column("text"), size, first):
+                which = np.flatnonzero(w.candidates(*[batch.column(c).slice(lo, hi - lo) for c in ("singles", *lost)]))
+                h, g = w.hashed(which, length)
+                document = w.document[which]
+                at = pa.array(document + lo)
+                start = (w.at[which] - w.first[document]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column("d").take(at), pa.array(start), batch.column("v").take(at)], names=["h", "g", "d", "start", "v"])
 
+    return have.select("doc_id", "d", "v", "text", "singles", *lost).mapInArrow(run, "h bigint, g int, d bigint, start int, v bigint")
 
-def _alone(windows: DataFrame, name: str) -> DataFrame:
-    """(k, name): starts of the windows whose content occurs once."""
-    once = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("start").alias("start")).where("n = 1")
-    return once.groupBy("k").agg(F.collect_list("start").alias(name))
 
+def _firsts(windows: DataFrame, fits: bool) -> DataFrame:
+    """(d, v, firsts): starts at which a content occurs for the first time, by document.
 
-def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Mask of the words inside the windows."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+    Where a document and a start fit one number, its minimum is taken in a hash map; else that of a struct, by sorting.
+    """
+    if fits:
+        place = F.shiftleft("d", 25).bitwiseOR(F.col("start").cast("long"))
+        least = windows.groupBy("h", "g").agg(F.min(place).alias("o")).select(F.shiftright("o", 25).alias("d"), F.lit(0).cast("long").alias("v"), F.col("o").bitwiseAND((1 << 25) - 1).cast("int").alias("start"))
+    else:
+        least = windows.groupBy("h", "g").agg(F.min(F.struct("d", "start", "v")).alias("o")).select("o.d", "o.v", "o.start")
+    return least.groupBy("d", "v").agg(F.collect_list("start").alias("firsts"))
+
+
+def _alone(windows: DataFrame, name: str) -> DataFrame:
+    """(d, v, name): starts of the windows whose content occurs once."""
+    once = windows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("v").alias("v"), F.min("start").alias("start")).where("n = 1")
+    return once.groupBy("d", "v").agg(F.collect_list("start").alias(name))
 
 
-def dedup(docs: DataFrame, size: int = SIZE, first: int = FIRST, levels: tuple[int, ...] | None = None) -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) of each row."""
-    lengths = list(levels) if levels else levels_of(size, first)
-    source = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    have = source.join(_singles(_counted(source, size, lengths[0])), "k", "left")
+    lengths, key = levels_of(size, first), ["d", "v"]
+    source, fits = _keyed(docs)
+    have = source.join(_singles(_represented(source, size, first)), key, "left")
     lost: list[str] = []
     for length in lengths[1:-1]:
         name = f"lost_{length}"
-        have = have.join(_alone(_windows(have, size, lengths[0], length, lost), name), "k", "left")
+        have = have.join(_alone(_hashed(have, size, first, length, lost), name), key, "left")
         lost.append(name)
-    have = have.join(_firsts(_windows(have, size, lengths[0], size, lost)), "k", "left")
-    start = lengths[0]
+    have = have.join(_firsts(_hashed(have, size, first, size, lost), fits), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w in chunks(batch.column(1)):
-                counts, removed, kept = [], [], []
-                body = w.data.tobytes()
-                for r in range(lo, hi):
-                    a, b = w.document(r - lo)
-                    keep = np.ones(b - a, bool)
-                    if b - a >= size:
-                        at = _candidates(w.hashes[a:b], size, start, _list_of(batch.column(2), r))
-                        for c in range(3, batch.num_columns):
-                            gone = _list_of(batch.column(c), r)
-                            at = at if gone is None else np.setdiff1d(at, gone, assume_unique=True)
-                        keep = ~covered(b - a, at, size)
-                    counts.append(b - a)
-                    removed.append(int(b - a - keep.sum()))
-                    where = np.flatnonzero(keep) + a
-                    kept.append(b" ".join([body[s:e] for s, e in zip(w.starts[where].tolist(), w.ends[where].tolist())]).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            for lo, hi, w, body in chunks(batch.column("text"), size, first):
+                again = w.candidates(*[batch.column(c).slice(lo, hi - lo) for c in ("singles", *lost, "firsts")])
+                edge = np.zeros(len(w.hashes) + 1, np.int64)
+                edge[w.at[again]] += 1  # starts and ends are distinct: one window each
+                edge[w.at[again] + size] -= 1
+                keep = np.cumsum(edge[:-1]) == 0
+                words = np.diff(w.first)
+                total = np.concatenate([[0], np.cumsum(~keep)])
+                removed = total[w.first[1:]] - total[w.first[:-1]]
+                text, kept = body.tobytes(), []
+                where = np.flatnonzero(keep)
+                cuts = np.searchsorted(where, w.first)
+                starts, ends = w.starts[where].tolist(), w.ends[where].tolist()
+                for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                    kept.append(b" ".join([text[s:e] for s, e in zip(starts[a:b], ends[a:b])]))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(words), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return have.select("doc_id", "text", "singles", *lost, "firsts").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return have.select("doc_id", "d", "v", "text", "singles", *lost, "firsts").mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
