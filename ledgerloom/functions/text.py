@@ -11,6 +11,11 @@ KEYWORDS = ["break", "char", "continue", "do", "else", "for", "goto", "if", "int
 TOKEN = r"([A-Za-z_]\w*|\d+|<=|>=|==|!=|&&|\|\||\+\+|--|[-+*/%&|^]=|[^\s\w])"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body's own lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -25,17 +30,17 @@ def tokens(text: Column) -> Column:
 
 def renamed_function(found: Column) -> Column:
     """The first name that an opening parenthesis follows becomes FUNC."""
-    name = lambda i: F.try_element_at(found, (i + 2).cast("int")) == "("
-    at = F.array_position(F.transform(found, lambda t, i: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS) & F.coalesce(name(i), F.lit(False))), True)
-    return F.transform(found, lambda t, i: F.when(i + 1 == at, F.lit("FUNC")).otherwise(t))
+    plain = lambda t: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS)
+    called = lambda ts: F.zip_with(ts, F.concat(F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(0))), F.array(F.lit(""))), lambda t, after: plain(t) & (after == "("))
+    return let(found, lambda ts: let(F.array_position(called(ts), True), lambda at: F.transform(ts, lambda t, i: F.when(i + 1 == at, F.lit("FUNC")).otherwise(t))))
 
 
 def alpha(found: Column) -> Column:
     """Names become v0, v1, ... by first use; the input oracle becomes NONDET; keywords stay."""
     plain = lambda t: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS) & ~t.rlike(ORACLE_NAMES)
-    own = F.array_distinct(F.filter(found, plain))
-    index = F.map_from_arrays(own, F.transform(own, lambda t, i: F.concat(F.lit("v"), i.cast("string"))))
-    return F.transform(found, lambda t: F.when(t.rlike(ORACLE_NAMES), F.lit("NONDET")).otherwise(F.coalesce(F.try_element_at(index, t), t)))
+    own = lambda ts: F.array_distinct(F.filter(ts, plain))
+    renamed = lambda t, names: F.when(F.array_position(names, t) > 0, F.concat(F.lit("v"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t)
+    return let(found, lambda ts: let(own(ts), lambda names: F.transform(ts, lambda t: F.when(t.rlike(ORACLE_NAMES), F.lit("NONDET")).otherwise(renamed(t, names)))))
 
 
 def abstract_numbers(found: Column) -> Column:
@@ -52,7 +57,9 @@ def control_skeleton(text: Column, operators: bool = False) -> Column:
     """Control words and braces in order; what stands between is STMT once."""
     keep = r"^(while|for|if|else|break|continue|return|goto|[{}])$" if not operators else r"^(while|for|if|else|break|continue|return|goto|[{}]|<=|>=|==|!=|&&|\|\||[-+*/%<>])$"
     marked = F.transform(tokens(text), lambda t: F.when(t.rlike(keep), t).otherwise(F.lit("STMT")))
-    return F.array_join(F.filter(F.transform(marked, lambda t, i: F.when((i > 0) & (t == "STMT") & (F.try_element_at(marked, F.greatest(i, F.lit(1)).cast("int")) == "STMT"), F.lit("")).otherwise(t)), lambda t: t != ""), " ")
+    before = lambda ts: F.slice(F.concat(F.array(F.lit("")), ts), 1, F.size(ts))
+    joined = lambda ts: F.filter(F.zip_with(ts, before(ts), lambda t, b: F.when((t == "STMT") & (b == "STMT"), F.lit("")).otherwise(t)), lambda t: t != "")
+    return F.array_join(let(marked, joined), " ")
 
 
 def signature(found: Column) -> Column:
