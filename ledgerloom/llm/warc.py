@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,31 +91,38 @@ def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, url, payload, digest, row, first_id, first_row): first_* name the response that a revisit repeats, else null.
+    """(page_id, url, payload, digest, role, first_id, row): role is single, first (others repeat it) or again (it repeats first_id).
 
     Only payloads that occur more than once are on the joined side; a payload shared by very many pages is a
-    skewed join key on the streamed side, which Spark splits.
+    skewed join key on the streamed side, which Spark splits. ``row`` only makes record ids differ.
     """
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("row", F.monotonically_increasing_id())
-    long = rows.where(F.octet_length("payload") >= least)
-    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    repeated = long.groupBy(F.col("digest").alias("d")).agg(F.count("*").alias("n"), F.min(place).alias("f")).where("n > 1").select("d", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row"))
-    repeated = materialize(repeated, "repeated")  # so that Spark can split the payloads of one digest
-    out = rows.join(repeated, rows["digest"] == repeated["d"], "left")
-    again = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
-    return out.select("page_id", "url", "payload", "digest", "row", F.when(again, F.col("first_id")).alias("first_id"), F.when(again, F.col("first_row")).alias("first_row"))
-
-
-def _ident(page, row) -> str:
-    return f"urn:page:{'null' if page is None else page}:{row}"
-
-
-def page_records(page, url: str, payload: str, digest: str, row: int, first, first_row, segment: int) -> Iterator[bytes]:
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
+    each = rows.where(F.octet_length("payload") >= least).groupBy(F.col("digest").alias("d"), F.col("page_id").isNull().alias("none"), "page_id").agg(F.count("*").alias("n"))
+    repeated = each.groupBy("d").agg(F.sum("n").alias("total"), F.min(F.struct("none", "page_id", "n")).alias("f")).where("total > 1")
+    # Written first, so that Spark can split the payloads of one digest.
+    repeated = materialize(repeated.select("d", F.col("f.page_id").alias("first_id"), F.col("f.n").alias("firsts")), "repeated")
+    out = rows.join(repeated, rows["digest"] == repeated["d"], "left").withColumn("row", F.monotonically_increasing_id())
+    is_first = F.col("d").isNotNull() & F.col("page_id").eqNullSafe(F.col("first_id"))
+    out = out.withColumn("role", F.when(F.col("d").isNull(), F.lit("single")).when(is_first, F.lit("first")).otherwise(F.lit("again")))
+    if not repeated.where("firsts > 1").isEmpty():  # whole rows repeat: one of them is the response
+        tied = (F.col("role") == "first") & (F.col("firsts") > 1)
+        one = F.row_number().over(Window.partitionBy("digest").orderBy("row"))
+        ties = out.where(tied).withColumn("role", F.when(one == 1, F.lit("first")).otherwise(F.lit("again")))
+        out = out.where(~tied).unionByName(ties)
+    return out.select("page_id", "url", "payload", "digest", "role", "first_id", "row")
+
+
+def _ident(page, rest: str) -> str:
+    return f"urn:page:{'null' if page is None else page}:{rest}"
+
+
+def page_records(page, url: str, payload: str, digest: str, role: str, first, row: int, segment: int) -> Iterator[bytes]:
     body = payload.encode()
-    ident, about = _ident(page, row), (("WARC-Target-URI", url.replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"))
-    if first_row is not None:
+    ident = _ident(page, digest if role == "first" else str(row))
+    about = (("WARC-Target-URI", url.replace("\r", "").replace("\n", "")), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response"))
+    if role == "again":
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body)
-        yield record("revisit", ident, head, *about, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_ident(first, first_row)}>"))
+        yield record("revisit", ident, head, *about, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_ident(first, digest)}>"))
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(body)
     if len(block) <= segment:
