@@ -96,7 +96,7 @@ def loop(source):
 
 def requirement(source: Column) -> Column:
     """The conditions of all requires clauses, joined by &&; null without one."""
-    found = F.filter(F.transform(F.regexp_extract_all(source, F.lit(r"\brequires\s+([^;]+);"), 1), F.trim), lambda c: c != "")
+    found = F.filter(F.transform(F.regexp_extract_all(source, F.lit(r"\brequires\s+([^;]+);"), 1), lambda c: F.trim(c)), lambda c: c != "")
     return F.when(F.size(found) > 0, F.array_join(found, " && "))
 
 

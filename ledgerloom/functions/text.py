@@ -1,9 +1,12 @@
-"""Text columns: token signatures, redaction, prompts, chat content and log fields, all as built-in functions."""
+"""Text columns: token signatures, redaction, prompts, chat content and log fields; built-in functions but for one renaming."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of the input oracle, and words that are never renamed in a signature.
 ORACLE_NAMES = r"^(unknown\w*|__VERIFIER_nondet_\w+)$"
@@ -35,12 +38,21 @@ def renamed_function(found: Column) -> Column:
     return let(found, lambda ts: let(F.array_position(called(ts), True), lambda at: F.transform(ts, lambda t, i: F.when(i + 1 == at, F.lit("FUNC")).otherwise(t))))
 
 
-def alpha(found: Column) -> Column:
-    """Names become v0, v1, ... by first use; the input oracle becomes NONDET; keywords stay."""
-    plain = lambda t: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS) & ~t.rlike(ORACLE_NAMES)
-    own = lambda ts: F.array_distinct(F.filter(ts, plain))
-    renamed = lambda t, names: F.when(F.array_position(names, t) > 0, F.concat(F.lit("v"), (F.array_position(names, t) - 1).cast("string"))).otherwise(t)
-    return let(found, lambda ts: let(own(ts), lambda names: F.transform(ts, lambda t: F.when(t.rlike(ORACLE_NAMES), F.lit("NONDET")).otherwise(renamed(t, names)))))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def alpha(found):
+    """Names become v0, v1, ... by first use; the input oracle becomes NONDET; keywords stay.
+
+    A running numbering over a text of any length needs a table of names, which array functions search anew for every token.
+    """
+    keep, oracle, name = frozenset(KEYWORDS), re.compile(ORACLE_NAMES), re.compile(r"[A-Za-z_]")
+
+    def one(tokens):
+        if tokens is None:
+            return None
+        seen: dict[str, str] = {}
+        return [t if t in keep or not name.match(t) else "NONDET" if oracle.match(t) else seen.setdefault(t, f"v{len(seen)}") for t in tokens]
+
+    return found.map(one)
 
 
 def abstract_numbers(found: Column) -> Column:

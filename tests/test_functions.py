@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import clauses as C
+from ledgerloom.functions import programs as P
 from ledgerloom.functions import text as X
 
 
@@ -74,3 +75,32 @@ def test_small_text_functions(spark):
     r = df.first()
     assert r.clock == 3723.5 and r.redacted == "key [redacted] and [redacted]" and r.bare == "x"
     assert r.program == "int x;" and r.none is None and r.missing == "—" and r.state == "; Pre: a == 0 && n == 65"
+
+
+SOURCE = "/*@ requires n >= 0;\n    ensures \\result > 1; */\nint f(int n) {\n  int x = 0; // assert(no)\n  while (x < n) {\n    x = x + 1; int t = x;\n  }\n  assert(x == n);\n  __VERIFIER_assert(x\n > 0);\n  ERROR: return x;\n}"
+
+
+def test_masking_keeps_lines_and_contract():
+    hidden = P.mask_target(SOURCE)
+    assert hidden.count("\n") == SOURCE.count("\n") and "requires n >= 0;" in hidden and "ensures" not in hidden
+    assert hidden.count("((void)0);") == 2 and "assert" not in hidden and "LABEL:" in hidden
+    assert P.mask_target(hidden) == hidden
+
+
+def test_loops():
+    found = P.loop_of(SOURCE)
+    assert found["guard"] == "x < n" and "x = x + 1" in found["body"] and SOURCE[found["start"] :].startswith("while")
+    errors = ["for (;;) {}", "while (a) {} while (b) {}", "int x;", "while (x) x--;", "while (x) { "]
+    assert [P.loop_of(e)["error"] for e in errors] == ["for loop", "several loops", "no loop", "loop without braces", "loop not closed"]
+
+
+def test_program_columns(spark):
+    df = spark.createDataFrame([(SOURCE,)], "s string")
+    r = df.select(P.parameters(F.col("s")).alias("p"), P.requirement(F.col("s")).alias("r"), P.target(F.col("s")).alias("t"), P.modified(P.loop("s")["body"]).alias("m"), P.hidden_failure(F.col("s"), P.masked("s")).alias("f"), P.annotated(F.col("s"), P.loop("s")["start"], F.array(F.lit("x >= 0"))).alias("a")).first()
+    assert r.p == ["n"] and r.r == "n >= 0" and r.m == ["x"] and r.f is None
+    assert "/*@\n  loop invariant x >= 0;\n*/\nwhile (x < n)" in r.a
+
+
+def test_powers(spark):
+    r = spark.range(1).select(P.fixed_powers(F.lit("power(power(x, 2), 2) == y")).alias("a"), P.fixed_powers(F.lit("power(x, 21) > 0")).alias("b")).first()
+    assert r.a == "((x * x) * (x * x)) == y" and r.b == "power(x, 21) > 0"
