@@ -12,8 +12,8 @@ under ``ENOUGH`` such texts, and the most that any limit can be; ``nearest`` is
 two of the languages stay.
 
 Document frequencies cover all labelled rows. Centroids are fitted on a bounded sample of at
-most ``per_language`` labelled rows of each language, taken by a hash of their ids. Texts of
-more than one batch's size are read whole.
+most ``per_language`` labelled rows of each language and ``MOST_SAMPLE`` in all, taken by a hash of
+their ids; their texts are read whole, and the driver gets their vectors.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0 and are rejected;
 rows with a null lang teach nothing; with no labelled row all predictions are ``und``; ties go to the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, row_chunks, text_bytes
 
-DIMS, PER_LANGUAGE, CENTROIDS, SLACK, NEAREST, FARTHEST, ENOUGH, MOST_LANGUAGES, ROUNDS = 4096, 400, 4, 1.1, 0.8, 0.93, 30, 1000, 8
+DIMS, PER_LANGUAGE, CENTROIDS, SLACK, NEAREST, FARTHEST, ENOUGH, MOST_LANGUAGES, MOST_SAMPLE, ROUNDS = 4096, 400, 4, 1.1, 0.8, 0.93, 30, 1000, 8000, 8
 UNKNOWN = "und"
 
 
@@ -143,6 +143,7 @@ def fit(labelled: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE,
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Centroids([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(int(np.log2(dims)) + 1))
+    per_language = max(1, min(per_language, MOST_SAMPLE // len(sizes)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dims, np.int64)
