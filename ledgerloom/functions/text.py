@@ -80,7 +80,9 @@ def signature(found: Column) -> Column:
 
 def without_thoughts(text: Column) -> Column:
     """Without think and reasoning blocks; a fenced code block's fences go too."""
-    bare = F.regexp_replace(text, r"(?is)<(think|thinking|reasoning)>.*?</\1>", "")
+    bare = text
+    for tag in ("think", "thinking", "reasoning"):
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}>.*?</{tag}>", "")
     return F.trim(F.regexp_replace(bare, r"(?m)^```\w*\n?", ""))
 
 

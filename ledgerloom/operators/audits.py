@@ -73,7 +73,7 @@ def migrated(rows: DataFrame, existing: DataFrame, key: list[str], method: str,
         m = F.when(F.col(method) == old, F.lit(new)).otherwise(m)
     for old, new in roots.items():
         p = F.when(F.startswith(F.col(path), F.lit(old)), F.concat(F.lit(new), F.substring(F.col(path), F.lit(len(old) + 1), F.length(path)))).otherwise(p)
-    return rows.withColumn(method, m).withColumn(path, p).join(existing.select(*key).distinct(), key, "left_anti")
+    return rows.withColumn(method, m).withColumn(path, p).join(existing.select(*key).distinct(), key, "left_anti").select(*rows.columns)
 
 
 def judged_rows(rows: DataFrame) -> DataFrame:

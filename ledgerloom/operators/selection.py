@@ -67,7 +67,7 @@ def throttled(order: Column, first: int = 512, every: int = 251, burst: int = 8,
 
 def seeded_sample(rows: DataFrame, strata: str, key: str, per_stratum: int, seed: int) -> DataFrame:
     """``per_stratum`` rows of each stratum by a hash of seed and key; equal on each run."""
-    draw = Window.partitionBy(strata).orderBy(F.xxhash64(F.lit(seed), key), key)
+    draw = Window.partitionBy(strata).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)
     return rows.withColumn("draw", F.row_number().over(draw)).where(F.col("draw") <= per_stratum)
 
 

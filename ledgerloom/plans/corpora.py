@@ -83,6 +83,17 @@ def stratified(spark: Spark, sf_dir: str) -> DataFrame:
     return selection.seeded_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 10, 7).select("lang", "doc_id")
 
 
+STRATIFIED = "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents) WHERE k <= 10"
+
+
+FAMILIES = """
+WITH a AS (SELECT p_size, min(p_partkey) AS p_partkey, 0 AS family FROM part WHERE p_brand = 'Brand#1' GROUP BY p_size ORDER BY 2 LIMIT 10),
+b AS (SELECT p_size, min(p_partkey) AS p_partkey, 1 AS family FROM part WHERE p_size < 30 AND p_size NOT IN (SELECT p_size FROM a) GROUP BY p_size ORDER BY 2 LIMIT 12),
+c AS (SELECT p_size, min(p_partkey) AS p_partkey, 2 AS family FROM part WHERE p_size NOT IN (SELECT p_size FROM a UNION ALL SELECT p_size FROM b) GROUP BY p_size ORDER BY 2 LIMIT 100)
+FROM a UNION ALL FROM b UNION ALL FROM c
+"""
+
+
 def trace_runs(spark: Spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return selection.trace_groups(rows, "l_orderkey", "l_partkey", 64)
@@ -154,6 +165,13 @@ def grid(spark: Spark, sf_dir: str) -> DataFrame:
     return candidates.input_grid(p, "inputs", 6).select("s_suppkey", "run", F.array_join("values", ",").alias("inputs"))
 
 
+GRID = """
+WITH s AS (SELECT s_suppkey, s_suppkey % 5 = 0 AS none FROM supplier), r AS (SELECT s_suppkey, none, unnest(CASE WHEN none THEN [0] ELSE [0, 1, 2, 3, 4, 5] END) AS run FROM s)
+SELECT s_suppkey, CAST(run AS INTEGER) AS run, CASE WHEN none THEN '' ELSE
+  CAST([-1, 0, 7][(run // (CASE WHEN run % 2 = 0 THEN 1 ELSE 2 END) + run) % 3 + 1] AS VARCHAR) || ',' || CAST([s_suppkey, 2][(run // (CASE WHEN run % 2 = 0 THEN 2 ELSE 1 END) + run) % 2 + 1] AS VARCHAR) END AS inputs FROM r
+"""
+
+
 #: Clauses for the text operators, with the variables in scope and those that are parameters.
 ANSWER = """loop invariant x >= 0;
 loop invariant 0 <= x;
@@ -261,6 +279,13 @@ def digest(spark: Spark, sf_dir: str) -> DataFrame:
     return overlap.corpus_digest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+DIGEST = """
+WITH l AS (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 64 AS b, doc_id || ' ' || sha256(text) AS line FROM documents),
+p AS (SELECT b, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY b)
+SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM p
+"""
+
+
 def benchmark_contained(spark: Spark, sf_dir: str) -> DataFrame:
     """Documents whose whole normalised text is one of the benchmark's."""
     norm = lambda c: F.sha2(X.spaces(F.lower(c)), 256)
@@ -305,6 +330,11 @@ def thoughts(spark: Spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text).alias("digest"))
 
 
+THOUGHTS = r"""
+SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || text || '<Reasoning>x</Reasoning>', '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g'))) AS digest FROM conversations
+"""
+
+
 def states(spark: Spark, sf_dir: str) -> DataFrame:
     """Rendered states of order lines."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.create_map(F.lit("q"), F.col("l_quantity").cast("long"), F.lit("n"), F.col("l_linenumber").cast("long")).alias("m"))
@@ -391,6 +421,11 @@ QUERIES = {
 ORACLE = {
     "round_robin_select": ROUND_ROBIN,
     "tiered_select": TIERED,
+    "stratified_sample": STRATIFIED,
+    "priority_families": FAMILIES,
+    "input_sweep": GRID,
+    "corpus_digest": DIGEST,
+    "strip_think": THOUGHTS,
     "stride_sample": STRIDED,
     "even_ordinals": EVEN,
     "print_throttle": THROTTLE,
@@ -406,6 +441,7 @@ ORACLE = {
     "overlap_exact": _overlap_sql("text"),
     "overlap_normalized": _overlap_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),
     "overlap_tokens": _overlap_sql(_TOKENS),
+    "overlap_control": _overlap_sql("concat_ws(',', " + ", ".join(rf"least(len(regexp_extract_all(text, '\b({w})\b')), 3)" for w in ("while", "for", "if", "else", "break", "continue", "return", "goto", "assert")) + ")"),
     "version_counts": VERSIONS,
     "stratum_flags": STRATA,
     "benchmark_contained": BENCHMARK_CONTAINED,

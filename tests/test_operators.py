@@ -87,3 +87,44 @@ def test_logs(spark):
     assert len(out) == 2 and {int(r.loop_entry["x"]) for r in out} == {0}
     r = spark.range(1).select(logs.last_counts(F.lit("a 1/2 b 7 / 7")).alias("c"), logs.usage(F.lit("total_tokens: 1,234")).alias("u")).first()
     assert tuple(r.c) == (7, 7) and r.u.total == 1234 and r.u.prompt is None
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    from ledgerloom.streaming import views
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k % 3, k % 2, k, t0 + dt.timedelta(minutes=7 * k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "u int, e int, id int, ts timestamp")
+    for part in range(3):  # several files, so several batches are possible
+        df.where(F.col("id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    stream = views.event_stream(spark, str(tmp_path / "events"), df)
+    got = views.run_available(views.newest_stream(stream, ["u", "e"], "id"), "complete", "newest")
+    want = events.newest(df, ["u", "e"], ["id"])
+    assert sorted(map(tuple, got.select(*df.columns).collect())) == sorted(map(tuple, want.collect()))
+    twice = tmp_path / "twice"
+    df.unionByName(df).coalesce(1).write.parquet(str(twice))
+    once = views.run_available(views.distinct_stream(views.event_stream(spark, str(twice), df), ["id"], "ts", "1 day"), "append", "once")
+    assert once.count() == 40
+
+
+def test_audits(spark):
+    from ledgerloom.operators import audits
+
+    tasks = spark.createDataFrame([(1, "h"), (2, "h"), (3, "h"), (4, "h")], "k int, sha string")
+    art = spark.createDataFrame([(1, "h", 2, "completed"), (2, "x", 2, "completed"), (3, "h", 9, "completed")], "k int, sha string, schema_version int, sample_status string")
+    assert {r.k: r.reason for r in audits.validity(art, tasks, ["k"], ["sha"]).collect()} == {1: None, 2: "hash", 3: "version", 4: "missing"}
+    try:
+        audits.require_same_keys(tasks, art, ["k"])
+        raise AssertionError("not found")
+    except ValueError as e:
+        assert "4" in str(e)
+    rows = spark.createDataFrame([("completed", None, False, True, 1.0), ("completed", "a", False, True, 2.0), ("failed", None, None, None, None)], "status string, artifact string, recovered boolean, verified boolean, judge_seconds double")
+    assert sorted((r.status, r.verified, r.judge_seconds) for r in audits.judged_rows(rows).collect()) == [("completed", True, 2.0), ("failed", False, 0.0), ("failed", False, 0.0)]
+    calls = spark.createDataFrame([(1, "p"), (1, "p"), (2, "q")], "k int, prompt_sha256 string")
+    stored = spark.createDataFrame([(1, "p"), (2, "z")], "k int, stored_sha256 string")
+    assert {r.k: r.reusable for r in audits.prefix_reuse(calls, stored, ["k"], 2).collect()} == {1: True, 2: False}
+    power = spark.createDataFrame([("power(x, 2) + power(x, n)",), ("power(x, 2)",)], "c string")
+    assert [tuple(r) for r in audits.power_census(power, "c").collect()] == [("constant", "x", "2", 2), ("symbolic", "x", "n", 1)]
+    old = spark.createDataFrame([("m1", "/a/x", 1), ("m2", "/b/y", 2)], "method string, path string, k int")
+    moved = audits.migrated(old, old.where("k = 2"), ["k"], "method", {"m1": "n1"}, "path", {"/a": "/z"})
+    assert [tuple(r) for r in moved.collect()] == [("n1", "/z/x", 1)]
