@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
+from ..session import materialize
 
 VARIANTS = ("binary", "whole_coverage", "base", "base_shapley", "full")
 MOST_CLAUSES = 20
@@ -78,13 +79,14 @@ def score(rollouts: DataFrame, broken: DataFrame, rejecting: DataFrame, traces:
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {', '.join(VARIANTS)}")
     entered = admitted(rollouts, weights.most_clauses)
-    distinct = keyed(entered)
+    distinct = materialize(keyed(entered), "clauses")
     alive = surviving(distinct, broken)
     one = ["group_id", "rollout_index"]
     sizes = distinct.groupBy(*one).agg(F.count("*").alias("n_keys"), F.sum("repeats").alias("repeats"))
     alive_sizes = alive.groupBy(*one).agg(F.count("*").alias("n_alive"))
-    # The (rollout, trace) pairs of a group are the rejection matrix without its zeros; f is its column sum.
-    hits = alive.select(*one, "key").join(rejecting.distinct(), ["group_id", "key"]).select(*one, "trace_id").distinct()
+    # The (rollout, trace) pairs of a group are the rejection matrix without its zeros; f is its column sum. Written once, since
+    # three groupings read it and the states behind it are by far the largest input.
+    hits = materialize(alive.select(*one, "key").join(rejecting, ["group_id", "key"]).select(*one, "trace_id").distinct(), "hits")
     shared = hits.groupBy("group_id", "trace_id").agg(F.count("*").alias("f"))
     gains = hits.join(shared, ["group_id", "trace_id"]).groupBy(*one).agg(F.count("*").alias("rejected"), F.sum(1 / F.col("f")).alias("credit"))
     union = distinct.groupBy("group_id").agg(F.count_distinct("key").alias("u_keys"))
