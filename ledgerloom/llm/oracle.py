@@ -66,10 +66,29 @@ SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM w LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+HASH_TREE = """
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, key, n + 8 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, t),
+w AS (SELECT *, row_number() OVER () AS r FROM c),
+root AS (SELECT r, p, -ln((CAST('0x' || substr(md5(key || '|' || p), 1, 13) AS BIGINT) + 0.5) / 4503599627370496) / weight AS d
+  FROM w, (VALUES ('region0', 8.0), ('region1', 8.0), ('region2', 8.0), ('grown24', 1.0)) v(p, weight)),
+reg AS (SELECT r, arg_min(p, d) FILTER (p <> 'grown24') AS region, arg_min(p, d) AS grown FROM root GROUP BY r),
+rack AS (SELECT r, any_value(region) AS region, arg_min(k, -ln((CAST('0x' || substr(md5(key || '|' || region || '/rack' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)) AS k
+  FROM w JOIN reg USING (r), (SELECT unnest([0, 1]) AS k) GROUP BY r),
+leaf AS (SELECT r, arg_min(s, -ln((CAST('0x' || substr(md5(key || '|' || region || '/rack' || rack.k || '/' || s), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)) AS shard
+  FROM w JOIN rack USING (r), (SELECT unnest(range(24)) AS s) WHERE s // 8 = CAST(substr(region, 7) AS INTEGER) AND s // 4 % 2 = rack.k GROUP BY r)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(CASE WHEN grown = 'grown24' THEN 24 ELSE shard END AS INTEGER) AS grown_shard
+FROM w JOIN reg USING (r) JOIN leaf USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_voronoi_knn": KNN,
     "op2_chat_format": CHAT,
     "op3_warc": WARC,
     "op6_substring_dedup": SUBSTRINGS,
+    "op9_hash_tree": HASH_TREE,
     "op10_decontaminate": DECONTAMINATE,
 }
