@@ -139,3 +139,28 @@ def foreign_results(rows: DataFrame, fields: dict[str, list[str]], aliases: dict
     for old, new in aliases.items():
         s = F.when(F.col(suite) == old, F.lit(new)).otherwise(s)
     return out.withColumn(suite, s)
+
+
+def generation_complete(status: Column) -> Column:
+    return F.coalesce(status.isin("completed", "failed", "timeout", "unsupported"), F.lit(False))
+
+
+def entry_feasible(parameters_match: Column, initials: list[Column], requires: Column) -> Column:
+    """A state can be a fresh entry: parameters equal their entry values, each initial value holds strictly, the contract isn't strictly false."""
+    ok = F.coalesce(parameters_match, F.lit(False))
+    for c in initials:
+        ok = ok & F.coalesce(c, F.lit(False))
+    return ok & F.coalesce(requires, F.lit(True))
+
+
+def uncontrolled(untracked: Column, calls: Column, unsupported: Column, oracle: Column, movable: Column) -> Column:
+    """A loop for which no negatives can be vouched for."""
+    return untracked | calls | unsupported | (oracle & (movable == 0))
+
+
+def observed_totals(rows: DataFrame, columns: list[str], name: str = "totals"):
+    """The rows and an observation with the sums of columns, filled by whatever action reads the rows; there is no second scan."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return rows.observe(seen, *[F.sum(c).alias(c) for c in columns], F.count("*").alias("rows")), seen

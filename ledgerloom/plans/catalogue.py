@@ -1,7 +1,7 @@
 """Registry of the engine's own queries and their SQL."""
 
-from . import audits, corpora, scoring, stores
+from . import audits, corpora, files, scoring, stores
 
-_PARTS = (scoring, stores, corpora, audits)
+_PARTS = (scoring, stores, corpora, audits, files)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

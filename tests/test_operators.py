@@ -128,3 +128,32 @@ def test_audits(spark):
     old = spark.createDataFrame([("m1", "/a/x", 1), ("m2", "/b/y", 2)], "method string, path string, k int")
     moved = audits.migrated(old, old.where("k = 2"), ["k"], "method", {"m1": "n1"}, "path", {"/a": "/z"})
     assert [tuple(r) for r in moved.collect()] == [("n1", "/z/x", 1)]
+
+
+def test_gates(spark):
+    from ledgerloom.operators import audits
+
+    df = spark.createDataFrame([(True, True, None), (True, None, True), (True, True, False), (None, True, True)], "p boolean, i boolean, r boolean")
+    assert [r.f for r in df.select(audits.entry_feasible(F.col("p"), [F.col("i")], F.col("r")).alias("f")).collect()] == [True, False, False, False]
+    rows, seen = audits.observed_totals(spark.range(5), ["id"])
+    rows.collect()
+    assert seen.get == {"id": 10, "rows": 5}
+    assert spark.range(1).select(audits.generation_complete(F.lit(None).cast("string")).alias("g")).first().g is False
+
+
+def test_newest_files_and_corpus(spark, tmp_path):
+    import os
+
+    for k, (name, age) in enumerate([("a/1", 50), ("a/2", 10), ("b/1", 5)]):
+        path = tmp_path / name / "summary.json"
+        path.parent.mkdir(parents=True)
+        path.write_text(f'{{"k": {k}}}')
+        os.utime(path, (1_700_000_000 - age, 1_700_000_000 - age))
+    found = sources.newest_files(spark, f"{tmp_path}/*/*/summary.json", r"/(\w+)/\d+/summary")
+    assert {r.key: r.path.split("/")[-2] for r in found.collect()} == {"a": "2", "b": "1"}
+    assert sources.corpus(spark, f"{tmp_path}/*/*/summary.json", expected=3).count() == 3
+    try:
+        sources.corpus(spark, f"{tmp_path}/*/*/summary.json", expected=2)
+        raise AssertionError("not found")
+    except ValueError:
+        pass
