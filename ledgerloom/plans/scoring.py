@@ -169,6 +169,12 @@ def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("clause")
 
 
+def _dedup_sql() -> str:
+    bare = [[" ".join(c.removeprefix("loop invariant").rstrip(";").split()) for c in r] for r in ROLLOUTS]
+    rows = ", ".join(f"({i}, {o}, '{c}', '{k}')" for i, (cs, ks) in enumerate(zip(bare, CONDITIONS)) for o, (c, k) in enumerate(zip(cs, ks)))
+    return f"SELECT clause FROM (SELECT clause, row_number() OVER (PARTITION BY k ORDER BY i, o) AS n FROM (VALUES {rows}) t(i, o, clause, k)) WHERE n = 1"
+
+
 def houdini(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses over (v, w) that stay inductive over the observed steps of each event type; an approximation that refutes only."""
     e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", F.floor("value").cast("long").alias("v"))
@@ -234,6 +240,7 @@ ORACLE = {n: reward_sql(v) for n, v in _NAMES.items()} | {
     "positive_filter": POSITIVE_FILTER,
     "raw_vs_filtered_coverage": RAW_AND_FILTERED,
     "first_falsifier": FALSIFIER,
+    "canonical_dedup": _dedup_sql(),
     "pass_at_k": PASS_RATES,
     "k95": K95,
     "group_advantage": ADVANTAGE,
