@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 400_000, 500_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 200_000, 200_000, 32
 
 
 class PieceModel:
@@ -75,7 +75,7 @@ class PieceModel:
         outside = "".join(re.escape(c) for c in "\n\t\r" if c not in self.chars)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{outside}]+|{SPACE}+|[{outside}]" if outside else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merges by rank, leftmost first, on a few characters; also the parts of the last merge."""
@@ -168,11 +168,11 @@ class PieceModel:
                 if failed[end]:
                     continue
                 if before is not None:
-                    ok = pairs.get((before, i))
+                    ok = pairs.get(before << 32 | i)
                     if ok is None:
                         if len(pairs) >= CACHE_PAIRS:
                             pairs.clear()
-                        ok = pairs[before, i] = self.fits(before, i)
+                        ok = pairs[before << 32 | i] = self.fits(before, i)
                     if not ok:
                         continue
                 choice[-1] = k
