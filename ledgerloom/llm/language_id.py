@@ -78,20 +78,26 @@ def counts_of(text: bytes, dims: int) -> tuple[np.ndarray, bool]:
 
 
 def _vectors(column: pa.Array, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, counts, has a letter) for a few hundred rows at a time."""
+    """(first row, counts, has a letter) for at most 128 rows at a time, so that dense counts stay at a few megabytes."""
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets, 1 << 20):
-        for a in range(lo, hi, 256):
-            b = min(a + 256, hi)
-            got = [counts_of(data[offsets[k] : offsets[k + 1]].tobytes(), dims) for k in range(a, b)]
-            yield a, np.stack([g[0] for g in got]).astype(np.float32), np.array([g[1] for g in got])
+        for a in range(lo, hi, 128):
+            b = min(a + 128, hi)
+            counts, some = np.empty((b - a, dims), np.float32), np.empty(b - a, bool)
+            for k in range(a, b):
+                counts[k - a], some[k - a] = counts_of(data[offsets[k] : offsets[k + 1]].tobytes(), dims)
+            yield a, counts, some
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
+    out = np.zeros_like(counts, dtype=np.float32)
+    np.log(counts, out=out, where=counts > 0)
+    out[counts > 0] += 1
+    out *= idf
     size = np.linalg.norm(out, axis=1, keepdims=True)
     size[size == 0] = 1
-    return out / size
+    out /= size
+    return out
 
 
 def _size_class(counts: np.ndarray) -> np.ndarray:
