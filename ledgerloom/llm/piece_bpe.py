@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 200_000, 200_000, 32
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 300_000, 400_000, 48
 
 
 class PieceModel:
