@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, language_id, line_dedup, piece_bpe, simhash
+from ledgerloom.llm import decontaminate, language_id, line_dedup, near_dedup, piece_bpe
 from ledgerloom.llm.common import materialize, table
 from ledgerloom.llm.queries import piece_model
 
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
+    return near_dedup.keep_first(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

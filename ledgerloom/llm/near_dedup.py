@@ -1,0 +1,187 @@
+"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+
+Two texts link when their sets of five-word shingles have a similarity of at least 4/5. The search is a prefix
+join and misses none: two sets of n and m shingles that similar share at least 4/9 of n + m, so in any one order of
+all shingles they share one within the first n - ceil(4n/5) + 1 of either. The order puts the commonest shingles of a
+sample last, then goes by hash; the sample decides the cost, never the result. Candidates are verified on
+their whole sets. Sizes and the places of a first shared shingle rule out most others before that.
+
+A shingle that more than ``dense`` prefixes hold isn't paired up at once. Its holders are compared with one
+leader each round; what then has one root needs no more comparisons. Holders of different roots that are
+left after ``leaders`` rounds are compared pair by pair, so the result stays exact: only a crowd of texts that share
+their rarest shingles and aren't near-duplicates costs more than its size.
+
+Defined results: words are split at ASCII white space, A-Z count as a-z; null, empty and wordless texts have
+no shingle and link with each other; fewer words than the shingle size make one shingle; shingles compare by
+64-bit hashes; links are transitive; all columns are kept.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import ASCII_LOWER, NOT_SPACE, materialize, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
+from .components import components
+
+WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
+
+
+def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    data, offsets = text_bytes(column)
+    for lo, hi in row_chunks(offsets):
+        body = ASCII_LOWER[data[offsets[lo] : offsets[hi]]]
+        starts, ends, first = word_spans(body, offsets[lo : hi + 1] - offsets[lo], NOT_SPACE)
+        hashes = word_hashes(body, starts, ends)
+        windows = window_hashes(hashes, words)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= words:
+                yield np.unique(windows[a : b - words + 1])
+            else:
+                yield window_hashes(hashes[a:b], b - a) if b > a else hashes[:0]
+
+
+def _name(shingles: np.ndarray) -> int:
+    x = xxhash.xxh64_intdigest(shingles.tobytes())
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hot(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of one text in ``sampled``, sorted, and their ranks from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = list(shingle_sets(batch.column(0).slice(at, 256), words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
+
+    texts = docs.where(F.xxhash64(F.col("text")) % sampled == 0).select("text")
+    counts = texts.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") > max(dense // sampled, 2))
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST_HOT).collect()
+    hot = np.array([r.h for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], -order
+
+
+def _prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, text_hash, fp, n, prefix): fp names the set of n shingles, prefix has its first ones in the common order."""
+    p, q = similar
+    common, rank = hot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                names, sizes, firsts = [], [], []
+                for s in shingle_sets(part.column(2), words):
+                    names.append(_name(s))
+                    n = len(s)
+                    sizes.append(n)
+                    if n and len(common):
+                        place = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        is_hot = common[place] == s
+                        late = s[is_hot][np.argsort(rank[place[is_hot]])]
+                        s = np.concatenate([s[~is_hot], late])
+                    firsts.append(s[: n - (p * n + q - 1) // q + 1 if n else 0])
+                ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "text_hash", "fp", "n", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, n int, prefix array<bigint>")
+
+
+def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are similar, told from the whole sets."""
+    p, q = similar
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    wanted = materialize(found.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select(F.col("text_hash").alias("__hash")).distinct(), "wanted")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = list(shingle_sets(batch.column(0).slice(at, 512), words))
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both * (p + q) >= p * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    texts = docs.join(wanted, F.xxhash64("text").eqNullSafe(wanted["__hash"]), "left_semi").select("text")
+    sets = materialize(texts.mapInArrow(gather, "fp bigint, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
+    left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    return materialize(both.mapInArrow(compare, "u bigint, v bigint"), "near")
+
+
+def roots(docs: DataFrame, found: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
+    """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows."""
+    p, q = similar
+    copies = materialize(found.groupBy("fp").count().where("count > 1").select("fp"), "copies")
+    once = found.join(copies, "fp", "left_anti").select("fp", "n", "prefix")
+    again = found.join(copies, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    held = once.unionByName(again).select("fp", "n", F.posexplode("prefix").alias("at", "h"))
+    shared = materialize(held.groupBy("h").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1"), "shared")
+    held = materialize(held.join(shared, "h"), "held")
+
+    fits = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & ((F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p)
+    few = held.where(F.col("m") <= dense)
+    other = few.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & fits).select("u", "v")
+    crowd = held.where(F.col("m") > dense).select("h", "fp", "n", "at", "leader")
+    led = crowd.where("fp <> leader").select(F.col("leader").alias("u"), F.col("fp").alias("v"))
+    links = _verified(pairs.unionByName(led), found, docs, words, similar)
+    whole = components(links)
+    if not crowd.limit(1).count():
+        return whole
+    for k in range(leaders + 1):
+        members = crowd.drop("leader").join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        members = materialize(members, "members")
+        by = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias("leader"))
+        apart = materialize(by.where("low <> high").select("h", "leader"), "apart")
+        if not apart.limit(1).count():
+            return whole
+        open_ = members.join(apart, "h")
+        if k < leaders:
+            more = open_.where(F.col("root") != F.col("leader.root")).select(F.col("leader.fp").alias("u"), F.col("fp").alias("v"))
+        else:  # the holders outside the commonest root of a shingle, with all holders of other roots
+            open_ = materialize(open_.drop("leader"), "open")
+            sizes = open_.groupBy("h", "root").agg(F.count("*").alias("c"))
+            main = materialize(sizes.groupBy("h").agg(F.max_by("root", "c").alias("main")), "main")
+            rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
+            all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+            more = rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v")
+        found_more = _verified(more, found, docs, words, similar)
+        if found_more.limit(1).count():
+            links = links.unionByName(found_more)
+            whole = components(links)
+    return whole
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR, dense: int = DENSE, leaders: int = LEADERS, sampled: int = SAMPLED) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id (null last), then the smallest text hash."""
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = materialize(_prefixes(source, words, similar, _hot(source, words, dense, sampled)), "prefixes")
+    whole = materialize(roots(source, found, words, similar, dense, leaders).withColumnRenamed("node", "fp"), "roots")
+    rows = found.select("doc_id", "text_hash", "fp").join(whole, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    several = materialize(rows.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1").select("root", "first"), "several")
+    member = rows.join(several, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    gone = materialize(member.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
+    hashed = docs.withColumn("__of_text", F.xxhash64(f"`{text_col}`"))
+    left = hashed.join(gone, hashed[f"`{id_col}`"].eqNullSafe(gone["__id"]) & (hashed["__of_text"] == gone["__hash"]), "left_anti")
+    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # the same row again
+        left = left.dropDuplicates([id_col, "__of_text"])
+    return left.select(*[left[f"`{c}`"] for c in docs.columns])
