@@ -3,17 +3,19 @@
 Documents that overlap are found through shared lines, aligned with patience diff, and the aligned common
 blocks are deleted from the later document (the one with the larger doc_id).
 
-A line's key is a hash of it without white space at its ends; blank lines have none. A key that at most
-``rare`` documents hold is evidence of overlap by itself. Lines of more documents are boilerplate or belong to
-a large group of copies; there the evidence is a run of ``run`` consecutive lines (or a whole shorter
-document), which no number of holders excludes. Each holder of a piece of evidence is paired with
-its first holder, never all holders with each other, so pairs are at most as many as lines.
+A line's key is a hash of it without white space at its ends; blank lines have none. Every line that two documents
+hold is evidence of overlap, and so is a run of ``run`` consecutive lines (or a whole shorter document). Each
+holder of a piece of evidence is paired with its first holder, never all holders with each other, so
+pairs are at most as many as lines.
 
 In a pair, patience diff matches the lines that are unique in both documents along their longest
-increasing sequence, extends matches to equal neighbours, and repeats between them. A block of
-consecutive matched lines is deleted if it has a rare line, ``run`` lines, or all lines of the later document.
+increasing sequence, extends matches to equal neighbours, and repeats between them.
+A block of consecutive matched lines is deleted, but for blocks of less than ``run`` lines that are all blank.
 Deletions of all pairs of a document are united and judged on the input.
 
+With a number for ``rare``, a line that more documents hold is no evidence by itself, a block needs a rare line,
+``run`` lines or all lines of the later document. By default there is no such limit.
+
 Defined results: a null text stays null and has no lines; an empty text has one blank line; blank lines go if they
 lie inside a deleted block; a null doc_id is smaller than all; rows with equal id and text are one document
 and never delete lines of each other; rows of equal id and different text are ordered by a hash of
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-RARE, RUN = 100, 3
+RUN = 3
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -95,7 +97,7 @@ def blocks(matches: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
 
 
 def deleted(earlier: list[int], later: list[int], rare: list[bool], run: int) -> list[int]:
-    """Lines of ``later`` to delete, given the line hashes of both and which of the later one's lines are rare."""
+    """Lines of ``later`` to delete, given the line hashes of both and which of the later one's lines are rare (or, with no limit, not blank)."""
     out: list[int] = []
     for _, j, n in blocks(patience(earlier, later)):
         if n >= run or n == len(later) or any(rare[j : j + n]):
@@ -120,16 +122,21 @@ def _evidence(keys, run: int):
     return F.concat(singles, F.transform(F.array_distinct(runs), lambda x: F.struct(x.alias("h"), F.lit(False).alias("alone"))))
 
 
-def deletions(docs: DataFrame, rare: int = RARE, run: int = RUN) -> DataFrame:
+def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataFrame:
     """(k, gone): places of the lines to delete, by key of the document (a hash of doc_id and text)."""
     lines = materialize(_lines(docs), "lines")
     held = lines.select("k", "doc_id", F.explode(_evidence(F.col("keys"), run)).alias("e")).select("k", "doc_id", "e.h", "e.alone")
     me = F.struct("doc_id", "k")
     counts = held.groupBy("h", "alone").agg(F.count("*").alias("n"), F.min(me).alias("first")).where("n > 1")
     shared = materialize(counts, "shared")
-    usable = shared.where((~F.col("alone")) | (F.col("n") <= rare)).select("h", "alone", F.col("first.k").alias("first"))
-    by_doc = held.join(usable, ["h", "alone"])
+    usable = shared.where((~F.col("alone")) | (F.col("n") <= rare)) if rare is not None else shared
+    by_doc = held.join(usable.select("h", "alone", F.col("first.k").alias("first")), ["h", "alone"])
     pairs = by_doc.where(F.col("first") != F.col("k")).groupBy("k", "first").agg(F.collect_set(F.when(F.col("alone"), F.col("h"))).alias("few"))
+    return _united(_aligned(pairs, lines, rare, run))
+
+
+def _aligned(pairs: DataFrame, lines: DataFrame, rare: int | None, run: int) -> DataFrame:
+    """(k, gone, matched, left) of each pair (k, first, few): places to delete, the keys with a deleted line, and the keys of ``few`` without one."""
     later = pairs.join(lines.select("k", F.col("keys").alias("later")), "k")
     both = later.join(lines.select(F.col("k").alias("first"), F.col("keys").alias("earlier")), "first")
 
@@ -137,18 +144,27 @@ def deletions(docs: DataFrame, rare: int = RARE, run: int = RUN) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                gone = []
+                gone, matched, left = [], [], []
                 for few, mine, first in zip(*[part.column(c).to_pylist() for c in (1, 2, 3)]):
                     few = set(few)
-                    gone.append(deleted(first, mine, [x in few for x in mine], run))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["k", "gone"])
+                    out = deleted(first, mine, [x in few if rare is not None else x != 0 for x in mine], run)
+                    done = {mine[j] for j in out}
+                    stay = few - done
+                    gone.append(out)
+                    left.append(list(stay))
+                    matched.append(list(done))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32())), pa.array(matched, longs), pa.array(left, longs)], names=["k", "gone", "matched", "left"])
+
+    return both.select("k", "few", "later", "earlier").mapInArrow(run_pairs, "k bigint, gone array<int>, matched array<bigint>, left array<bigint>")
+
 
-    each = both.select("k", "few", "later", "earlier").mapInArrow(run_pairs, "k bigint, gone array<int>")
+def _united(each: DataFrame) -> DataFrame:
     united = each.where(F.size("gone") > 0).select("k", F.explode("gone").alias("p")).distinct()
     return united.groupBy("k").agg(F.collect_set("p").alias("gone"))
 
 
-def clean(docs: DataFrame, rare: int = RARE, run: int = RUN, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, rare: int | None = None, run: int = RUN, text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` with the deleted lines taken out of their text, and n_lines and n_deleted added."""
     gone = deletions(docs.select("doc_id", F.col(text_col).alias("text")), rare, run).withColumnRenamed("k", "__k").withColumnRenamed("gone", "__gone")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
