@@ -9,12 +9,16 @@ holder of a piece of evidence is paired with its first holder, never all holders
 pairs are at most as many as lines.
 
 In a pair, patience diff matches the lines that are unique in both documents along their longest
-increasing sequence, extends matches to equal neighbours, and repeats between them.
+increasing sequence, extends matches to equal neighbours, and repeats between them. Where no line is unique in
+both, equal lines are anchored by occurrence: the first with the first, the second with the second.
 A block of consecutive matched lines is deleted, but for blocks of less than ``run`` lines that are all blank.
 Deletions of all pairs of a document are united and judged on the input.
 
+A line of a document of which no occurrence was deleted by then (its order crosses that of other lines in the first
+holder) is tried with its next holders, one, two, four and so on at a time, until it is matched or no earlier holder is left.
+
 With a number for ``rare``, a line that more documents hold is no evidence by itself, a block needs a rare line,
-``run`` lines or all lines of the later document. By default there is no such limit.
+``run`` lines or all lines of the later document, and only first holders are tried. By default there is no such limit.
 
 Defined results: a null text stays null and has no lines; an empty text has one blank line; blank lines go if they
 lie inside a deleted block; a null doc_id is smaller than all; rows with equal id and text are one document
@@ -27,12 +31,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordinals import numbered
 from .common import materialize
 
 RUN = 3
@@ -75,6 +81,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[al:ah]), Counter(b[bl:bh])
         where = {x: j for j, x in enumerate(b[bl:bh], bl) if in_b[x] == 1}
         unique = [(i, where[x]) for i, x in enumerate(a[al:ah], al) if in_a[x] == 1 and x in where]
+        if not unique:  # anchor the c-th occurrence with the c-th
+            at_b, seen = {}, Counter()
+            for j, x in enumerate(b[bl:bh], bl):
+                if x in in_a:
+                    at_b[x, seen[x]] = j
+                    seen[x] += 1
+            seen = Counter()
+            for i, x in enumerate(a[al:ah], al):
+                if (x, seen[x]) in at_b:
+                    unique.append((i, at_b[x, seen[x]]))
+                seen[x] += 1
         anchors = _rising(unique)
         i0, j0 = al, bl
         for i, j in anchors:
@@ -132,7 +149,28 @@ def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataF
     usable = shared.where((~F.col("alone")) | (F.col("n") <= rare)) if rare is not None else shared
     by_doc = held.join(usable.select("h", "alone", F.col("first.k").alias("first")), ["h", "alone"])
     pairs = by_doc.where(F.col("first") != F.col("k")).groupBy("k", "first").agg(F.collect_set(F.when(F.col("alone"), F.col("h"))).alias("few"))
-    return _united(_aligned(pairs, lines, rare, run))
+    if rare is not None:
+        return _united(_aligned(pairs, lines, rare, run))
+
+    tried = [materialize(_aligned(pairs, lines, rare, run), "aligned")]
+    matched = lambda x: x.select("k", F.explode("matched").alias("h")).distinct()
+    left = materialize(tried[0].select("k", F.explode("left").alias("h")).join(matched(tried[0]), ["k", "h"], "left_anti"), "left")
+    if not left.limit(1).count():
+        return _united(tried[0])
+    holders = held.where("alone").select("h", "doc_id", "k").join(left.select("h").distinct(), "h", "left_semi")
+    ranks = materialize(numbered(holders, ["h"], ["doc_id", "k"], "rank").select("h", "k", "rank"), "ranks")
+    left = left.join(ranks, ["k", "h"])
+    at, width = 1, 1
+    while True:
+        left = materialize(left.where(F.col("rank") > at).select("k", "h", "rank"), "left")
+        if not left.limit(1).count():
+            break
+        following = left.select("k", "h", F.explode(F.sequence(F.lit(at).cast("long"), F.least(F.col("rank") - 1, F.lit(at + width - 1)))).alias("rank"))
+        pairs = following.join(ranks.withColumnRenamed("k", "first"), ["h", "rank"]).groupBy("k", "first").agg(F.collect_set("h").alias("few"))
+        tried.append(materialize(_aligned(pairs, lines, rare, run), "aligned"))
+        left = left.join(matched(tried[-1]), ["k", "h"], "left_anti")
+        at, width = at + width, 2 * width
+    return _united(reduce(DataFrame.unionByName, tried))
 
 
 def _aligned(pairs: DataFrame, lines: DataFrame, rare: int | None, run: int) -> DataFrame:
