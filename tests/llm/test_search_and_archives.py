@@ -52,11 +52,44 @@ def test_search_of_few(spark):
     assert voronoi_knn.search(df.limit(0), F.col("vec_id") % 20 == 0).columns == ["query_id", "rank", "vec_id", "score"]
 
 
-def test_far_cells_are_left_out():
-    """A query block goes to no cell whose bound is below its threshold."""
-    pivots = np.array([[100.0, 0.0], [-100.0, 0.0]])
-    gap = 9000.0 - np.array([[100.0, 0.0]]) @ pivots.T
-    assert (gap / 100.0)[0, 1] > 150  # rows of the far cell would have to lie that far from its pivot
+def test_far_cells_are_left_out(spark):
+    """On clustered vectors, query blocks meet few rows and are sent to few units."""
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(40, 16)) * 10
+    rows = [(i, (centres[i % 40] + r.normal(size=16)).tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    s = voronoi_knn.Search(df, F.col("vec_id") % 20 == 0, 20, 64, 50, 1024, 64, 16)
+    units, blocks = s.data.select("unit").distinct().count(), s.queries.count()
+    met = sent = 0
+    for needs in (s.near_needs, s.far_needs):
+        pairs = voronoi_knn.meetings(needs, s.queries, s.data, s.parts)
+        met += pairs.agg(F.sum(F.col("q_n") * F.octet_length("ids") / 8)).first()[0] or 0
+        sent += pairs.select("block", "unit").distinct().count()
+    assert met < 0.25 * 200 * 4000
+    assert sent < 0.5 * units * blocks
+    assert sorted(tuple(r) for r in s.found().collect()) == best(rows)
+
+
+def test_copies_of_a_vector_meet_once(spark):
+    """A vector that most rows repeat is held and searched a bounded number of times."""
+    rows = [(i, [1.0, 2.0]) for i in range(3000)] + [(5000 + i, [0.1 * i, 1.0]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    s = voronoi_knn.Search(df, F.col("vec_id") % 20 == 0, 20, 64, 512, 1024, 64, 16)
+    assert s.data.agg(F.sum("n")).first()[0] <= 100 + 21 * s.data.rdd.getNumPartitions() * 4
+    assert s.queries.agg(F.sum("q_n")).first()[0] <= 6
+    assert sorted(tuple(r) for r in s.found().collect()) == best(rows)
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [3e6]), (1, [3e6]), (2, [5e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in voronoi_knn.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, 1, 2, 61440000000000000), (0, 2, 1, 36864000000000000)]
+    rows = [(20 * i, [4.0e7 - i, 0.5, -1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in voronoi_knn.search(df, F.col("vec_id") % 20 == 0).collect()) == best(rows)
+    with pytest.raises(Exception, match="too large for a long"):
+        voronoi_knn.search(spark.createDataFrame([(0, [1e300]), (1, [1e300])], df.schema), F.col("vec_id") % 20 == 0).collect()
 
 
 # --- archives
