@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize, table  # noqa: F401  used by the operators
 
@@ -14,6 +19,24 @@ U64 = np.uint64
 PIECE = 1 << 20
 
 
+# --- rows whose columns may have any name ---------------------------------------------
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``docs`` with its own columns in one struct ``row``, so that no helper column can clash with them."""
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, names: list[str], *columns: Column) -> DataFrame:
+    """The named fields of ``row`` as columns again, and more columns."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], *columns)
+
+
 # --- texts as bytes -------------------------------------------------------------
 
 
@@ -80,34 +103,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, n: int, key: str) -> np.ndarray:
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE + 4096), base, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 2 * PIECE:
-            _powers[key] = have
-    return have[:n]
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes, then mixed with its length."""
-    out = np.empty(len(starts), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = max(int(np.searchsorted(ends, starts[lo] + PIECE, side="right")), lo + 1)
-        a, b = int(starts[lo]), int(ends[hi - 1])
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTES[data[a:b]] * _power(_BASE, b - a, "up"), out=sums[1:])
-        s, e = starts[lo:hi] - a, ends[lo:hi] - a
-        out[lo:hi] = mix((sums[e] - sums[s]) * _power(_INVERSE, b - a, "down")[s] + (e - s).astype(np.uint64))
-        lo = hi
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+
+
+def secret() -> int:
+    """A seed for one run: nobody can write words beforehand that it hashes alike."""
+    return secrets.randbits(63)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word from its length and its bytes, 8 at a time; those of two seeds are independent."""
+    size = ends - starts
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+
+    def eight(at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return rows[at].view("<u8")[:, 0] & _LOWEST[np.minimum(count, 8)]
+
+    out = mix(mix(size.astype(np.uint64) * _BASE + U64(seed)) ^ eight(starts, size))
+    left, at = np.flatnonzero(size > 8), 8
+    long = left[size[left] > LONG_WORD]
+    left = left[size[left] <= LONG_WORD]
+    while len(left):
+        out[left] = mix(out[left] * _BASE ^ eight(starts[left] + at, size[left] - at))
+        at += 8
+        left = left[size[left] > at]
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
     return out
 
 

@@ -2,12 +2,14 @@
 
 Each task cuts its documents into shards of bounded size and sorts the suffixes of
 each shard by their first words: words of the benchmark have dense codes, several
-codes fill a 64-bit key, and the array is the order of these keys. Every suffix of
-every benchmark item is binary-searched in the array; the range of suffixes that
-share its first key is narrowed by the following keys and then word by word, so the longest
+codes fill a 64-bit key, and the array is the order of these keys. All suffixes of
+all benchmark items are binary-searched in the array at once; where few suffixes share the first key, those
+with another second key are left out, also at once; what is left is narrowed word by word, so the longest
 verbatim match and its places are known. Only suffixes that begin with a benchmark
 word can match, so only they are sorted.
 
+Words are told apart by two independent 64-bit hashes of their bytes with seeds drawn for each run.
+
 Words are runs of a-z, 0-9 and all non-ASCII characters after A-Z are lower-cased. A
 window is ``size`` consecutive words of one item; an item of fewer words, but not none, is one window.
 
@@ -16,23 +18,24 @@ the documents for each block, and with more than one block their hits are joined
 
 Defined results: null texts have no words; an item without words never occurs; a null item_id
 counts as the empty string; items with equal ids count once; repeated and equal rows get equal
-results; extra columns are ignored by ``match`` and kept by ``clean``.
+results; a text of any length is read whole, by a task that holds arrays of its words; an empty table of documents gives an
+empty table, an empty benchmark contaminates nothing; extra columns are ignored by ``match`` and kept by
+``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, PIECE, byte_class, materialize, row_chunks, text_bytes, word_hashes, word_spans
+from .common import ASCII_LOWER, PIECE, byte_class, col, materialize, packed, row_chunks, secret, text_bytes, unpacked, word_hashes, word_spans
 
-SIZE, BLOCK_BYTES = 10, 8 << 20
+SIZE, BLOCK_BYTES, FEW, EXPANDED, OTHER = 10, 8 << 20, 8, 1 << 20, 0x5851F42D4C957F2D
 WORD = byte_class([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 
@@ -43,38 +46,54 @@ def words_of(column: pa.Array):
     return low, starts, ends, first
 
 
-@dataclass
 class Block:
     """Benchmark items whose suffixes are searched together."""
 
-    items: list[str]
-    size: int
-    vocabulary: np.ndarray = field(init=False)
-    codes: list[np.ndarray] = field(init=False)
-
-    def __init__(self, items: list[str], texts: list[str | None], size: int):
-        self.items, self.size = items, size
+    def __init__(self, items: list[str], texts: list[str | None], size: int, seed: int | None = None):
+        self.items, self.size, self.seed = items, size, secret() if seed is None else seed
         low, starts, ends, first = words_of(pa.array(texts, pa.string()))
-        hashes = word_hashes(low, starts, ends)
-        self.vocabulary = np.unique(hashes)
+        hashes, others = self.hashed(low, starts, ends)
+        self.vocabulary, which = np.unique(hashes, return_index=True)
+        self.other = others[which]
         codes = np.searchsorted(self.vocabulary, hashes) + 1
-        self.codes = [codes[a:b] for a, b in zip(first, first[1:])]
         self.width = max(int(len(self.vocabulary)).bit_length(), 1)
         self.per_key = max(63 // self.width, 1)
-
-    def coded(self, hashes: np.ndarray) -> np.ndarray:
+        #: The suffixes that are long enough for a window: item, place in ``codes``, words of the item from there on.
+        self.codes = codes.astype(np.int64)
+        counts = np.diff(first)
+        windows = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
+        self.item = np.repeat(np.arange(len(items)), windows)
+        inside = np.arange(len(self.item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        self.place = np.repeat(first[:-1], windows) + inside
+        self.length = np.repeat(counts, windows) - inside
+        self.low, self.high = self.keys(0)
+        self.low2, self.high2 = self.keys(self.per_key)
+
+    def keys(self, skipped: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest key of each suffix's window after its first words; words beyond the window may be any."""
+        low = np.zeros(len(self.item), np.int64)
+        high = low.copy()
+        for j in range(skipped, skipped + self.per_key):
+            known = j < np.minimum(self.size, self.length)
+            code = np.where(known, self.codes[np.minimum(self.place + j, max(len(self.codes) - 1, 0))] if len(self.codes) else 0, 0)
+            low, high = (low << self.width) | code, (high << self.width) | np.where(known, code, (1 << self.width) - 1)
+        return low, high
+
+    def hashed(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return word_hashes(low, starts, ends, self.seed), word_hashes(low, starts, ends, self.seed ^ OTHER)
+
+    def coded(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Code of each word; 0 for words that are not in the block."""
+        out = np.zeros(len(starts), np.int64)
         if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
+            return out
+        hashes = word_hashes(low, starts, ends, self.seed)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 1, 0)
-
-    def suffixes(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Each suffix that is long enough for a window, as (item, codes)."""
-        for k, codes in enumerate(self.codes):
-            for at in range(max(len(codes) - self.size + 1, min(len(codes), 1))):
-                yield k, codes[at:]
+        maybe = np.flatnonzero(self.vocabulary[at] == hashes)
+        same = self.other[at[maybe]] == word_hashes(low, starts[maybe], ends[maybe], self.seed ^ OTHER)
+        out[maybe[same]] = at[maybe[same]] + 1
+        return out
 
 
 class SuffixArray:
@@ -82,8 +101,7 @@ class SuffixArray:
 
     def __init__(self, codes: np.ndarray, width: int, per_key: int):
         """``codes`` has 0 between documents, so that no match crosses."""
-        self.codes = codes
-        self.per_key = per_key
+        self.codes, self.per_key = codes, per_key
         at = np.flatnonzero(codes)
         keys = codes[at]
         ended = np.zeros(len(at), bool)
@@ -91,23 +109,38 @@ class SuffixArray:
             more = codes[np.minimum(at + j, len(codes) - 1)] * (at + j < len(codes))
             ended |= more == 0  # what follows an unknown word never matters
             keys = (keys << width) | np.where(ended, 0, more)
+        self.key_at = np.zeros(len(codes) + per_key, np.int64)
+        self.key_at[at] = keys
         order = np.argsort(keys, kind="stable")
-        self.keys, self.places, self.width = keys[order], at[order], width
-
-    def longest(self, suffix: np.ndarray, least: int) -> tuple[int, np.ndarray]:
-        """Length of the longest common start (0 if under ``least``) and all places where ``least`` words of it are found."""
-        lead = min(self.per_key, least)
-        low = high = 0
-        for j in range(self.per_key):
-            code = int(suffix[j]) if j < lead else 0
-            low, high = (low << self.width) | code, (high << self.width) | (code if j < lead else (1 << self.width) - 1)
-        places = self.places[np.searchsorted(self.keys, low) : np.searchsorted(self.keys, high, side="right")]
-        found, length, rest = places[:0], lead, places
-        if least == lead:
-            found = rest
+        self.keys, self.places = keys[order], at[order]
+
+    def found(self, block: Block) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(suffix, all places where its window stands, length of its longest match) of the suffixes that occur."""
+        low = np.searchsorted(self.keys, block.low)
+        high = np.searchsorted(self.keys, block.high, side="right")
+        some = np.flatnonzero(high > low)
+        few = some[high[some] - low[some] <= FEW]
+        kept = [some[high[some] - low[some] > FEW]]
+        for a in range(0, len(few), EXPANDED // FEW):
+            part = few[a : a + EXPANDED // FEW]
+            sizes = high[part] - low[part]
+            which = np.repeat(part, sizes)
+            place = self.places[np.repeat(low[part], sizes) + np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            second = self.key_at[np.minimum(place + self.per_key, len(self.key_at) - 1)]
+            kept.append(np.unique(which[(second >= block.low2[which]) & (second <= block.high2[which])]))
+        for k in np.sort(np.concatenate(kept)).tolist():
+            length, places = self.narrowed(self.places[low[k] : high[k]], block, k)
+            if length:
+                yield k, places, length
+
+    def narrowed(self, rest: np.ndarray, block: Block, k: int) -> tuple[int, np.ndarray]:
+        """Length of the longest common start (0 if under a window) and all places where a window of it is found."""
+        suffix = block.codes[block.place[k] : block.place[k] + block.length[k]]
+        least = min(block.size, len(suffix))
+        length = min(self.per_key, least)
+        found = rest if least == length else rest[:0]
         while len(rest) and length < len(suffix):
-            inside = rest + length < len(self.codes)
-            rest = rest[inside]
+            rest = rest[rest + length < len(self.codes)]
             rest = rest[self.codes[rest + length] == suffix[length]]
             if not len(rest):
                 break
@@ -119,12 +152,11 @@ class SuffixArray:
 
 def matches(batch_text: pa.Array, block: Block) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]]]]:
     """(row, number of words, [(item, first hit word, end, longest match)]) of each row."""
-    suffixes = list(block.suffixes())
     data, offsets = text_bytes(batch_text)
     for lo, hi in row_chunks(offsets, 4 * PIECE):
         low = ASCII_LOWER[data[offsets[lo] : offsets[hi]]]
         starts, ends, first = word_spans(low, offsets[lo : hi + 1] - offsets[lo], WORD)
-        codes = block.coded(word_hashes(low, starts, ends))
+        codes = block.coded(low, starts, ends)
         rows = hi - lo
         # One 0 after each document: word w of row r stands at w + r.
         row_of = np.repeat(np.arange(rows), np.diff(first))
@@ -132,15 +164,12 @@ def matches(batch_text: pa.Array, block: Block) -> Iterator[tuple[int, int, list
         spread[np.arange(len(codes)) + row_of] = codes
         edges = first[:-1] + np.arange(rows)
         hits: list[list[tuple[int, int, int, int]]] = [[] for _ in range(rows)]
-        if len(spread):
-            array = SuffixArray(spread, block.width, block.per_key)
-            for item, suffix in suffixes:
-                least = min(block.size, len(suffix))
-                length, places = array.longest(suffix, least)
-                if length:
-                    for p in places:
-                        r = int(np.searchsorted(edges, p, side="right")) - 1
-                        hits[r].append((item, int(p - edges[r]), int(p - edges[r]) + least, length))
+        if len(spread) and len(block.item):
+            for k, places, length in SuffixArray(spread, block.width, block.per_key).found(block):
+                item, least = int(block.item[k]), int(min(block.size, block.length[k]))
+                for p, r in zip(places.tolist(), (np.searchsorted(edges, places, side="right") - 1).tolist()):
+                    a = p - int(edges[r])
+                    hits[r].append((item, a, a + least, length))
         for r in range(rows):
             yield lo + r, int(first[r + 1] - first[r]), hits[r]
 
@@ -200,8 +229,9 @@ def match(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes:
     if len(parts) == 1:
         found = parts[0]
     else:
-        one = materialize(parts[0].select("doc_id", "text_hash", "n_words"), "words")
-        every = parts[0].select("doc_id", "text_hash", "spans", "items")
+        one = materialize(parts[0], "words")
+        every = one.select("doc_id", "text_hash", "spans", "items")
+        one = one.select("doc_id", "text_hash", "n_words")
         for p in parts[1:]:
             every = every.unionByName(p.select("doc_id", "text_hash", "spans", "items"))
         some = every.where(F.size("items") > 0).distinct().groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -217,7 +247,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs."""
-    bad = match(docs, benchmark, size, block_bytes).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    hashed = docs.withColumn("__of_text", F.xxhash64("text"))
-    rows = hashed.join(bad, hashed["doc_id"].eqNullSafe(bad["__id"]) & (hashed["__of_text"] == bad["__hash"]), "left_anti")
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
+    bad = match(docs, benchmark, size, block_bytes).where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = packed(docs, col("doc_id").alias("id"), F.xxhash64(col("text")).alias("hash"))
+    left = rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti")
+    return unpacked(left, docs.columns)

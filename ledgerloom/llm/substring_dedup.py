@@ -13,7 +13,9 @@ kept as a candidate only if its content is repeated; candidates alone are extend
 
 Nothing is grouped but counts and minima, which are combined before each shuffle, and what belongs to
 one document; so content shared by any number of documents is never in one group. Contents
-are compared by 64-bit hashes in the first level and by 96 bits after it.
+are compared by 64-bit hashes in the first level, where two contents of one hash only add candidates, and after it by 96 bits
+that come from two independent hashes of the words' bytes. The seeds of both are drawn for each run, so no text can be
+written to collide.
 
 A document is known by its id d and a number v, which is 0 as long as ids are unique and else a
 hash of the text: numbers that repeat cost little in a shuffle.
@@ -23,7 +25,8 @@ starts earlier: in a smaller doc_id, or earlier in the same document.
 
 Defined results: null texts have no words; fewer than ``size`` words are all kept; a null doc_id is
 smaller than all; rows that repeat (equal id and text) are one document, rows of equal id and
-different text are ordered by a hash of the text; extra columns are ignored.
+different text are ordered by a hash of the text; a text of any length is read whole, in a task that holds
+some arrays of its words; an empty table gives an empty table; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, PIECE, U64, mix, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
+from .common import NOT_SPACE, PIECE, U64, row_chunks, secret, text_bytes, window_hashes, word_hashes, word_spans
 
-SIZE, FIRST = 20, 10
+SIZE, FIRST, OTHER = 20, 10, 0x5851F42D4C957F2D
 
 
 def levels_of(size: int, first: int) -> list[int]:
@@ -67,10 +70,10 @@ def least_of_each(values: np.ndarray, width: int) -> np.ndarray:
 class Windows:
     """All windows of ``size`` words of a run of documents, each with the first-level window that represents it."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, first: int):
-        self.size = size
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int, first: int, seed: int):
+        self.data, self.size, self.seed = data, size, seed
         self.starts, self.ends, self.first = word_spans(data, offsets, NOT_SPACE)
-        self.hashes = word_hashes(data, self.starts, self.ends)
+        self.hashes = word_hashes(data, self.starts, self.ends, seed)
         n = len(self.hashes)
         document = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
         self.at = np.flatnonzero(document[: n - size + 1] == document[size - 1 :]) if n >= size else np.zeros(0, np.int64)
@@ -97,16 +100,16 @@ class Windows:
 
     def hashed(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """64 and 32 bits of the first ``length`` words of some windows."""
-        other = mix(self.hashes ^ U64(0x5851F42D4C957F2D))
+        other = word_hashes(self.data, self.starts, self.ends, self.seed ^ OTHER)
         at = self.at[which]
         return window_hashes(self.hashes, length)[at].view(np.int64), (window_hashes(other, length)[at] >> U64(32)).astype(np.uint32).view(np.int32)
 
 
-def chunks(column: pa.Array, size: int, first: int) -> Iterator[tuple[int, int, Windows, np.ndarray]]:
+def chunks(column: pa.Array, size: int, first: int, seed: int) -> Iterator[tuple[int, int, Windows, np.ndarray]]:
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets, PIECE):
         body = data[offsets[lo] : offsets[hi]]
-        yield lo, hi, Windows(body, offsets[lo : hi + 1] - offsets[lo], size, first), body
+        yield lo, hi, Windows(body, offsets[lo : hi + 1] - offsets[lo], size, first, seed), body
 
 
 # --- levels -------------------------------------------------------------------------------
@@ -123,12 +126,12 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return named.select("doc_id", "d", v.alias("v"), "text"), fits
 
 
-def _represented(keyed: DataFrame, size: int, first: int) -> DataFrame:
+def _represented(keyed: DataFrame, size: int, first: int, seed: int) -> DataFrame:
     """(h, d, v): one row for each place of a document that represents windows by content h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, w, _ in chunks(batch.column(2), size, first):
+            for lo, _, w, _ in chunks(batch.column(2), size, first, seed):
                 at = pa.array(w.seed_document + lo)
                 yield pa.RecordBatch.from_arrays([pa.array(w.seeds), batch.column(0).take(at), batch.column(1).take(at)], names=["h", "d", "v"])
 
@@ -141,12 +144,12 @@ def _singles(represented: DataFrame) -> DataFrame:
     return alone.groupBy("d", "v").agg(F.collect_list("h").alias("singles"))
 
 
-def _hashed(have: DataFrame, size: int, first: int, length: int, lost: list[str]) -> DataFrame:
+def _hashed(have: DataFrame, size: int, first: int, seed: int, length: int, lost: list[str]) -> DataFrame:
     """(h, g, d, start, v) of each candidate window, hashed over its first ``length`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w, _ in chunks(batch.column("text"), size, first):
+            for lo, hi, w, _ in chunks(batch.column("text"), size, first, seed):
                 which = np.flatnonzero(w.candidates(*[batch.column(c).slice(lo, hi - lo) for c in ("singles", *lost)]))
                 h, g = w.hashed(which, length)
                 document = w.document[which]
@@ -178,19 +181,19 @@ def _alone(windows: DataFrame, name: str) -> DataFrame:
 
 def dedup(docs: DataFrame, size: int = SIZE, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space) of each row."""
-    lengths, key = levels_of(size, first), ["d", "v"]
+    lengths, key, seed = levels_of(size, first), ["d", "v"], secret()
     source, fits = _keyed(docs)
-    have = source.join(_singles(_represented(source, size, first)), key, "left")
+    have = source.join(_singles(_represented(source, size, first, seed)), key, "left")
     lost: list[str] = []
     for length in lengths[1:-1]:
         name = f"lost_{length}"
-        have = have.join(_alone(_hashed(have, size, first, length, lost), name), key, "left")
+        have = have.join(_alone(_hashed(have, size, first, seed, length, lost), name), key, "left")
         lost.append(name)
-    have = have.join(_firsts(_hashed(have, size, first, size, lost), fits), key, "left")
+    have = have.join(_firsts(_hashed(have, size, first, seed, size, lost), fits), key, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w, body in chunks(batch.column("text"), size, first):
+            for lo, hi, w, body in chunks(batch.column("text"), size, first, seed):
                 again = w.candidates(*[batch.column(c).slice(lo, hi - lo) for c in ("singles", *lost, "firsts")])
                 edge = np.zeros(len(w.hashes) + 1, np.int64)
                 edge[w.at[again]] += 1  # starts and ends are distinct: one window each
