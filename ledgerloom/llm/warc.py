@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,9 +106,10 @@ def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     out = out.withColumn("role", F.when(F.col("d").isNull(), F.lit("single")).when(is_first, F.lit("first")).otherwise(F.lit("again")))
     if not repeated.where("firsts > 1").isEmpty():  # whole rows repeat: one of them is the response
         tied = (F.col("role") == "first") & (F.col("firsts") > 1)
-        one = F.row_number().over(Window.partitionBy("digest").orderBy("row"))
-        ties = out.where(tied).withColumn("role", F.when(one == 1, F.lit("first")).otherwise(F.lit("again")))
-        out = out.where(~tied).unionByName(ties)
+        ties = materialize(out.where(tied), "ties")  # row numbers of one scan
+        one = materialize(ties.groupBy("digest").agg(F.min("row").alias("one")), "one")
+        ties = ties.join(one, "digest").withColumn("role", F.when(F.col("row") == F.col("one"), F.lit("first")).otherwise(F.lit("again")))
+        out = out.where(~tied).unionByName(ties.drop("one"))
     return out.select("page_id", "url", "payload", "digest", "role", "first_id", "row")
 
 
@@ -255,14 +256,31 @@ def reassembled(segments: DataFrame, payloads: bool) -> DataFrame:
     return blocks.mapInArrow(run, T.StructType([f for f in PARSED.fields if f.name in WHOLE]))
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """The rows of whole records, once each revisit is known to have the length and digest of the response it refers to; else an error.
+
+    A response that very many revisits refer to is a skewed key of the streamed side, which Spark splits.
+    """
+    again = F.col("record_type") == "revisit"
+    wanted = records.where(again).select(F.col("refers_to").alias("target")).distinct()
+    known = records.where(~again).join(wanted, F.col("record_id") == F.col("target"), "left_semi")
+    known = materialize(known.select(F.col("record_id").alias("target"), F.col("payload_bytes").alias("length"), F.col("payload_digest").alias("digest")), "referred")
+    both = records.where(again).join(known, F.col("refers_to") == F.col("target"), "left")
+    same = (F.col("payload_bytes") == F.col("length")) & (F.col("payload_digest") == F.col("digest"))
+    bad = F.raise_error(F.concat(F.lit("a revisit differs from the record it refers to, or that isn't there: "), "record_id")).cast("string")
+    checked = both.withColumn("record_id", F.when(F.coalesce(same, F.lit(False)), F.col("record_id")).otherwise(bad))
+    return records.where(~again).unionByName(checked.select(*records.columns))
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(record_id, record_type, url, payload, payload_bytes, payload_digest, refers_to) of each response and revisit.
 
-    A revisit has no payload; its length is what its HTTP head states and its digest what its record states. Without ``payloads``
-    they are decoded and measured but not returned. Each file is read once; only segments are shuffled.
+    A revisit has no payload; its length and digest are those of the response it refers to. Without ``payloads``
+    they are decoded and measured but not returned. Each file is read once; segments, revisits and the responses they refer to are shuffled.
     """
     found = materialize(parsed(spark, path, payloads), "records")
-    return found.where("segment is null").select(*WHOLE).unionByName(reassembled(found.where("segment is not null"), payloads))
+    segments = materialize(reassembled(found.where("segment is not null"), payloads), "reassembled")
+    return resolved(found.where("segment is null").select(*WHOLE).unionByName(segments))
 
 
 def page_of(ident):
