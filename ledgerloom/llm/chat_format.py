@@ -3,7 +3,8 @@
 A message is a role and a list of parts. A visitor flattens the parts in order: text is escaped and
 kept, and each image, audio or document part becomes its placeholder, repeated for its
 expanded token count, and an entry in the attachment list. Counts follow the part's size: an image's
-tiles of ``tile`` pixels a side, an audio clip's seconds and a document's pages, each times a rate.
+tiles of ``TILE`` pixels a side, an audio clip's seconds and a document's pages, each times a rate. A count above ``SHOWN`` is
+written as a number, ``<image*100000>``, so that no part's size makes a huge string.
 
     <turn>user<says>text<image><image>more text</turn>
 
@@ -15,8 +16,9 @@ each assistant turn. ``read_back`` finds turns and masked text in the formatted
 
 Defined results: null texts, roles and parts are empty; messages are ordered by turn, nulls
 first, then role, then parts; a null conversation id is a conversation; repeated rows are repeated turns;
-an unknown part kind is an attachment of one token; sizes that are null or under one count
-as one; no rows give no conversations; extra columns are ignored. A conversation is one record of the
+an unknown part kind is an attachment of one token; sizes that are null, not a number or under one count
+as one, those above 2**30 (infinity too) as 2**30; a text of any length is one part of its conversation's string, whose 2 GB are Spark's limit; no
+rows give no conversations; extra columns are ignored, whatever their names. A conversation is one record of the
 output, so its turns meet in one row; conversations are never joined to each other.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART = "struct<kind:string,text:string,ref:string,width:bigint,height:bigint,seconds:double,pages:bigint>"
-TILE, IMAGE_RATE, AUDIO_RATE, PAGE_RATE = 512, 4, 2, 8
+TILE, IMAGE_RATE, AUDIO_RATE, PAGE_RATE, MOST, SHOWN = 512, 4, 2, 8, 1 << 30, 1 << 16
 OPEN, SAYS, CLOSE = "<turn>", "<says>", "</turn>\n"
 
 
@@ -39,14 +41,16 @@ def unescape(text: Column) -> Column:
 
 
 def _tokens(p: Column) -> Column:
-    least = lambda x: F.greatest(F.coalesce(x, F.lit(1)), F.lit(1))
-    tiles = lambda x: F.ceil(least(x) / F.lit(TILE))
+    """Expanded token count of an attachment."""
+    sized = lambda x: F.greatest(F.least(F.coalesce(x, F.lit(1)), F.lit(MOST)), F.lit(1))
+    tiles = lambda x: F.ceil(sized(x) / F.lit(TILE))
+    seconds = F.when(F.isnan(p["seconds"]), F.lit(1.0)).otherwise(sized(p["seconds"]))
     return (
         F.when(p["kind"] == "image", tiles(p["width"]) * tiles(p["height"]) * IMAGE_RATE)
-        .when(p["kind"] == "audio", F.ceil(least(p["seconds"])) * AUDIO_RATE)
-        .when(p["kind"] == "document", least(p["pages"]) * PAGE_RATE)
+        .when(p["kind"] == "audio", F.ceil(seconds) * AUDIO_RATE)
+        .when(p["kind"] == "document", sized(p["pages"]) * PAGE_RATE)
         .otherwise(F.lit(1))
-        .cast("int")
+        .cast("long")
     )
 
 
@@ -54,10 +58,16 @@ def _mark(p: Column) -> Column:
     return F.when(p["kind"].isin("image", "audio", "document"), F.concat(F.lit("<"), p["kind"], F.lit(">"))).otherwise(F.lit("<attachment>"))
 
 
+def _shown(p: Column) -> Column:
+    """The placeholder, once for each token."""
+    mark, count = _mark(p), _tokens(p)
+    return F.when(count <= SHOWN, F.repeat(mark, F.least(count, F.lit(SHOWN)).cast("int"))).otherwise(F.concat(F.rtrim(mark, F.lit(">")), F.lit("*"), count.cast("string"), F.lit(">")))
+
+
 def _visit(parts: Column) -> Column:
     """The flattened text of a message's parts."""
     own = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    shown = F.transform(own, lambda p: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.repeat(_mark(p), _tokens(p))))
+    shown = F.transform(own, lambda p: F.when(F.coalesce(p["kind"], F.lit("text")) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(_shown(p)))
     return F.array_join(shown, "")
 
 
