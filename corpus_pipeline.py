@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); ``run`` writes its result to the shared folder as Parquet and
 gives what it reads back to the next. All but the last return the columns of documents.
+
+Stages need doc_id and text (the first also lang; a table without it is an error) and keep all other columns as they are, whatever their names; the last adds
+its own, which replace columns of their names. Null texts go in the first stage, as do empty ones; ties, repeated rows,
+long texts and empty tables are treated as each stage's operator states.
 """
 
 from __future__ import annotations
@@ -9,27 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, language_id, line_dedup, near_dedup, piece_bpe
+from ledgerloom.llm import decontaminate, language_id, line_dedup, piece_bpe, simhash
 from ledgerloom.llm.common import materialize, table
 from ledgerloom.llm.queries import piece_model
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; the model is fitted on the labelled rows outside the held-out fold."""
-    found = language_id.predict(docs, language_id.fit_unheld(docs))
-    return found.where("not rejected").select(*[f"`{c}`" for c in docs.columns])
+    return language_id.accepted(docs, language_id.fit_unheld(docs))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the blocks that an earlier document has; documents that lose every line go. n_chars follows the text."""
-    found = line_dedup.clean(docs).where("n_deleted = 0 or n_deleted < n_lines")
-    counted = found.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return counted.select(*[f"`{c}`" for c in docs.columns])
+    """Texts without the blocks that an earlier document has; documents that lose every line go. n_chars, where docs have it, follows the text."""
+    return line_dedup.cleaned(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles with a similarity of 0.8 or more."""
-    return near_dedup.keep_first(docs)
+    return simhash.keep_similar(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,19 +6,21 @@ other characters than letters as one space), hashed to ``dims`` places, weighted
 spherical k-means; the prediction is the language of the centroid with the largest cosine.
 
 A prediction is rejected when its distance, 1 - cosine, is larger than the limit for texts with
-about as many distinct n-grams (by powers of two): the largest distance in the labelled sample times
-``slack``, so texts like the labelled ones stay. ``farthest`` is the limit where the sample has
-under ``ENOUGH`` such texts, and the most that any limit can be; ``nearest`` is the least, so that texts in
+about as many distinct n-grams (by powers of two): the largest distance of all labelled rows of that size from
+the nearest centroid of their language, times ``slack``, so texts like the labelled ones stay. ``farthest`` is the limit where
+under ``ENOUGH`` such rows are labelled, and the most that any limit can be; ``nearest`` is the least, so that texts in
 two of the languages stay.
 
-Document frequencies cover all labelled rows. Centroids are fitted on a bounded sample of at
-most ``per_language`` labelled rows of each language and ``MOST_SAMPLE`` in all, taken by a hash of
-their ids; their texts are read whole, and the driver gets their vectors.
+Document frequencies and limits cover all labelled rows. Centroids are fitted on a bounded sample of at
+most ``per_language`` labelled rows of each language and ``MOST_SAMPLE`` in all (one of each language at least), taken by a hash of
+their ids; their texts are read whole, and the driver gets their vectors. No language is left out: more than
+``MOST_LANGUAGES`` of them, for which the model would not fit a worker, are an error.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0 and are rejected;
 rows with a null lang teach nothing; with no labelled row all predictions are ``und``; ties go to the
 first language by name; a null doc_id hashes like the empty string; repeated rows get equal
-results; extra columns are ignored by ``predict``.
+results; a text of any length is read whole, by a task that holds its code points; an empty table gives an empty table. ``predict`` keeps
+all columns but those of its output's names, which it replaces; ``accepted`` keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import U64, mix, row_chunks, text_bytes
+from .common import U64, col, mix, packed, row_chunks, text_bytes, unpacked
 
-DIMS, PER_LANGUAGE, CENTROIDS, SLACK, NEAREST, FARTHEST, ENOUGH, MOST_LANGUAGES, MOST_SAMPLE, ROUNDS = 4096, 400, 4, 1.1, 0.8, 0.93, 30, 1000, 8000, 8
-UNKNOWN = "und"
+DIMS, PER_LANGUAGE, CENTROIDS, SLACK, NEAREST, FARTHEST, ENOUGH, MOST_LANGUAGES, MOST_SAMPLE, ROUNDS = 4096, 400, 4, 1.1, 0.8, 0.93, 30, 8000, 8000, 8
+UNKNOWN, MADE = "und", ("lang_pred", "score", "rejected")
 
 
 def _folded() -> np.ndarray:
@@ -60,8 +63,8 @@ def letters_of(text: bytes) -> np.ndarray:
     plain = _fold[0][np.where(high, 32, points)]
     if high.any():
         for k in np.flatnonzero(high):
-            if chr(points[k]).isalpha():
-                plain[k] = points[k]
+            if (c := chr(points[k])).isalpha():
+                plain[k] = ord(c.lower()[0])
     plain = np.concatenate([[32], plain, [32]])
     gap = plain == 32
     return plain[~(gap & np.concatenate([[False], gap[:-1]]))]
@@ -146,7 +149,9 @@ def fit(labelled: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE,
     The driver receives ``dims`` document frequencies and at most ``per_language`` vectors a language.
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", "key")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Centroids([], np.ones(dims, np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(int(np.log2(dims)) + 1))
     per_language = max(1, min(per_language, MOST_SAMPLE // len(sizes)))
@@ -180,43 +185,66 @@ def fit(labelled: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE,
         if len(got.setdefault(r.lang, [])) < per_language:
             got[r.lang].append(np.frombuffer(r.vector, np.float16))
     languages, places, owner = sorted(got), [], []
-    sizes_of, apart = [], []
     for k, lang in enumerate(languages):
-        x = np.stack(got[lang]).astype(np.float32)
-        c = _clusters(x, centroids, ROUNDS)
+        c = _clusters(np.stack(got[lang]).astype(np.float32), min(centroids, max(1, MOST_SAMPLE // len(languages))), ROUNDS)
         places.append(c)
         owner += [k] * len(c)
-        sizes_of.append(_size_class(x))
-        apart.append(1 - (x @ c.T).max(1))
-    limits = np.full(int(np.log2(dims)) + 1, farthest)
-    for k in range(len(limits) if languages else 0):
-        like = np.concatenate(apart)[np.concatenate(sizes_of) == k]
-        if len(like) >= ENOUGH:
-            limits[k] = min(farthest, max(nearest, float(like.max()) * slack))
-    return Centroids(languages, idf, np.concatenate(places).astype(np.float32) if places else np.zeros((0, dims), np.float32), np.array(owner, int), limits)
+    classes = int(np.log2(dims)) + 1
+    model = Centroids(languages, idf, np.concatenate(places).astype(np.float32) if places else np.zeros((0, dims), np.float32), np.array(owner, int), np.full(classes, farthest))
+    if languages:
+        for r in _spread(rows, model, dims).collect():
+            if r.n >= ENOUGH:
+                model.limits[r.size] = min(farthest, max(nearest, r.apart * slack))
+    return model
 
 
-def predict(docs: DataFrame, model: Centroids, dims: int = DIMS) -> DataFrame:
-    """Adds lang_pred, score and rejected to each row, from its text alone."""
+def _spread(rows: DataFrame, model: Centroids, dims: int) -> DataFrame:
+    """(size, apart, n): the largest distance of labelled rows from their own language's nearest centroid, by size class."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        number = {lang: k for k, lang in enumerate(m.languages)}
+        most, many = np.zeros(len(m.limits)), np.zeros(len(m.limits), np.int64)
+        for batch in batches:
+            owner = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()])
+            for at, counts, some in _vectors(batch.column(0), dims):
+                mine = owner[at : at + len(counts)]
+                near = np.where(m.language[None] == mine[:, None], _weighted(counts, m.idf) @ m.places.T, -1)
+                known = np.flatnonzero(some & (mine >= 0))
+                size = _size_class(counts[known])
+                np.maximum.at(most, size, 1 - near[known].max(1))
+                np.add.at(many, size, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most))), pa.array(most), pa.array(many)], names=["size", "apart", "n"])
+
+    return rows.select("text", "lang").mapInArrow(run, "size bigint, apart double, n bigint").groupBy("size").agg(F.max("apart").alias("apart"), F.sum("n").alias("n"))
+
+
+def _predicted(docs: DataFrame, model: Centroids, dims: int, text: str) -> DataFrame:
+    """(row, lang_pred, score, rejected): each row in a struct, and what its text alone says."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    made = ("lang_pred", "score", "rejected")
-    keep = [c for c in docs.columns if c not in made]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep])
-    where = keep.index("text")
+    source = packed(docs, col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for at, counts, some in _vectors(batch.column(where), dims):
+            for at, counts, some in _vectors(batch.column(1), dims):
                 lang, cosine, rejected = m.predict(counts, some)
-                part = batch.slice(at, len(counts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[lang], pa.string()), pa.array(cosine), pa.array(rejected)], names=[*keep, *made])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(counts)), pa.array(names[lang], pa.string()), pa.array(cosine), pa.array(rejected)], names=["row", *MADE])
+
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return source.mapInArrow(run, T.StructType([source.schema["row"], *made]))
+
+
+def predict(docs: DataFrame, model: Centroids, dims: int = DIMS, text: str = "text") -> DataFrame:
+    """Adds lang_pred, score and rejected to each row, from its text alone."""
+    return unpacked(_predicted(docs, model, dims, text), [c for c in docs.columns if c not in MADE], *MADE)
 
-    from pyspark.sql import types as T
 
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, *extra]))
+def accepted(docs: DataFrame, model: Centroids, dims: int = DIMS, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject."""
+    return unpacked(_predicted(docs, model, dims, text).where("not rejected"), docs.columns)
 
 
 def fold(doc_id) -> F.Column:

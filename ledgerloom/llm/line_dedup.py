@@ -14,6 +14,8 @@ both, equal lines are anchored by occurrence: the first with the first, the seco
 A block of consecutive matched lines is deleted, but for blocks of less than ``run`` lines that are all blank.
 Deletions of all pairs of a document are united and judged on the input.
 
+A document whose lines are those of an earlier one, and not all blank, loses all of them; such copies need no alignment and are no holders.
+
 A line of a document of which no occurrence was deleted by then (its order crosses that of other lines in the first
 holder) is tried with its next holders, one, two, four and so on at a time, until it is matched or no earlier holder is left.
 
@@ -23,7 +25,8 @@ With a number for ``rare``, a line that more documents hold is no evidence by it
 Defined results: a null text stays null and has no lines; an empty text has one blank line; blank lines go if they
 lie inside a deleted block; a null doc_id is smaller than all; rows with equal id and text are one document
 and never delete lines of each other; rows of equal id and different text are ordered by a hash of
-the text; extra columns are kept by ``clean`` and ignored by ``deletions``.
+the text; a text of any length is split whole and aligned whole, by a task that holds the line hashes of a pair; an empty table gives an
+empty table; extra columns are ignored by ``deletions`` and kept by ``clean`` and ``cleaned``, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,9 +42,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordinals import numbered
-from .common import materialize
+from .common import col, materialize, packed
 
-RUN = 3
+RUN, MADE = 3, ("n_lines", "n_deleted")
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -142,6 +145,9 @@ def _evidence(keys, run: int):
 def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataFrame:
     """(k, gone): places of the lines to delete, by key of the document (a hash of doc_id and text)."""
     lines = materialize(_lines(docs), "lines")
+    copies = None
+    if rare is None:
+        lines, copies = _apart(lines)
     held = lines.select("k", "doc_id", F.explode(_evidence(F.col("keys"), run)).alias("e")).select("k", "doc_id", "e.h", "e.alone")
     me = F.struct("doc_id", "k")
     counts = held.groupBy("h", "alone").agg(F.count("*").alias("n"), F.min(me).alias("first")).where("n > 1")
@@ -156,7 +162,7 @@ def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataF
     matched = lambda x: x.select("k", F.explode("matched").alias("h")).distinct()
     left = materialize(tried[0].select("k", F.explode("left").alias("h")).join(matched(tried[0]), ["k", "h"], "left_anti"), "left")
     if not left.limit(1).count():
-        return _united(tried[0])
+        return _united(tried[0], copies)
     holders = held.where("alone").select("h", "doc_id", "k").join(left.select("h").distinct(), "h", "left_semi")
     ranks = materialize(numbered(holders, ["h"], ["doc_id", "k"], "rank").select("h", "k", "rank"), "ranks")
     left = left.join(ranks, ["k", "h"])
@@ -170,7 +176,7 @@ def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataF
         tried.append(materialize(_aligned(pairs, lines, rare, run), "aligned"))
         left = left.join(matched(tried[-1]), ["k", "h"], "left_anti")
         at, width = at + width, 2 * width
-    return _united(reduce(DataFrame.unionByName, tried))
+    return _united(reduce(DataFrame.unionByName, tried), copies)
 
 
 def _aligned(pairs: DataFrame, lines: DataFrame, rare: int | None, run: int) -> DataFrame:
@@ -197,36 +203,57 @@ def _aligned(pairs: DataFrame, lines: DataFrame, rare: int | None, run: int) ->
     return both.select("k", "few", "later", "earlier").mapInArrow(run_pairs, "k bigint, gone array<int>, matched array<bigint>, left array<bigint>")
 
 
-def _united(each: DataFrame) -> DataFrame:
+def _apart(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first document of each list of lines, and (k, gone) with all lines of the others that aren't blank."""
+    named = lines.withColumn("of", F.when(F.exists("keys", lambda x: x != 0), F.xxhash64("keys", F.size("keys"))))
+    again = named.where("of is not null").groupBy("of").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("first")).where("n > 1")
+    again = materialize(again.select("of", F.col("first.k").alias("first")), "again")
+    member = named.join(again, "of").where(F.col("k") != F.col("first"))
+    copies = materialize(member.select("k", F.sequence(F.lit(0), F.size("keys") - 1).alias("gone")), "copies")
+    return lines.join(copies.select("k"), "k", "left_anti"), copies
+
+
+def _united(each: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     united = each.where(F.size("gone") > 0).select("k", F.explode("gone").alias("p")).distinct()
-    return united.groupBy("k").agg(F.collect_set("p").alias("gone"))
+    out = united.groupBy("k").agg(F.collect_set("p").alias("gone"))
+    return out if copies is None else out.unionByName(copies)
 
 
-def clean(docs: DataFrame, rare: int | None = None, run: int = RUN, text_col: str = "text") -> DataFrame:
-    """All rows of ``docs`` with the deleted lines taken out of their text, and n_lines and n_deleted added."""
-    gone = deletions(docs.select("doc_id", F.col(text_col).alias("text")), rare, run).withColumnRenamed("k", "__k").withColumnRenamed("gone", "__gone")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__key", F.xxhash64("doc_id", text_col))
-    have = rows.join(gone, rows["__key"] == gone["__k"], "left").select(*[rows[f"`{c}`"] for c in keep], "__gone")
-    at = keep.index(text_col)
+def _cleaned(docs: DataFrame, rare: int | None, run: int, text_col: str) -> DataFrame:
+    """(row, kept, n_lines, n_deleted): each row in a struct, and its text without the deleted lines."""
+    gone = deletions(docs.select(col("doc_id").alias("doc_id"), col(text_col).alias("text")), rare, run)
+    rows = packed(docs, col(text_col).alias("text"), F.xxhash64(col("doc_id"), col(text_col)).alias("key"))
+    have = rows.join(gone, rows["key"] == gone["k"], "left").select("row", "text", "gone")
 
     def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 texts, counts, lost = [], [], []
-                for text, places in zip(batch.column(at).to_pylist(), batch.column(len(keep)).to_pylist()):
+                for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                     lines = [] if text is None else text.split("\n")
                     out = set(places or ())
                     texts.append("\n".join([x for j, x in enumerate(lines) if j not in out]) if out else text)
                     counts.append(len(lines))
                     lost.append(len(out))
-                columns = list(batch.columns[: len(keep)])
-                columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], names=[*keep, "n_lines", "n_deleted"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(lost, pa.int64())], names=["row", "kept", *MADE])
+
+    made = [T.StructField("kept", T.StringType()), *[T.StructField(n, T.LongType()) for n in MADE]]
+    return have.mapInArrow(run_rows, T.StructType([have.schema["row"], *made]))
+
+
+def clean(docs: DataFrame, rare: int | None = None, run: int = RUN, text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` with the deleted lines taken out of their text, and n_lines and n_deleted added (own columns of these names are replaced)."""
+    out = _cleaned(docs, rare, run, text_col)
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in MADE], *MADE)
+
 
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
-    return have.mapInArrow(run_rows, schema)
+def cleaned(docs: DataFrame, size_col: str | None = None, text_col: str = "text") -> DataFrame:
+    """``clean`` with the columns of ``docs`` alone, for the documents that don't lose every line; ``size_col`` gets the new length where a text changes."""
+    out = _cleaned(docs, None, RUN, text_col).where("n_deleted = 0 or n_deleted < n_lines")
+    size = lambda c: F.when(F.col("n_deleted") > 0, F.length("kept")).otherwise(F.col("row").getField(c)).cast(docs.schema[c].dataType)
+    own = lambda c: F.col("kept") if c == text_col else size(c) if c == size_col else F.col("row").getField(c)
+    return out.select(*[own(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

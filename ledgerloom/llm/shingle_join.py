@@ -1,19 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of their word shingles.
+"""Exact shingle similarity for the SimHash operator: sets, verification of candidates, and the links that no fingerprint shows.
 
-Two texts link when their sets of five-word shingles have a similarity of at least 4/5. The search is a prefix
-join and misses none: two sets of n and m shingles that similar share at least 4/9 of n + m, so in any one order of
+Two texts link when their sets of five-word shingles have a Jaccard similarity of at least 4/5. Candidates of the
+fingerprint search are verified on their whole sets. Fingerprints of 64 bits of two such texts may differ in 20 bits, so the rest is found by a
+prefix join, which misses none: two sets of n and m shingles that similar share at least 4/9 of n + m, so in any one order of
 all shingles they share one within the first n - ceil(4n/5) + 1 of either. The order puts the commonest shingles of a
-sample last, then goes by hash; the sample decides the cost, never the result. Candidates are verified on
-their whole sets. Sizes and the places of a first shared shingle rule out most others before that.
+sample last, then goes by hash; the sample decides the cost, never the result. Pairs that are connected already aren't compared; sizes
+and the places of a first shared shingle rule out most others.
 
 A shingle that more than ``dense`` prefixes hold isn't paired up at once. Its holders are compared with one
 leader each round; what then has one root needs no more comparisons. Holders of different roots that are
 left after ``leaders`` rounds are compared pair by pair, so the result stays exact: only a crowd of texts that share
 their rarest shingles and aren't near-duplicates costs more than its size.
-
-Defined results: words are split at ASCII white space, A-Z count as a-z; null, empty and wordless texts have
-no shingle and link with each other; fewer words than the shingle size make one shingle; shingles compare by
-64-bit hashes; links are transitive; all columns are kept.
 """
 
 from __future__ import annotations
@@ -30,6 +27,7 @@ from .common import ASCII_LOWER, NOT_SPACE, materialize, row_chunks, text_bytes,
 from .components import components
 
 WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
+PART = 1 << 14
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -52,7 +50,15 @@ def _name(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _hot(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+def bits_of(shingles: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes, as a signed number: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), PART):
+        counts += np.unpackbits(shingles[at : at + PART].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of one text in ``sampled``, sorted, and their ranks from rare to common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +75,8 @@ def _hot(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndar
     return hot[order], -order
 
 
-def _prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, text_hash, fp, n, prefix): fp names the set of n shingles, prefix has its first ones in the common order."""
+def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, text_hash, fp, bits, n, prefix): fp names the set of n shingles, bits is its SimHash, prefix has its first ones in the common order."""
     p, q = similar
     common, rank = hot
 
@@ -78,9 +84,10 @@ def _prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                names, sizes, firsts = [], [], []
+                names, bits, sizes, firsts = [], [], [], []
                 for s in shingle_sets(part.column(2), words):
                     names.append(_name(s))
+                    bits.append(bits_of(s))
                     n = len(s)
                     sizes.append(n)
                     if n and len(common):
@@ -91,13 +98,13 @@ def _prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[
                     firsts.append(s[: n - (p * n + q - 1) // q + 1 if n else 0])
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "text_hash", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "text_hash", "fp", "bits", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, n int, prefix array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bits bigint, n int, prefix array<bigint>")
 
 
-def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose sets are similar, told from the whole sets."""
     p, q = similar
     pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
@@ -126,9 +133,10 @@ def _verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, s
     return materialize(both.mapInArrow(compare, "u bigint, v bigint"), "near")
 
 
-def roots(docs: DataFrame, found: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
-    """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows."""
+def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
+    """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows and the links known so far."""
     p, q = similar
+    known = components(links)
     copies = materialize(found.groupBy("fp").count().where("count > 1").select("fp"), "copies")
     once = found.join(copies, "fp", "left_anti").select("fp", "n", "prefix")
     again = found.join(copies, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -142,7 +150,10 @@ def roots(docs: DataFrame, found: DataFrame, words: int, similar: tuple[int, int
     pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & fits).select("u", "v")
     crowd = held.where(F.col("m") > dense).select("h", "fp", "n", "at", "leader")
     led = crowd.where("fp <> leader").select(F.col("leader").alias("u"), F.col("fp").alias("v"))
-    links = _verified(pairs.unionByName(led), found, docs, words, similar)
+    rooted = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    open_pairs = pairs.unionByName(led).join(rooted("u"), "u", "left").join(rooted("v"), "v", "left")
+    more = verified(open_pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")), found, docs, words, similar)
+    links = links.unionByName(more)
     whole = components(links)
     if not crowd.limit(1).count():
         return whole
@@ -163,25 +174,8 @@ def roots(docs: DataFrame, found: DataFrame, words: int, similar: tuple[int, int
             rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
             all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
             more = rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v")
-        found_more = _verified(more, found, docs, words, similar)
+        found_more = verified(more, found, docs, words, similar)
         if found_more.limit(1).count():
             links = links.unionByName(found_more)
             whole = components(links)
     return whole
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR, dense: int = DENSE, leaders: int = LEADERS, sampled: int = SAMPLED) -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest id (null last), then the smallest text hash."""
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    found = materialize(_prefixes(source, words, similar, _hot(source, words, dense, sampled)), "prefixes")
-    whole = materialize(roots(source, found, words, similar, dense, leaders).withColumnRenamed("node", "fp"), "roots")
-    rows = found.select("doc_id", "text_hash", "fp").join(whole, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    several = materialize(rows.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1").select("root", "first"), "several")
-    member = rows.join(several, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
-    gone = materialize(member.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone")
-    hashed = docs.withColumn("__of_text", F.xxhash64(f"`{text_col}`"))
-    left = hashed.join(gone, hashed[f"`{id_col}`"].eqNullSafe(gone["__id"]) & (hashed["__of_text"] == gone["__hash"]), "left_anti")
-    if found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # the same row again
-        left = left.dropDuplicates([id_col, "__of_text"])
-    return left.select(*[left[f"`{c}`"] for c in docs.columns])

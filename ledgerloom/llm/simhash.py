@@ -13,10 +13,16 @@ bit of themselves (for distance 2): two of them share a listed value exactly if
 they differ in two bits at most, and at most 65 can share one, so each list value
 links its holders to its smallest with no pairs. Both ways are exact.
 
+``keep_similar`` is near-dedup by similarity: fingerprints of five-word shingle sets, the same search, every candidate
+verified on its whole shingle set (Jaccard 4/5 or more), and the links that the fingerprints don't show found by
+``shingle_join``. At a similarity of 4/5, 64-bit fingerprints are expected to differ in 10 bits and may differ in 20; a pigeonhole
+search that wide meets a large share of all pairs, so the search stays at ``distance`` bits and the join completes it.
+
 Defined results: null, empty and wordless texts have fingerprint zero and link like any
 other; fewer words than the shingle size make one shingle; repeated rows link to
 each other; a null doc_id never becomes a component id unless all its members are null;
-columns other than the two named ones are ignored by ``link`` and kept by ``keep_first``.
+columns other than the two named ones are ignored by ``link`` and kept, whatever their names, by ``keep_first`` and ``keep_similar``; a
+text of any length is read whole, in parts of bounded memory beyond its words; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import shingle_join
+from .common import col, materialize, packed, unpacked
 from .components import components
 
 SEED, WORDS, DISTANCE, DENSE, SAMPLE = 42, 3, 2, 128, 4000
@@ -214,14 +221,53 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _without(docs: DataFrame, gone: DataFrame, repeats: bool, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (id, hash) is not in ``gone``; with ``repeats`` equal rows by id and text are kept once."""
+    rows = packed(docs, col(id_col).alias("id"), F.xxhash64(col(text_col)).alias("hash"))
+    left = rows.join(gone, rows["id"].eqNullSafe(gone["gone_id"]) & rows["hash"].eqNullSafe(gone["gone_hash"]), "left_anti")
+    return unpacked(left.dropDuplicates(["id", "hash"]) if repeats else left, docs.columns)
+
+
+def _others(rows: DataFrame) -> DataFrame:
+    """(gone_id, gone_hash) of the rows (root, doc_id, text_hash) that aren't the first of their root."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    several = materialize(rows.groupBy("root").agg(F.min(row).alias("first"), F.count("*").alias("c")).where("c > 1").select("root", "first"), "several")
+    member = rows.join(several, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    return materialize(member.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+
+
+def _repeats(found: DataFrame) -> bool:
+    """Whether the same row comes again."""
+    return not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest id (null last), then the smallest text hash."""
     fps, rooted = _rooted(docs, id_col, text_col, size, distance, dense)
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = fps.groupBy("fp").agg(F.min(row).alias("row")).join(rooted, "fp").groupBy("root").agg(F.min("row").alias("row"))
-    kept = materialize(first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash")), "kept")
-    hashed = docs.withColumn("__of_text", F.xxhash64(text_col))
-    rows = hashed.join(kept, hashed[id_col].eqNullSafe(kept["__id"]) & (hashed["__of_text"] == kept["__hash"]), "left_semi")
-    if fps.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():  # the same row again
-        rows = rows.dropDuplicates([id_col, "__of_text"])
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
+    rooted = materialize(rooted, "rooted")
+    return _without(docs, _others(fps.join(rooted, "fp")), _repeats(fps), id_col, text_col)
+
+
+def set_links(found: DataFrame, distance: int, dense: int) -> DataFrame:
+    """(u, v) candidates among the sets ``fp``, by a search of their fingerprints ``bits``: enough to connect all within ``distance`` bits, were all of them similar."""
+    nodes = materialize(found.groupBy("bits").agg(F.min("fp").alias("least")), "nodes")
+    same = found.select("bits", "fp").distinct().join(nodes, "bits").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    near = links(nodes.select(F.col("bits").alias("fp")), distance, dense)
+    ends = lambda x: nodes.select(F.col("bits").alias(x), F.col("least").alias(f"least_{x}"))
+    across = near.join(ends("u"), "u").join(ends("v"), "v").select(F.col("least_u").alias("u"), F.col("least_v").alias("v"))
+    return same.unionByName(across.where("u <> v"))
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = shingle_join.WORDS, similar: tuple[int, int] = shingle_join.SIMILAR, distance: int = DISTANCE, dense: int = DENSE, crowded: int = shingle_join.DENSE, leaders: int = shingle_join.LEADERS, sampled: int = shingle_join.SAMPLED) -> DataFrame:
+    """One row of ``docs`` for each group of near-duplicates, that with the smallest id (null last), then the smallest text hash.
+
+    Two texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``similar`` (a ratio) or more; links are transitive.
+    """
+    source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    hot = shingle_join.hot_shingles(source, size, crowded, sampled)
+    found = materialize(shingle_join.prefixes(source, size, similar, hot), "prefixes")
+    near = shingle_join.verified(set_links(found, distance, dense), found, source, size, similar)
+    whole = shingle_join.completed(source, found, near, size, similar, crowded, leaders)
+    roots = materialize(whole.withColumnRenamed("node", "fp"), "roots")
+    rows = found.select("doc_id", "text_hash", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _without(docs, _others(rows), _repeats(found), id_col, text_col)

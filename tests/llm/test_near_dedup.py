@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from ledgerloom.llm import near_dedup
+from ledgerloom.llm import simhash
 
 
 def shingles(text, size=5):
@@ -68,7 +68,7 @@ def planted(seed):
 def test_all_pairs(spark, dense, leaders, sampled):
     rows = planted(dense)
     df = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, root string").repartition(4)
-    got = near_dedup.keep_first(df, dense=dense, leaders=leaders, sampled=sampled)
+    got = simhash.keep_similar(df, crowded=dense, leaders=leaders, sampled=sampled)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(min(g)[0] for g in kept(rows))
 
@@ -90,5 +90,5 @@ def test_pipeline_drops_copies_from_similarity_080(spark):
 def test_rows(spark):
     rows = [(1, "a b c d", "k"), (2, "a b c d", "k"), (2, "a b c d", "k"), (3, "other words here now", "k"), (3, "a third text altogether x", "k"), (3, "a third text altogether x", "k"), (None, "a b c d", "k"), (None, "only null", "k"), (None, None, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, __kept string")
-    assert sorted(map(tuple, near_dedup.keep_first(df).collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[7], rows[8]], key=str)
-    assert near_dedup.keep_first(df.limit(0)).count() == 0
+    assert sorted(map(tuple, simhash.keep_similar(df).collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[7], rows[8]], key=str)
+    assert simhash.keep_similar(df.limit(0)).count() == 0
