@@ -7,10 +7,11 @@ all shingles they share one within the first n - ceil(4n/5) + 1 of either. The o
 sample last, then goes by hash; the sample decides the cost, never the result. Pairs that are connected already aren't compared; sizes
 and the places of a first shared shingle rule out most others.
 
-A shingle that more than ``dense`` prefixes hold isn't paired up at once. Its holders are compared with one
-leader each round; what then has one root needs no more comparisons. Holders of different roots that are
-left after ``leaders`` rounds are compared pair by pair, so the result stays exact: only a crowd of texts that share
-their rarest shingles and aren't near-duplicates costs more than its size.
+A shingle that more than ``dense`` prefixes hold isn't paired up at once. Its holders are compared with a few
+leaders; what then has one root needs no more comparisons. Holders of different roots that are
+left are compared pair by pair, so the result stays exact: only a crowd of texts that share
+their rarest shingles and aren't near-duplicates costs more than its size. Components are found on the roots known so far, so
+later rounds have small graphs.
 """
 
 from __future__ import annotations
@@ -104,10 +105,14 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bits bigint, n int, prefix array<bigint>")
 
 
-def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose sets are similar, told from the whole sets."""
+def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) whose sets are similar, told from the whole sets; those that have one root in ``whole`` are left out."""
     p, q = similar
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    if whole is not None:
+        rooted = lambda x: whole.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        pairs = pairs.join(rooted("u"), "u", "left").join(rooted("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+    pairs = materialize(pairs.select("u", "v"), "pairs")
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = materialize(found.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select(F.col("text_hash").alias("__hash")).distinct(), "wanted")
 
@@ -133,49 +138,49 @@ def verified(pairs: DataFrame, found: DataFrame, docs: DataFrame, words: int, si
     return materialize(both.mapInArrow(compare, "u bigint, v bigint"), "near")
 
 
+def _joined(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) with more links: components of the roots, put in place of them."""
+    rooted = lambda x: whole.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = links.join(rooted("u"), "u", "left").join(rooted("v"), "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    top = components(between)
+    moved = whole.join(top.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return materialize(moved.unionByName(top.join(whole.select("node"), "node", "left_anti")), "whole")
+
+
 def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
     """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows and the links known so far."""
     p, q = similar
-    known = components(links)
+    whole = components(links)
     copies = materialize(found.groupBy("fp").count().where("count > 1").select("fp"), "copies")
     once = found.join(copies, "fp", "left_anti").select("fp", "n", "prefix")
     again = found.join(copies, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     held = once.unionByName(again).select("fp", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = materialize(held.groupBy("h").agg(F.count("*").alias("m"), F.min("fp").alias("leader")).where("m > 1"), "shared")
+    shared = materialize(held.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     held = materialize(held.join(shared, "h"), "held")
 
     fits = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & ((F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p)
     few = held.where(F.col("m") <= dense)
     other = few.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"))
     pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & fits).select("u", "v")
-    crowd = held.where(F.col("m") > dense).select("h", "fp", "n", "at", "leader")
-    led = crowd.where("fp <> leader").select(F.col("leader").alias("u"), F.col("fp").alias("v"))
-    rooted = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    open_pairs = pairs.unionByName(led).join(rooted("u"), "u", "left").join(rooted("v"), "v", "left")
-    more = verified(open_pairs.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")), found, docs, words, similar)
-    links = links.unionByName(more)
-    whole = components(links)
-    if not crowd.limit(1).count():
+    crowd = held.where(F.col("m") > dense).select("h", "fp", "n", "at")
+    crowded = not crowd.isEmpty()
+    if crowded and leaders:
+        picked = crowd.groupBy("h").agg(*[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"leader_{k}") for k in range(leaders)])
+        picked = materialize(picked.select("h", F.explode(F.array_distinct(F.array(*[f"leader_{k}" for k in range(leaders)]))).alias("u")), "leaders")
+        pairs = pairs.unionByName(crowd.select("h", F.col("fp").alias("v")).join(picked, "h").where("u <> v").select("u", "v"))
+    whole = _joined(whole, verified(pairs, whole, found, docs, words, similar))
+    if not crowded:
+        return whole
+    members = crowd.join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = materialize(members, "members")
+    apart = materialize(members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "apart")
+    if apart.isEmpty():
         return whole
-    for k in range(leaders + 1):
-        members = crowd.drop("leader").join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        members = materialize(members, "members")
-        by = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(k))).alias("leader"))
-        apart = materialize(by.where("low <> high").select("h", "leader"), "apart")
-        if not apart.limit(1).count():
-            return whole
-        open_ = members.join(apart, "h")
-        if k < leaders:
-            more = open_.where(F.col("root") != F.col("leader.root")).select(F.col("leader.fp").alias("u"), F.col("fp").alias("v"))
-        else:  # the holders outside the commonest root of a shingle, with all holders of other roots
-            open_ = materialize(open_.drop("leader"), "open")
-            sizes = open_.groupBy("h", "root").agg(F.count("*").alias("c"))
-            main = materialize(sizes.groupBy("h").agg(F.max_by("root", "c").alias("main")), "main")
-            rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
-            all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
-            more = rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v")
-        found_more = verified(more, found, docs, words, similar)
-        if found_more.limit(1).count():
-            links = links.unionByName(found_more)
-            whole = components(links)
-    return whole
+    # The holders outside the commonest root of a shingle, with all holders of other roots.
+    open_ = materialize(members.join(apart, "h"), "open")
+    sizes = open_.groupBy("h", "root").agg(F.count("*").alias("c"))
+    main = materialize(sizes.groupBy("h").agg(F.max_by("root", "c").alias("main")), "main")
+    rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
+    all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+    more = rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v")
+    return _joined(whole, verified(more, whole, found, docs, words, similar))

@@ -266,7 +266,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     hot = shingle_join.hot_shingles(source, size, crowded, sampled)
     found = materialize(shingle_join.prefixes(source, size, similar, hot), "prefixes")
-    near = shingle_join.verified(set_links(found, distance, dense), found, source, size, similar)
+    near = shingle_join.verified(set_links(found, distance, dense), None, found, source, size, similar)
     whole = shingle_join.completed(source, found, near, size, similar, crowded, leaders)
     roots = materialize(whole.withColumnRenamed("node", "fp"), "roots")
     rows = found.select("doc_id", "text_hash", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
