@@ -1,7 +1,8 @@
 """SentencePiece merge-type (BPE) encoding and decoding by backtracking.
 
 The result of merging is found without running the merges. An Aho-Corasick
-automaton lists the pieces that start at each place. The encoder takes the
+automaton of the reversed pieces, run over the reversed text, tells the longest piece that starts at each place; all others that start
+there are pieces that this one begins with. The encoder takes the
 longest piece that is compatible with the piece before it, and steps back when
 none fits; a bitfield marks places from which the rest is known to fail. Two
 neighbours are compatible when merging their joined characters again yields
@@ -11,10 +12,14 @@ are all compatible.
 Texts are cut where no piece can cross (before a run of the space mark, and
 around characters that no piece holds), so short words come from a bounded cache.
 
+Texts of over ``LONG`` characters are encoded, joined and decoded some words at a time. A run of over ``FRAME``
+characters without a cut is searched with the matches of a few frames at a time, and what is kept of it is a bit for each
+character and some packed numbers for each piece, so one run of 50 MB fits a task.
+
 Defined results: null texts are empty and give no ids; characters outside the
 vocabulary give their UTF-8 bytes as byte pieces; control strings in a text are
-ordinary characters; repeated rows are encoded alike; other columns, whatever
-their names, are kept by ``encode_documents`` unless they clash with its output
+ordinary characters; repeated rows are encoded alike; texts of any length are encoded whole; an empty table gives an
+empty table; other columns, whatever their names, are kept by ``encode_documents`` unless they clash with its output
 columns, which replace them.
 """
 
@@ -23,18 +28,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import col
+
 SPACE = "▁"
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 300_000, 400_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 125_000, 400_000, 48
+LONG, FRAME, FRAMES, PART = 1 << 18, 1 << 14, 4, 1 << 16
 
 
 class PieceModel:
@@ -67,15 +77,20 @@ class PieceModel:
             self.bytes[i] = bytes([b])
         self.shown = [str(i) for i in range(size)]
         self._spines()
+        self.longest = max(map(len, self.ids))
         self.finder = ahocorasick.Automaton()
-        for i in plain:
-            if i in self.reached:
-                self.finder.add_word(self.text[i], i)
+        for i in self.reached:
+            self.finder.add_word(self.text[i][::-1], i)
         self.finder.make_automaton()
+        #: (length, piece) of the reachable pieces that a piece begins with, the longest first.
+        self.starts = {i: [(n, j) for n in range(len(t), 0, -1) if (j := self.ids.get(t[:n])) in self.reached] for i in self.reached for t in (self.text[i],)}
         outside = "".join(re.escape(c) for c in "\n\t\r" if c not in self.chars)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{outside}]+|{SPACE}+|[{outside}]" if outside else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        #: Words met lately, and those met before them.
+        self.words: dict[str, tuple[bytes, str, bytes]] = {}
+        self.older: dict[str, tuple[bytes, str, bytes]] = {}
+        self.pairs: defaultdict[int, dict[int, bool]] = defaultdict(dict)
+        self.held = 0
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Merges by rank, leftmost first, on a few characters; also the parts of the last merge."""
@@ -148,87 +163,169 @@ class PieceModel:
                     return False
         return True
 
+    def _longest(self, text: str) -> dict[int, int]:
+        """The longest piece that starts at each place, places counted from the end of the text."""
+        return dict(reversed(list(self.finder.iter(text[::-1]))))  # of one place the longest comes first
+
     def _known(self, text: str) -> list[int]:
         """Encoding of characters that all are pieces."""
-        at: list[list[tuple[int, int]]] = [[] for _ in text]
-        for end, i in self.finder.iter(text):
-            at[end + 1 - len(self.text[i])].append((end + 1, i))  # ends ascend: shorter pieces come first
-        n, pairs = len(text), self.pairs
-        failed = bytearray(n + 1)  # places that no encoding of the rest follows, given any piece before it that was tried
+        n, pairs, starts, longest = len(text), self.pairs, self.starts, self._longest(text)
+        failed = 0  # bits of places that no encoding of the rest follows, given any piece before it that was tried
         pieces: list[int] = []
-        choice = [len(at[0])]
-        place = [0]
+        left = []  # of each piece: the options that weren't tried, its place, and what is known of its left neighbour
+        here, known, options = 0, None, iter(starts[longest[n - 1]])
         while True:
-            k, here = choice[-1], place[-1]
-            before = pieces[-1] if pieces else None
-            options = at[here]
-            while k:
-                k -= 1
-                end, i = options[k]
-                if failed[end]:
+            for size, i in options:
+                end = here + size
+                if failed >> end & 1:
                     continue
-                if before is not None:
-                    ok = pairs.get(before << 32 | i)
-                    if ok is None:
-                        if len(pairs) >= CACHE_PAIRS:
-                            pairs.clear()
-                        ok = pairs[before << 32 | i] = self.fits(before, i)
-                    if not ok:
+                if known is not None:
+                    ok = known.get(i)
+                    if not (self._pair(pieces[-1], i) if ok is None else ok):
                         continue
-                choice[-1] = k
                 pieces.append(i)
                 if end == n:
                     return pieces
-                place.append(end)
-                choice.append(len(at[end]))
+                left.append((options, here, known))
+                here, known, options = end, pairs[i], iter(starts[longest[n - 1 - end]])
+                break
+            else:
+                if not pieces:
+                    raise ValueError("no encoding found")
+                failed |= 1 << here
+                pieces.pop()
+                options, here, known = left.pop()
+
+    def _framed(self, text: str) -> array:
+        """``_known`` for a long run: longest pieces of a few frames at a time, packed numbers for what is chosen."""
+        n, frames = len(text), {}
+
+        def options(here: int) -> list[tuple[int, int]]:
+            f = here // FRAME
+            if f not in frames:
+                part = text[f * FRAME : (f + 1) * FRAME + self.longest]
+                frames[f] = len(part) - 1 + f * FRAME, self._longest(part)
+                if len(frames) > FRAMES:
+                    del frames[next(iter(frames))]
+            last, longest = frames[f]
+            return self.starts[longest[last - here]]
+
+        failed = bytearray((n >> 3) + 1)
+        pieces, choice, place = array("i"), array("h"), array("q")
+        here, k = 0, 0
+        while True:
+            tried = options(here)
+            while k < len(tried):
+                size, i = tried[k]
+                k += 1
+                end = here + size
+                if failed[end >> 3] >> (end & 7) & 1 or pieces and not self._pair(pieces[-1], i):
+                    continue
+                pieces.append(i)
+                if end == n:
+                    return pieces
+                place.append(here)
+                choice.append(k)
+                here, k = end, 0
                 break
             else:
                 if not pieces:
                     raise ValueError("no encoding found")
-                failed[here] = 1
+                failed[here >> 3] |= 1 << (here & 7)
                 pieces.pop()
-                place.pop()
-                choice.pop()
+                here, k = place.pop(), choice.pop()
+
+    def _pair(self, before: int, i: int) -> bool:
+        ok = self.pairs[before].get(i)
+        if ok is None:
+            if self.held >= CACHE_PAIRS:
+                for x in self.pairs.values():
+                    x.clear()
+                self.held = 0
+            self.held += 1
+            ok = self.pairs[before][i] = self.fits(before, i)
+        return ok
 
-    def _word(self, text: str) -> tuple[int, ...]:
+    def _word(self, text: str) -> array:
+        known = self._known if len(text) <= FRAME else self._framed
         if self.chars.issuperset(text):
-            return tuple(self._known(text))
-        out: list[int] = []
-        run = 0
+            return array("i", known(text))
+        out, run = array("i"), 0
         for k, c in enumerate(text):
             if c not in self.chars:
                 if k > run:
-                    out += self._known(text[run:k])
-                out += [self.byte_id[b] for b in c.encode()]
+                    out.extend(known(text[run:k]))
+                out.extend([self.byte_id[b] for b in c.encode()])
                 run = k + 1
         if run < len(text):
-            out += self._known(text[run:])
-        return tuple(out)
+            out.extend(known(text[run:]))
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
+    def _entry(self, ids: array) -> tuple[bytes, str, bytes]:
+        """Packed ids, the ids as text, and the bytes of their pieces."""
+        return ids.tobytes(), ",".join(map(self.shown.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids))
+
+    def _joined(self, cut: list[str]) -> tuple[bytes, str, bytes]:
         words = self.words
-        cut = self.cut.findall(SPACE + text.replace(" ", SPACE))
         got = list(map(words.get, cut))
         if None in got:
             for k, x in enumerate(got):
                 if x is None:
                     w = cut[k]
-                    got[k] = words.get(w)
-                    if got[k] is None:
-                        got[k] = self._word(w)
-                        if len(w) <= CACHED_LENGTH:
-                            if len(words) >= CACHE_WORDS:
-                                words.clear()
-                            words[w] = got[k]
-        return list(chain.from_iterable(got))
+                    got[k] = words.get(w) or self.older.get(w) or self._entry(self._word(w))
+                    if len(w) <= CACHED_LENGTH:
+                        if len(words) >= CACHE_WORDS:
+                            self.older, self.words = words, {}
+                            words = self.words
+                        words[w] = got[k]
+        ids, shown, out = zip(*got)
+        return b"".join(ids), ",".join(shown), b"".join(out)
+
+    def parts(self, text: str) -> Iterator[tuple[bytes, str, bytes]]:
+        """(packed ids, the ids as text, their bytes) of a text, in one part or, if it is long, in many."""
+        if not text:
+            return
+        marked = SPACE + text.replace(" ", SPACE)
+        if len(text) <= LONG:
+            yield self._joined(self.cut.findall(marked))
+            return
+        held, size = [], 0
+        for m in self.cut.finditer(marked):
+            a, b = m.span()
+            if held and size + b - a > PART:
+                yield self._joined(held)
+                held, size = [], 0
+            if b - a > PART:
+                ids = self._word(marked[a:b])
+                for k in range(0, len(ids), PART):
+                    yield self._entry(ids[k : k + PART])
+            else:
+                held.append(marked[a:b])
+                size += b - a
+        if held:
+            yield self._joined(held)
+
+    def encode(self, text: str) -> list[int]:
+        return [i for ids, _, _ in self.parts(text) for i in np.frombuffer(ids, np.int32).tolist()]
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, without the space put before it."""
         out = b"".join(map(self.bytes.__getitem__, ids))
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
+    def digested(self, text: str) -> tuple[bytes, str, str]:
+        """Packed ids, and digests of the ids joined by commas and of the decoded text."""
+        packed, of_ids, of_text = [], hashlib.sha256(), hashlib.sha256()
+        for ids, shown, out in self.parts(text):
+            if packed:
+                of_ids.update(b",")
+            elif out[:1] == b" ":
+                out = out[1:]
+            packed.append(ids)
+            of_ids.update(shown.encode())
+            of_text.update(out)
+        return b"".join(packed), of_ids.hexdigest(), of_text.hexdigest()
+
 
 _models: dict[str, PieceModel] = {}
 
@@ -251,27 +348,22 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", with_
     outputs = [(n, t) for n, t in OUTPUT if with_ids or n != "token_ids"]
     names = {n for n, _ in outputs}
     keep = [c for c in docs.columns if c not in names and (with_ids or c != text)]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in outputs])
+    source = docs.select(col(text).alias("text"), F.struct(F.lit(0), *[col(c).alias(str(k)) for k, c in enumerate(keep)]).alias("row"))
+    made = [T.StructField(n, t) for n, t in outputs]
+    schema = T.StructType([source.schema["row"], *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
-        sha, shown = hashlib.sha256, m.shown.__getitem__
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                counts, lists, digests, decoded = [], [], [], []
-                for x in batch.column("__text"):
-                    ids = m.encode(x.as_py() or "")
-                    counts.append(len(ids))
-                    if with_ids:
-                        lists.append(ids)
-                    digests.append(sha(",".join(map(shown, ids)).encode()).hexdigest())
-                    decoded.append(sha(m.decode(ids).encode()).hexdigest())
-                made = {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+                got = [m.digested(x.as_py() or "") for x in batch.column(0)]
+                counts = np.array([len(x[0]) >> 2 for x in got], np.int64)
+                made = {"n_tokens": pa.array(counts), "ids_sha256": pa.array([x[1] for x in got], pa.string()), "decoded_sha256": pa.array([x[2] for x in got], pa.string())}
                 if with_ids:
-                    made["token_ids"] = pa.array(lists, pa.list_(pa.int32()))
-                cols = [batch.column(c) for c in keep] + [made[n] for n, _ in outputs]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *[n for n, _ in outputs]])
+                    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                    made["token_ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join([x[0] for x in got]), np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), *[made[n] for n, _ in outputs]], names=["row", *[n for n, _ in outputs]])
 
-    return source.mapInArrow(run, schema)
+    found = source.mapInArrow(run, schema)
+    return found.select(*[F.col("row").getField(str(k)).alias(c) for k, c in enumerate(keep)], *[n for n, _ in outputs])
