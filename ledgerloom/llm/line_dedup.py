@@ -135,11 +135,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _evidence(keys, run: int):
     """Array of (h, alone): line keys, and hashes of runs of lines, whole documents of fewer included."""
-    full = F.filter(keys, lambda x: x != 0)
-    singles = F.transform(F.array_distinct(full), lambda x: F.struct(x.alias("h"), F.lit(True).alias("alone")))
-    ends = F.greatest(F.size(full) - run + 1, F.least(F.size(full), F.lit(1)))
-    runs = F.when(ends > 0, F.transform(F.sequence(F.lit(1), ends), lambda i: F.xxhash64(F.slice(full, i, run)))).otherwise(F.array().cast("array<bigint>"))
-    return F.concat(singles, F.transform(F.array_distinct(runs), lambda x: F.struct(x.alias("h"), F.lit(False).alias("alone"))))
+    # A one-element array around the lines names them, so that they are made once and not for each run.
+    full = F.array(F.filter(keys, lambda x: x != 0))
+    singles = F.transform(full, lambda f: F.transform(F.array_distinct(f), lambda x: F.struct(x.alias("h"), F.lit(True).alias("alone"))))
+    ends = lambda f: F.greatest(F.size(f) - run + 1, F.least(F.size(f), F.lit(1)))
+    runs = lambda f: F.when(F.size(f) > 0, F.transform(F.sequence(F.lit(1), ends(f)), lambda i: F.xxhash64(F.slice(f, i, run)))).otherwise(F.array().cast("array<bigint>"))
+    several = F.transform(full, lambda f: F.transform(F.array_distinct(runs(f)), lambda x: F.struct(x.alias("h"), F.lit(False).alias("alone"))))
+    return F.concat(singles[0], several[0])
 
 
 def deletions(docs: DataFrame, rare: int | None = None, run: int = RUN) -> DataFrame:
