@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import ASCII_LOWER, NOT_SPACE, materialize, row_chunks, text_bytes,
 from .components import components
 
 WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
-PART = 1 << 14
+PART, BUCKETS = 1 << 14, 64
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -59,6 +60,12 @@ def bits_of(shingles: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
 
 
+def sketch_of(shingles: np.ndarray) -> bytes | None:
+    """How many of a set's hashes fall in each of ``BUCKETS``; None if a count doesn't fit."""
+    counts = np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=BUCKETS)
+    return counts.astype("<u2").tobytes() if counts.max(initial=0) < 1 << 16 else None
+
+
 def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of one text in ``sampled``, sorted, and their ranks from rare to common."""
 
@@ -77,7 +84,7 @@ def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple
 
 
 def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, text_hash, fp, bits, n, prefix): fp names the set of n shingles, bits is its SimHash, prefix has its first ones in the common order."""
+    """(doc_id, text_hash, fp, bits, n, prefix, sketch): fp names the set of n shingles, bits is its SimHash, prefix has its first ones in the common order."""
     p, q = similar
     common, rank = hot
 
@@ -85,10 +92,11 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                names, bits, sizes, firsts = [], [], [], []
+                names, bits, sizes, firsts, sketches = [], [], [], [], []
                 for s in shingle_sets(part.column(2), words):
                     names.append(_name(s))
                     bits.append(bits_of(s))
+                    sketches.append(sketch_of(s))
                     n = len(s)
                     sizes.append(n)
                     if n and len(common):
@@ -99,10 +107,10 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
                     firsts.append(s[: n - (p * n + q - 1) // q + 1 if n else 0])
                 ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), prefix], names=["doc_id", "text_hash", "fp", "bits", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.int64()), pa.array(bits, pa.int64()), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "fp", "bits", "n", "prefix", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bits bigint, n int, prefix array<bigint>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bits bigint, n int, prefix array<bigint>, sketch binary")
 
 
 def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
@@ -113,6 +121,23 @@ def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs:
         rooted = lambda x: whole.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
         pairs = pairs.join(rooted("u"), "u", "left").join(rooted("v"), "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
     pairs = materialize(pairs.select("u", "v"), "pairs")
+    figures = found.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("s"))
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    figures = materialize(figures.join(ends, "fp", "left_semi"), "figures")
+    named = lambda x: figures.select(*[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "s")]).withColumnRenamed(f"fp_{x}", x)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose bucket counts allow that similarity: two sets share at most the smaller count of each bucket."""
+        for batch in batches:
+            known = batch.filter(pa.compute.and_(batch.column(3).is_valid(), batch.column(5).is_valid()))
+            a, b = (np.frombuffer(b"".join(known.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in (3, 5))
+            total = known.column(2).to_numpy().astype(np.int64) + known.column(4).to_numpy()
+            fine = np.minimum(a, b).sum(1, dtype=np.int64) * (p + q) >= p * total
+            for part in (known.filter(pa.array(fine)), batch.filter(pa.compute.or_(batch.column(3).is_null(), batch.column(5).is_null()))):
+                yield part.select([0, 1])
+
+    near = pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "n_u", "s_u", "n_v", "s_v")
+    pairs = materialize(near.mapInArrow(possible, "u bigint, v bigint"), "possible")
     ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     wanted = materialize(found.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select(F.col("text_hash").alias("__hash")).distinct(), "wanted")
 
@@ -150,28 +175,38 @@ def _joined(whole: DataFrame, links: DataFrame) -> DataFrame:
 def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
     """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows and the links known so far."""
     p, q = similar
+    check = lambda pairs, whole: _joined(whole, verified(pairs, whole, found, docs, words, similar))
     whole = components(links)
     copies = materialize(found.groupBy("fp").count().where("count > 1").select("fp"), "copies")
     once = found.join(copies, "fp", "left_anti").select("fp", "n", "prefix")
     again = found.join(copies, "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     held = once.unionByName(again).select("fp", "n", F.posexplode("prefix").alias("at", "h"))
-    shared = materialize(held.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    first = F.struct("fp", "n", "at")
+    shared = materialize(held.groupBy("h").agg(F.count("*").alias("m"), F.min(first).alias("first")).where("m > 1").select("h", "m", F.col("first.fp").alias("v"), F.col("first.n").alias("n2"), F.col("first.at").alias("at2")), "shared")
     held = materialize(held.join(shared, "h"), "held")
 
     fits = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & ((F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p)
-    few = held.where(F.col("m") <= dense)
-    other = few.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"))
-    pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & fits).select("u", "v")
-    crowd = held.where(F.col("m") > dense).select("h", "fp", "n", "at")
+    # The smallest holder of each shingle with all others: what has one root then needs no pairs.
+    whole = check(held.where((F.col("fp") != F.col("v")) & fits).select(F.col("fp").alias("u"), "v"), whole)
+    rooted = whole.select(F.col("node").alias("fp"), "root")
+    members = held.select("h", "m", "fp", "n", "at").join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = materialize(members, "members")
+    apart = materialize(members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "apart")
+    members = materialize(members.join(apart, "h"), "open")
+    few = members.where(F.col("m") <= dense)
+    other = few.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+    pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & fits).select("u", "v")
+    crowd = members.where(F.col("m") > dense).drop("m")
     crowded = not crowd.isEmpty()
     if crowded and leaders:
-        picked = crowd.groupBy("h").agg(*[F.min_by("fp", F.xxhash64("fp", F.lit(k))).alias(f"leader_{k}") for k in range(leaders)])
-        picked = materialize(picked.select("h", F.explode(F.array_distinct(F.array(*[f"leader_{k}" for k in range(leaders)]))).alias("u")), "leaders")
-        pairs = pairs.unionByName(crowd.select("h", F.col("fp").alias("v")).join(picked, "h").where("u <> v").select("u", "v"))
-    whole = _joined(whole, verified(pairs, whole, found, docs, words, similar))
+        led = F.struct(F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+        picked = crowd.groupBy("h").agg(*[F.min_by(led, F.xxhash64("fp", F.lit(k))).alias(f"leader_{k}") for k in range(leaders)])
+        picked = materialize(picked.select("h", F.inline(F.array_distinct(F.array(*[f"leader_{k}" for k in range(leaders)])))), "leaders")
+        pairs = pairs.unionByName(crowd.join(picked, "h").where((F.col("root") != F.col("root2")) & fits).select(F.col("fp").alias("u"), "v"))
+    whole = check(pairs, whole)
     if not crowded:
         return whole
-    members = crowd.join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = crowd.drop("root").join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = materialize(members, "members")
     apart = materialize(members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "apart")
     if apart.isEmpty():
@@ -182,5 +217,4 @@ def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, s
     main = materialize(sizes.groupBy("h").agg(F.max_by("root", "c").alias("main")), "main")
     rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
     all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
-    more = rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v")
-    return _joined(whole, verified(more, whole, found, docs, words, similar))
+    return check(rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v"), whole)

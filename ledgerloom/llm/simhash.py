@@ -249,13 +249,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def set_links(found: DataFrame, distance: int, dense: int) -> DataFrame:
-    """(u, v) candidates among the sets ``fp``, by a search of their fingerprints ``bits``: enough to connect all within ``distance`` bits, were all of them similar."""
-    nodes = materialize(found.groupBy("bits").agg(F.min("fp").alias("least")), "nodes")
-    same = found.select("bits", "fp").distinct().join(nodes, "bits").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
-    near = links(nodes.select(F.col("bits").alias("fp")), distance, dense)
-    ends = lambda x: nodes.select(F.col("bits").alias(x), F.col("least").alias(f"least_{x}"))
-    across = near.join(ends("u"), "u").join(ends("v"), "v").select(F.col("least_u").alias("u"), F.col("least_v").alias("v"))
-    return same.unionByName(across.where("u <> v"))
+    """(u, v) candidates among the sets ``fp``: each set with the smallest one whose fingerprint ``bits`` is linked, over any number of links, with its own."""
+    nodes = materialize(found.select("bits").distinct(), "nodes")
+    roots = components(links(nodes.select(F.col("bits").alias("fp")), distance, dense)).withColumnRenamed("node", "bits")
+    sets = found.select("bits", "fp").distinct().join(roots, "bits", "left").select("fp", F.coalesce("root", "bits").alias("root"))
+    sets = materialize(sets, "sets_of")
+    least = materialize(sets.groupBy("root").agg(F.min("fp").alias("v"), F.count("*").alias("c")).where("c > 1").select("root", "v"), "least")
+    return sets.join(least, "root").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = shingle_join.WORDS, similar: tuple[int, int] = shingle_join.SIMILAR, distance: int = DISTANCE, dense: int = DENSE, crowded: int = shingle_join.DENSE, leaders: int = shingle_join.LEADERS, sampled: int = shingle_join.SAMPLED) -> DataFrame:

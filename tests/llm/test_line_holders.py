@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+import brute_patience
+
 from ledgerloom.llm import line_dedup
 
 
@@ -22,7 +24,7 @@ def brute(texts, run=3):
         for e in set(full) | {tuple(full[j : j + run]) for j in range(max(len(full) - run + 1, min(len(full), 1)))}:
             holders[e].append(i)
     gone = defaultdict(set)
-    align = lambda i, f: line_dedup.deleted(docs[f], docs[i], [x != 0 for x in docs[i]], run)
+    align = lambda i, f: brute_patience.deleted(docs[f], docs[i], [x != 0 for x in docs[i]], run)
     for h in holders.values():
         for i in h[1:]:
             gone[i] |= set(align(i, h[0]))

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import brute_patience
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def line_report(rows, rare, run):
                 pairs[k, h[0]] |= {e[1]} if e[0] == "line" else set()
     gone = defaultdict(set)
     for (k, f), few in pairs.items():
-        gone[k] |= set(line_dedup.deleted(keys[f], keys[k], [x in few for x in keys[k]], run))
+        gone[k] |= set(brute_patience.deleted(keys[f], keys[k], [x in few for x in keys[k]], run))
     out = []
     for i, t in rows:
         lines = [] if t is None else t.split("\n")
