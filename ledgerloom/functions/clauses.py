@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words of the clause language that are not variables.
-WORDS = frozenset({"at", "Pre", "LoopEntry", "forall", "exists", "integer", "true", "false"})
+WORDS = frozenset({
+    "at", "Pre", "Post", "LoopEntry", "LoopCurrent", "old", "result",
+    "true", "false",
+    "True", "False", "None", "and", "or", "not", "bool", "abs",
+    "integer", "int", "long", "short", "unsigned", "signed", "real",
+})
 WIDE = T.DecimalType(38, 0)
 
 
@@ -39,8 +44,12 @@ def extract(text: Column, most: int | None = None) -> Column:
 
 
 def names(clause: Column) -> Column:
-    """Distinct identifiers of a clause that are not words of the language."""
-    return F.array_except(F.array_distinct(F.regexp_extract_all(clause, F.lit(r"([A-Za-z_]\w*)"), 1)), F.array(*[F.lit(w) for w in sorted(WORDS)]))
+    """Distinct identifiers of a clause that are neither words of the language nor bound by a quantifier."""
+    identifiers = lambda text: F.regexp_extract_all(text, F.lit(r"([A-Za-z_]\w*)"), 1)
+    binders = F.regexp_extract_all(clause, F.lit(r"\\(?:forall|exists)\s+(?:integer|int|long|short|real)\s+([^;]+);"), 1)
+    bound = F.flatten(F.transform(binders, identifiers))
+    plain = F.regexp_replace(clause, r"\\[A-Za-z_]+", " ")
+    return F.array_except(F.array_except(F.array_distinct(identifiers(plain)), F.array(*[F.lit(w) for w in sorted(WORDS)])), bound)
 
 
 # --- syntax -----------------------------------------------------------------------------

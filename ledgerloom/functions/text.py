@@ -8,10 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names of the input oracle, and words that are never renamed in a signature.
-ORACLE_NAMES = r"^(unknown\w*|__VERIFIER_nondet_\w+)$"
-KEYWORDS = ["break", "char", "continue", "do", "else", "for", "goto", "if", "int", "long", "return", "short", "signed", "unsigned", "void", "while"]
-TOKEN = r"([A-Za-z_]\w*|\d+|<=|>=|==|!=|&&|\|\||\+\+|--|[-+*/%&|^]=|[^\s\w])"
+#: Names of the input oracle, words that are never renamed in a signature, tokens, and what a skeleton keeps.
+ORACLE_NAMES = r"^(?:(?:unknown|nondet)\d*|__VERIFIER_nondet_\w*)$"
+KEYWORDS = [
+    "_Bool", "auto", "break", "case", "char", "const", "continue",
+    "default", "do", "double", "else", "enum", "extern", "float",
+    "for", "goto", "if", "inline", "int", "long", "register",
+    "requires", "restrict", "return", "short", "signed", "sizeof",
+    "static", "struct", "switch", "typedef", "union", "unsigned",
+    "void", "volatile", "while",
+]
+TOKEN = r"(==>|<==>|==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|->|[A-Za-z_]\w*|0[xX][0-9A-Fa-f]+|\d+|[^\s])"
+CONDITION_OPS = ["<", ">", "<=", ">=", "==", "!=", "&&", "||", "!"]
+WITH_CONDITION = ["if", "while", "for", "switch"]
+ALONE = ["else", "break", "continue", "return", "goto", "{", "}"]
 
 
 def let(value: Column, body) -> Column:
@@ -24,7 +34,13 @@ def spaces(text: Column) -> Column:
 
 
 def without_comments(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " ")
+    """Comments become a space, but the requirements of contract comments stay."""
+    block = r"(?s)/\*.*?\*/"
+    kept = lambda c: F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(?s)\brequires\b\s*(.*?);"), 1), lambda v: F.concat(F.lit("requires "), v, F.lit(";"))), " ")
+    shown = F.transform(F.regexp_extract_all(text, F.lit(block), 0), lambda c: F.when(c.startswith("/*@") & c.rlike(r"\brequires\b"), kept(c)).otherwise(F.lit(" ")))
+    between = F.split(text, block, -1)
+    whole = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.regexp_replace(whole, r"//[^\n]*", " ")
 
 
 def tokens(text: Column) -> Column:
@@ -33,7 +49,7 @@ def tokens(text: Column) -> Column:
 
 def renamed_function(found: Column) -> Column:
     """The first name that an opening parenthesis follows becomes FUNC."""
-    plain = lambda t: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS)
+    plain = lambda t: t.rlike(r"^[A-Za-z_]") & ~t.isin(*KEYWORDS) & ~t.rlike(ORACLE_NAMES)
     called = lambda ts: F.zip_with(ts, F.concat(F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(0))), F.array(F.lit(""))), lambda t, after: plain(t) & (after == "("))
     return let(found, lambda ts: let(F.array_position(called(ts), True), lambda at: F.transform(ts, lambda t, i: F.when(i + 1 == at, F.lit("FUNC")).otherwise(t))))
 
@@ -50,28 +66,70 @@ def alpha(found):
         if tokens is None:
             return None
         seen: dict[str, str] = {}
-        return [t if t in keep or not name.match(t) else "NONDET" if oracle.match(t) else seen.setdefault(t, f"v{len(seen)}") for t in tokens]
+        return ["NONDET" if oracle.match(t) else t if t in keep or not name.match(t) else seen.setdefault(t, f"v{len(seen)}") for t in tokens]
 
     return found.map(one)
 
 
 def abstract_numbers(found: Column) -> Column:
-    """Whole numbers other than 0 and 1 become NUM."""
-    return F.transform(found, lambda t: F.when(t.rlike(r"^\d+$") & ~t.isin("0", "1"), F.lit("NUM")).otherwise(t))
-
-
-def control_profile(text: Column, most: int = 3) -> Column:
-    """Counts of control words, each up to ``most``."""
-    return F.array_join(F.transform(F.array(*[F.lit(w) for w in ("while", "for", "if", "else", "break", "continue", "return", "goto", "assert")]), lambda w: F.least(F.size(F.regexp_extract_all(text, F.concat(F.lit(r"\b("), w, F.lit(r")\b")), 1)), F.lit(most)).cast("string")), ",")
+    """Whole numbers, also in base 16, other than 0 and 1 become NUM."""
+    return F.transform(found, lambda t: F.when(t.rlike(r"^(\d+|0[xX][0-9A-Fa-f]+)$") & ~t.rlike(r"^(0[xX])?0*[01]$"), F.lit("NUM")).otherwise(t))
+
+
+def _closing(found: list[str], at: int) -> int:
+    """Place of the token that closes the bracket at ``at``; the last place if none does."""
+    opens, closes, depth = found[at], {"(": ")", "{": "}"}[found[at]], 0
+    for k in range(at, len(found)):
+        depth += (found[k] == opens) - (found[k] == closes)
+        if not depth:
+            return k
+    return len(found) - 1
+
+
+def _first_loop(found: list[str]) -> tuple[list[str], list[str]]:
+    """Tokens of the first while loop's guard and body; without a loop no guard and all tokens."""
+    start = next((k for k in range(len(found) - 1) if found[k] == "while" and found[k + 1] == "("), None)
+    if start is None:
+        return [], found
+    end = _closing(found, start + 1)
+    body = next((k for k in range(end, len(found)) if found[k] == "{"), None)
+    return found[start + 2 : end], found[end + 1 :] if body is None else found[body + 1 : _closing(found, body)]
+
+
+def _profile(found: list[str], most: int = 3) -> str:
+    guard, body = _first_loop(found)
+    tests = [guard] + [body[k + 2 : _closing(body, k + 1)] for k in range(len(body) - 1) if body[k] == "if" and body[k + 1] == "("]
+    counts = [body.count("if"), body.count("else"), sum("&&" in t or "||" in t for t in tests)]
+    flags = [*[w in body for w in ("break", "continue", "return", "goto")], "while" in body or "for" in body]
+    return ",".join(["constant" if guard in (["0"], ["1"]) else "expression", *[str(min(c, most)) for c in counts], *[str(int(f)) for f in flags]])
+
+
+def _skeleton(found: list[str], operators: bool) -> str:
+    _, body = _first_loop(found)
+    out, at, plain = [], 0, False
+    while at < len(body):
+        word, after = body[at], at + 1
+        parts = [word] if word in ALONE else []
+        if word in WITH_CONDITION and body[after : after + 1] == ["("]:
+            end = _closing(body, after)
+            parts = [word, *([t for t in body[after + 1 : end] if t in CONDITION_OPS] or ["NO_CONDITION_OP"] if operators else [])]
+            after = end + 1
+        if parts:
+            out += ["STMT", *parts] if plain else parts
+            plain = False
+        plain |= word == ";"
+        at = after
+    return " ".join([*out, "STMT"] if plain else out)
+
+
+def control_profile(text: Column) -> Column:
+    """The first loop: kind of guard, capped counts of if, else and compound tests, and whether break, continue, return, goto and an inner loop occur."""
+    return F.pandas_udf(lambda found: found.map(lambda ts: None if ts is None else _profile(list(ts))), "string")(tokens(text))
 
 
 def control_skeleton(text: Column, operators: bool = False) -> Column:
-    """Control words and braces in order; what stands between is STMT once."""
-    keep = r"^(while|for|if|else|break|continue|return|goto|[{}])$" if not operators else r"^(while|for|if|else|break|continue|return|goto|[{}]|<=|>=|==|!=|&&|\|\||[-+*/%<>])$"
-    marked = F.transform(tokens(text), lambda t: F.when(t.rlike(keep), t).otherwise(F.lit("STMT")))
-    before = lambda ts: F.slice(F.concat(F.array(F.lit("")), ts), 1, F.size(ts))
-    joined = lambda ts: F.filter(F.zip_with(ts, before(ts), lambda t, b: F.when((t == "STMT") & (b == "STMT"), F.lit("")).otherwise(t)), lambda t: t != "")
-    return F.array_join(let(marked, joined), " ")
+    """Control words and braces of the first loop's body in order; what stands between is STMT once. Conditions are left out, or leave their operators."""
+    return F.pandas_udf(lambda found: found.map(lambda ts: None if ts is None else _skeleton(list(ts), operators)), "string")(tokens(text))
 
 
 def signature(found: Column) -> Column:
@@ -79,11 +137,12 @@ def signature(found: Column) -> Column:
 
 
 def without_thoughts(text: Column) -> Column:
-    """Without think and reasoning blocks; a fenced code block's fences go too."""
+    """Without think and reasoning blocks, and without the tags around code."""
     bare = text
-    for tag in ("think", "thinking", "reasoning"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}>.*?</{tag}>", "")
-    return F.trim(F.regexp_replace(bare, r"(?m)^```\w*\n?", ""))
+    for tag in ("think", "reasoning"):
+        bare = F.regexp_replace(bare, rf"(?is)<\s*{tag}\s*>.*?<\s*/\s*{tag}\s*>", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?i)<\s*code\s*>\s*", ""), r"(?i)\s*<\s*/\s*code\s*>", "")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def redacted(text: Column, secret: str | None = None) -> Column:

@@ -94,15 +94,29 @@ def replay_costs(rows: DataFrame, calls: str, seconds: str) -> Column:
     return F.col(seconds) + F.aggregate(F.transform(F.col(calls), lambda c: F.coalesce(c["seconds"], F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
 
 
-def discrimination(rewards: DataFrame, program: str, family: str, reward: str, gold: str = "gold", loose: str = "loose", margins: tuple[float, float, float] = (0.15, 0.02, 0.80)) -> DataFrame:
-    """Per program the rewards of both families and the rules that they break.
+def discrimination(rewards: DataFrame, program: str, family: str, margin: float = 0.15, eps: float = 0.02, least_base: float = 0.80) -> DataFrame:
+    """Per program the rewards of its families and the rules that they break.
 
-    Rules: gold must beat loose by the first margin, no other family may beat gold by the second, gold must reach the third.
+    ``rewards`` has program, family, reward, base, survivors, clauses (how many the family has) and post_is_invariant. Rules: gold's base
+    reaches the floor and all its clauses survive; loose does not beat gold; junk families stay a margin below it. A copied target is junk unless it is an invariant, which
+    then must not beat gold.
     """
-    out = rewards.groupBy(program).agg(F.max(F.when(F.col(family) == gold, F.col(reward))).alias("gold"), F.max(F.when(F.col(family) == loose, F.col(reward))).alias("loose"), F.max(F.when(~F.col(family).isin(gold, loose), F.col(reward))).alias("other"))
-    near, beaten, least = margins
-    broken = F.concat_ws(";", F.when(F.col("gold").isNull() | F.col("loose").isNull(), F.lit("missing")), F.when(F.col("gold") - F.col("loose") < near, F.lit("too close")), F.when(F.col("other") - F.col("gold") > beaten, F.lit("beaten")), F.when(F.col("gold") < least, F.lit("too low")))
-    return out.withColumn("broken", broken)
+    of = lambda name, column: F.max(F.when(F.col(family) == name, F.col(column)))
+    named = [of(n, "reward").alias(n) for n in ("gold", "loose", "post_copy", "trivial", "guard_copy", "unsound")]
+    out = rewards.groupBy(program).agg(*named, of("gold", "base").alias("gold_base"), of("gold", "survivors").alias("gold_survivors"), of("gold", "clauses").alias("gold_clauses"), F.bool_or("post_is_invariant").alias("post_is_invariant"))
+    beats = lambda name: F.coalesce(F.col(name), F.lit(0.0)) > F.col("gold") + eps
+    close = lambda name: F.col(name) > F.col("gold") - margin
+    says = lambda rule, text: F.when(rule, F.lit(text))
+    broken = F.concat_ws(
+        ";",
+        says(F.col("gold_base") < least_base, "gold base too low"),
+        says(F.col("gold_survivors") < F.col("gold_clauses"), "gold filtered"),
+        says(beats("loose"), "loose beats gold"),
+        says(F.col("post_is_invariant") & beats("post_copy"), "post_copy beats gold"),
+        *[says(close(n), f"junk {n} too close") for n in ("trivial", "guard_copy", "unsound")],
+        says(~F.col("post_is_invariant") & close("post_copy"), "junk post_copy too close"),
+    )
+    return out.select(program, "gold", "loose", broken.alias("broken"))
 
 
 def phase_checks(rows: DataFrame) -> DataFrame:
@@ -111,11 +125,13 @@ def phase_checks(rows: DataFrame) -> DataFrame:
 
 
 def mislabelled(negatives: DataFrame, reached: DataFrame, program: str, full_key: str, vars_key: str, top: int = 20) -> DataFrame:
-    """Negatives that a larger sample reaches, by program: hard by the full key, soft by the variables alone; the ``top`` by count."""
-    hard = negatives.join(reached.select(program, full_key).distinct(), [program, full_key], "left_semi").groupBy(program).agg(F.count("*").alias("hard"))
-    soft = negatives.join(reached.select(program, vars_key).distinct(), [program, vars_key], "left_semi").groupBy(program).agg(F.count("*").alias("soft"))
-    out = soft.join(hard, program, "left").select(program, F.coalesce("hard", F.lit(0)).alias("hard"), "soft")
-    return out.orderBy(F.desc("hard"), F.desc("soft"), program).limit(top)
+    """(kind, program, n, n_neg): the ``top`` programs with negatives that a larger sample reaches by the full key (hard), and of the others those with negatives reached by the variables alone (soft)."""
+    met = lambda key: negatives.join(reached.select(program, key).distinct(), [program, key], "left_semi").groupBy(program).agg(F.count("*").alias("n"))
+    hard = met(full_key)
+    soft = met(vars_key).join(hard.select(program), program, "left_anti")
+    first = lambda rows, kind: rows.orderBy(F.desc("n"), program).limit(top).select(F.lit(kind).alias("kind"), program, "n")
+    sizes = negatives.groupBy(program).agg(F.count("*").alias("n_neg"))
+    return first(hard, "hard").unionByName(first(soft, "soft")).join(sizes, program).select("kind", program, "n", "n_neg")
 
 
 def power_census(clauses: DataFrame, clause: str, top: int = 30) -> DataFrame:

@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 #: Steps of one variable inside a run and at its end, and the ladder that looks for an escape.
 NEAR = (1, -1, 2, -2)
 TERMINAL = (1, -1, 2, -2, 3, -3, 5, -5, 8, -8)
-LADDER = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+LADDER = (5, -5, 8, -8, 13, -13, 21, -21, 34, -34)
 
 
 def perturbed(states: DataFrame, keep: list[str], variables: list[str], terminal: Column | None = None) -> DataFrame:
-    """Each state with one variable moved, or two moved alike or oppositely by one. ``kind`` names what moved."""
-    steps = F.array(*[F.lit(d) for d in NEAR])
+    """Each state with one variable moved, or two moved alike or oppositely, by each step. ``kind`` names what moved."""
+    changes = []
+    for d in TERMINAL if terminal is not None else NEAR:
+        changes += [({v: d}, d) for v in variables]
+        changes += [({a: d, b: e}, d) for i, a in enumerate(variables) for b in variables[i + 1 :] for e in (d, -d)]
+    named = lambda c: ",".join(f"{v}:{d}" for v, d in c.items())
+    rows = F.array(*[F.struct(F.array(*[F.lit(c.get(v, 0)) for v in variables]).alias("by"), F.lit(named(c)).alias("kind"), F.lit(d in NEAR).alias("near")) for c, d in changes])
     if terminal is not None:
-        steps = F.when(terminal, F.array(*[F.lit(d) for d in TERMINAL])).otherwise(steps)
-    moved = lambda changes: [(F.col(v) + changes[v] if v in changes else F.col(v)).cast("long").alias(v) for v in variables]
-    each = states.withColumn("__d", F.explode(steps))
-    out = [each.select(*keep, *moved({v: F.col("__d")}), F.concat(F.lit(f"{v}:"), F.col("__d").cast("string")).alias("kind")) for v in variables]
-    for i, a in enumerate(variables):
-        for b in variables[i + 1 :]:
-            for d, e in ((1, 1), (-1, -1), (1, -1), (-1, 1)):
-                out.append(states.select(*keep, *moved({a: F.lit(d), b: F.lit(e)}), F.lit(f"{a}:{d},{b}:{e}").alias("kind")))
-    whole = out[0]
-    for x in out[1:]:
-        whole = whole.unionByName(x)
-    return whole
+        rows = F.filter(rows, lambda c: c["near"] | F.coalesce(terminal, F.lit(False)))
+    each = states.withColumn("__c", F.explode(rows))
+    return each.select(*keep, *[(F.col(v) + F.col("__c.by")[k]).cast("long").alias(v) for k, v in enumerate(variables)], F.col("__c.kind").alias("kind"))
 
 
 def unreached(candidates: DataFrame, reached: DataFrame, key: list[str]) -> DataFrame:
@@ -46,10 +42,9 @@ def envelope(states: DataFrame, by: list[str], variables: list[str]) -> DataFram
 
 def nearest_escape(states: DataFrame, keep: list[str], value: str, least: str, greatest: str, ladder: tuple[int, ...] = LADDER) -> DataFrame:
     """For either direction the smallest step of the ladder that leaves [least, greatest]."""
-    steps = F.array(*[F.lit(d) for d in sorted(ladder)])
     outside = lambda d: (F.col(value) + d > F.col(greatest)) | (F.col(value) + d < F.col(least))
-    up = F.try_element_at(F.filter(steps, outside), F.lit(1))
-    down = F.try_element_at(F.filter(F.transform(steps, lambda d: -d), outside), F.lit(1))
+    nearest = lambda side: F.try_element_at(F.filter(F.array(*[F.lit(d) for d in sorted(side, key=abs)]), outside), F.lit(1))
+    up, down = nearest([d for d in ladder if d > 0]), nearest([d for d in ladder if d < 0])
     both = F.explode(F.array(F.struct(F.lit("up").alias("direction"), up.alias("step")), F.struct(F.lit("down").alias("direction"), down.alias("step")))).alias("e")
     return states.select(*keep, F.col(value), both).select(*keep, value, "e.direction", "e.step").where("step is not null").withColumn("escaped", F.col(value) + F.col("step"))
 

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
+from ..functions.text import let
+
+#: What the rules of training clauses look for.
+FORBIDDEN = r"\\(?:old|result|forall|exists|lambda|let|sum|product|min|max|numof)\b"
+BOOLEAN_CONSTANT = r"(?<![A-Za-z0-9_])(?:\\true|\\false|true|false)(?![A-Za-z0-9_])"
+HELPER_CALL = r"(?<!\\)\b([A-Za-z_]\w*)\s*\("
+AT_CALL = r"\\at\(\s*([A-Za-z_]\w*)\s*,\s*(Pre|LoopEntry)\s*\)"
+COMPARED = r"^(.+?)\s*(==|<=|>=|<==>)\s*(.+)$"
 
 _BOUND = r"^\(*([A-Za-z_]\w*)\s*(>=|<=|>|<)\s*([+-]?\d+)\)*$"
 _TURNED = r"^\(*([+-]?\d+)\s*(>=|<=|>|<)\s*([A-Za-z_]\w*)\)*$"
@@ -31,32 +39,43 @@ def without_weaker_bounds(clauses: DataFrame, group: list[str], order: str, clau
     return rows.where("__b is null").unionByName(bounds).drop("__b")
 
 
+def unwrapped(text: Column, depth: int = 6) -> Column:
+    """Without the parentheses that enclose all of it, up to three pairs; inside them up to ``depth`` levels are followed."""
+    out = F.trim(text)
+    for _ in range(3):
+        inner = F.substring(out, F.lit(2), F.length(out) - 2)
+        rest = inner
+        for _ in range(depth):
+            rest = F.regexp_replace(rest, r"\([^()]*\)", "")
+        out = F.when(out.rlike(r"(?s)^\(.*\)$") & ~rest.rlike("[()]"), F.trim(inner)).otherwise(out)
+    return out
+
+
 def reflexive(clause: Column) -> Column:
-    """Whether both sides of ==, <=, >= or <==> are the same text."""
-    side = lambda k: F.trim(F.regexp_extract(clause, r"^\(*(.+?)\s*(<==>|==|<=|>=)\s*(.+?)\)*$", k))
-    return (side(1) != "") & (side(1) == side(3))
+    """Whether both sides of the first comparison are the same text but for parentheses around them."""
+    side = lambda c, k: unwrapped(F.regexp_extract(c, COMPARED, k))
+    return let(unwrapped(clause), lambda c: c.rlike(COMPARED) & (side(c, 1) == side(c, 3)))
 
 
 def rejection_reason(clause: Column, variables: Column, parameters: Column) -> Column:
     """The first reason to leave a normalised clause out, or null. ``variables`` and ``parameters`` are lists of names."""
-    at_call = r"\\at\(\s*(\w+)\s*,\s*(Pre|LoopEntry)\s*\)"
-    bare = F.regexp_replace(clause, at_call, " ")
-    at_names = F.regexp_extract_all(clause, F.lit(at_call), 1)
-    pre_names = F.regexp_extract_all(clause, F.lit(r"\\at\(\s*(\w+)\s*,\s*Pre\s*\)"), 1)
-    free = F.array_except(C.names(bare), variables)
+    bare = F.regexp_replace(clause, AT_CALL, " ")
+    found = lambda k: F.regexp_extract_all(clause, F.lit(AT_CALL), k)
+    misuse = lambda v, at: F.when(~F.array_contains(variables, v), F.lit("out_of_scope")).when((at == "Pre") & ~F.array_contains(parameters, v), F.lit("invalid_pre_label"))
+    misused = F.get(F.filter(F.zip_with(found(1), found(2), misuse), lambda x: x.isNotNull()), F.lit(0))
+    used = F.regexp_extract_all(bare, F.lit(r"([A-Za-z_]\w*)"), 1)
     return (
         F.when(clause == "", F.lit("empty"))
         .when(clause.rlike(r"[?:]"), F.lit("ternary"))
         .when(F.contains(clause, F.lit("^")), F.lit("xor"))
-        .when(clause.rlike(r"\\?\b(true|false)\b"), F.lit("boolean_constant"))
-        .when(clause.rlike(r"\\(forall|exists|sum|product|valid|let|lambda|old|result)\b"), F.lit("unsupported_acsl"))
+        .when(clause.rlike(BOOLEAN_CONSTANT), F.lit("boolean_constant"))
+        .when(clause.rlike(FORBIDDEN), F.lit("unsupported_acsl"))
         .when(F.contains(bare, F.lit("\\at")), F.lit("invalid_at"))
-        .when(F.size(F.array_except(at_names, variables)) > 0, F.lit("out_of_scope"))
-        .when(F.size(F.array_except(pre_names, parameters)) > 0, F.lit("invalid_pre_label"))
-        .when(bare.rlike(r"\b[A-Za-z_]\w*\s*\("), F.lit("helper_function"))
-        .when(F.size(free) > 0, F.lit("out_of_scope"))
+        .when(misused.isNotNull(), misused)
+        .when(bare.rlike(HELPER_CALL), F.lit("helper_function"))
+        .when(F.size(F.array_except(C.names(clause), variables)) > 0, F.lit("out_of_scope"))
         .when(reflexive(clause), F.lit("tautology"))
-        .when(F.size(F.array_intersect(C.names(bare), variables)) == 0, F.lit("constant_only"))
+        .when(~F.arrays_overlap(used, variables), F.lit("constant_only"))
     )
 
 

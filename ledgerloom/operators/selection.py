@@ -61,8 +61,11 @@ def evenly_spaced(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
 
 
 def throttled(order: Column, first: int = 512, every: int = 251, burst: int = 8, most: int = 20_000) -> Column:
-    """Whether a step is printed: all of the first ones, then ``burst`` of each ``every``, up to ``most``."""
-    return (order < most) & ((order < first) | (order % every < burst))
+    """Whether a step, counted from 1, is printed: the first ones and then ``burst`` of each ``every``, until ``most`` are printed."""
+    in_bursts = lambda n: F.floor(n / every) * burst + F.least(n % every + 1, F.lit(burst)) - 1  # noqa: E731  steps 1 to n
+    before = order - 1
+    printed = F.when(before <= first, before).otherwise(first + in_bursts(before) - in_bursts(F.lit(first)))
+    return (order >= 1) & ((order <= first) | (order % every < burst)) & (printed < most)
 
 
 def seeded_sample(rows: DataFrame, strata: str, key: str, per_stratum: int, seed: int) -> DataFrame:

@@ -104,16 +104,19 @@ SELECT o_orderkey, CAST(floor(o_totalprice / 100000) AS BIGINT) AS size FROM ord
 
 
 def gates(spark: Spark, sf_dir: str) -> DataFrame:
-    """Quality rules over brands as programs and size classes as families."""
-    p = table(spark, sf_dir, "part").select("p_brand", F.when(F.col("p_size") < 10, F.lit("loose")).when(F.col("p_size") < 30, F.lit("gold")).otherwise(F.lit("other")).alias("family"), (F.col("p_partkey") % 997 / 997).alias("reward"))
-    return A.discrimination(p, "p_brand", "family", "reward").select("p_brand", F.round("gold", 9).alias("gold"), F.round("loose", 9).alias("loose"), F.round("other", 9).alias("other"), "broken")
+    """Quality rules over brands as programs and sizes as families."""
+    p = table(spark, sf_dir, "part")
+    names = F.array(*[F.lit(n) for n in ("gold", "loose", "post_copy", "trivial", "guard_copy", "unsound")])
+    rows = p.select("p_brand", F.element_at(names, F.col("p_size") % 6 + 1).alias("family"), (F.col("p_partkey") % 997 / 997).alias("reward"), (F.col("p_partkey") % 17 / 16).alias("base"), (F.col("p_partkey") % 5).alias("survivors"), F.lit(4).alias("clauses"), F.col("p_brand").endswith("1").alias("post_is_invariant"))
+    return A.discrimination(rows, "p_brand", "family").select("p_brand", F.round("gold", 9).alias("gold"), F.round("loose", 9).alias("loose"), "broken")
 
 
 GATES = """
-WITH p AS (SELECT p_brand, CASE WHEN p_size < 10 THEN 'loose' WHEN p_size < 30 THEN 'gold' ELSE 'other' END AS f, p_partkey % 997 / 997 AS r FROM part),
-g AS (SELECT p_brand, max(r) FILTER (f = 'gold') AS gold, max(r) FILTER (f = 'loose') AS loose, max(r) FILTER (f = 'other') AS other FROM p GROUP BY p_brand)
-SELECT p_brand, round(gold, 9) AS gold, round(loose, 9) AS loose, round(other, 9) AS other,
-  concat_ws(';', CASE WHEN gold IS NULL OR loose IS NULL THEN 'missing' END, CASE WHEN gold - loose < 0.15 THEN 'too close' END, CASE WHEN other - gold > 0.02 THEN 'beaten' END, CASE WHEN gold < 0.8 THEN 'too low' END) AS broken FROM g
+WITH p AS (SELECT p_brand, ['gold', 'loose', 'post_copy', 'trivial', 'guard_copy', 'unsound'][p_size % 6 + 1] AS f, p_partkey % 997 / 997 AS r, p_partkey % 17 / 16 AS b, p_partkey % 5 AS s FROM part),
+g AS (SELECT p_brand, p_brand LIKE '%1' AS inv, max(r) FILTER (f = 'gold') AS gold, max(r) FILTER (f = 'loose') AS loose, max(r) FILTER (f = 'post_copy') AS post, max(r) FILTER (f = 'trivial') AS triv, max(r) FILTER (f = 'guard_copy') AS guard, max(r) FILTER (f = 'unsound') AS uns, max(b) FILTER (f = 'gold') AS base, max(s) FILTER (f = 'gold') AS surv FROM p GROUP BY p_brand)
+SELECT p_brand, round(gold, 9) AS gold, round(loose, 9) AS loose,
+  concat_ws(';', CASE WHEN base < 0.8 THEN 'gold base too low' END, CASE WHEN surv < 4 THEN 'gold filtered' END, CASE WHEN coalesce(loose, 0) > gold + 0.02 THEN 'loose beats gold' END, CASE WHEN inv AND coalesce(post, 0) > gold + 0.02 THEN 'post_copy beats gold' END,
+    CASE WHEN triv > gold - 0.15 THEN 'junk trivial too close' END, CASE WHEN guard > gold - 0.15 THEN 'junk guard_copy too close' END, CASE WHEN uns > gold - 0.15 THEN 'junk unsound too close' END, CASE WHEN NOT inv AND post > gold - 0.15 THEN 'junk post_copy too close' END) AS broken FROM g
 """
 
 
@@ -138,9 +141,10 @@ def mislabelled(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 MISLABELLED = """
-WITH n AS (SELECT l_suppkey, l_quantity AS q, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT l_suppkey, l_quantity AS q, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'A')
-SELECT l_suppkey, count(*) FILTER ((l_suppkey, q, l) IN (SELECT (l_suppkey, q, l) FROM r)) AS hard, count(*) AS soft FROM n WHERE (l_suppkey, q) IN (SELECT (l_suppkey, q) FROM r) GROUP BY l_suppkey
-ORDER BY hard DESC, soft DESC, l_suppkey LIMIT 20
+WITH n AS (SELECT l_suppkey, l_quantity AS q, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'R'), r AS (SELECT l_suppkey, l_quantity AS q, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'A'),
+c AS (SELECT l_suppkey, count(*) FILTER ((l_suppkey, q, l) IN (SELECT (l_suppkey, q, l) FROM r)) AS hard, count(*) FILTER ((l_suppkey, q) IN (SELECT (l_suppkey, q) FROM r)) AS soft, count(*) AS n_neg FROM n GROUP BY l_suppkey),
+h AS (SELECT 'hard' AS kind, l_suppkey, hard AS n, n_neg FROM c WHERE hard > 0 ORDER BY n DESC, l_suppkey LIMIT 20), s AS (SELECT 'soft' AS kind, l_suppkey, soft AS n, n_neg FROM c WHERE hard = 0 AND soft > 0 ORDER BY n DESC, l_suppkey LIMIT 20)
+FROM h UNION ALL FROM s
 """
 
 

@@ -76,7 +76,11 @@ def throttle(spark: Spark, sf_dir: str) -> DataFrame:
     return e.where(selection.throttled(F.col("event_id")))
 
 
-THROTTLE = "SELECT event_id FROM events WHERE event_id < 20000 AND (event_id < 512 OR event_id % 251 < 8)"
+THROTTLE = """
+WITH k AS (SELECT unnest(range(1, (SELECT max(event_id) + 1 FROM events))) AS event_id),
+p AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM k WHERE event_id <= 512 OR event_id % 251 < 8)
+SELECT event_id FROM events WHERE event_id IN (SELECT event_id FROM p WHERE n <= 20000)
+"""
 
 
 def stratified(spark: Spark, sf_dir: str) -> DataFrame:
@@ -111,7 +115,7 @@ def escape(spark: Spark, sf_dir: str) -> DataFrame:
 
 ESCAPE = """
 WITH b AS (SELECT p_brand, min(p_size) AS lo, max(p_size) AS hi FROM part GROUP BY p_brand),
-c AS (SELECT p_partkey, p_size, d, dir FROM part JOIN b USING (p_brand), (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 34, 55, 89]) AS d), (SELECT unnest(['up', 'down']) AS dir)
+c AS (SELECT p_partkey, p_size, d, dir FROM part JOIN b USING (p_brand), (SELECT unnest([5, 8, 13, 21, 34]) AS d), (SELECT unnest(['up', 'down']) AS dir)
   WHERE CASE WHEN dir = 'up' THEN p_size + d ELSE p_size - d END NOT BETWEEN lo AND hi)
 SELECT p_partkey, dir AS direction, CAST(min(d) * CASE WHEN dir = 'up' THEN 1 ELSE -1 END AS INTEGER) AS step, CAST(any_value(p_size) + min(d) * CASE WHEN dir = 'up' THEN 1 ELSE -1 END AS INTEGER) AS escaped FROM c GROUP BY p_partkey, dir
 """
@@ -126,7 +130,7 @@ def perturb(spark: Spark, sf_dir: str) -> DataFrame:
 
 PERTURB = """
 WITH s AS (SELECT DISTINCT CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n FROM lineitem),
-d(a, b) AS (VALUES (1, 0), (-1, 0), (2, 0), (-2, 0), (0, 1), (0, -1), (0, 2), (0, -2), (1, 1), (-1, -1), (1, -1), (-1, 1)),
+d(a, b) AS (VALUES (1, 0), (-1, 0), (2, 0), (-2, 0), (0, 1), (0, -1), (0, 2), (0, -2), (1, 1), (-1, -1), (1, -1), (-1, 1), (2, 2), (-2, -2), (2, -2), (-2, 2)),
 m AS (SELECT q + a AS q, n + b AS n FROM s, d)
 SELECT q, n, count(*) AS ways FROM m ANTI JOIN s USING (q, n) GROUP BY q, n
 """
@@ -254,7 +258,13 @@ SELECT (SELECT count(*) FROM tr) AS train_rows, (SELECT count(*) FROM ev) AS eva
 
 
 _BARE = r"regexp_replace(regexp_replace(text, '/\*(.|\n)*?\*/', ' ', 'g'), '//[^\n]*', ' ', 'g')"
-_TOKENS = rf"array_to_string(regexp_extract_all({_BARE}, '([A-Za-z_][A-Za-z0-9_]*|[0-9]+|<=|>=|==|!=|&&|\|\||\+\+|--|[-+*/%&|^]=|[^ \t\n\r\f\vA-Za-z0-9_])'), ' ')"
+_TOKENS = rf"array_to_string(regexp_extract_all({_BARE}, '(==>|<==>|==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|->|[A-Za-z_][A-Za-z0-9_]*|0[xX][0-9A-Fa-f]+|[0-9]+|[^ \t\n\r\f\v])'), ' ')"
+#: For texts without a while loop and without conditions in parentheses, as the tables' are.
+_CONTROL = (
+    rf"concat_ws(',', 'expression', least(len(regexp_extract_all({_BARE}, '\bif\b')), 3), least(len(regexp_extract_all({_BARE}, '\belse\b')), 3), 0, "
+    + ", ".join(rf"CAST(regexp_matches({_BARE}, '\b({w})\b') AS INTEGER)" for w in ("break", "continue", "return", "goto", "while|for"))
+    + ")"
+)
 
 
 def versions(spark: Spark, sf_dir: str) -> DataFrame:
@@ -287,13 +297,15 @@ SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM p
 
 
 def benchmark_contained(spark: Spark, sf_dir: str) -> DataFrame:
-    """Documents whose whole normalised text is one of the benchmark's."""
-    norm = lambda c: F.sha2(X.spaces(F.lower(c)), 256)
-    items = table(spark, sf_dir, "benchmark").select(norm(F.col("text")).alias("s")).distinct()
-    return table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("s")).join(items, "s", "left_semi").select("doc_id")
+    """Documents that hold the normalised text of a benchmark item, and how many items each holds."""
+    norm = lambda c: X.spaces(F.lower(c))
+    return overlap.containing(table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("text")), table(spark, sf_dir, "benchmark").select(norm(F.col("text")).alias("item")))
 
 
-BENCHMARK_CONTAINED = r"SELECT doc_id FROM documents WHERE trim(regexp_replace(lower(text), '\s+', ' ', 'g')) IN (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) FROM benchmark)"
+BENCHMARK_CONTAINED = r"""
+WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS item FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, count(*) AS items FROM d JOIN n ON contains(t, item) AND item <> '' GROUP BY doc_id
+"""
 
 
 def rollout_rows(spark: Spark, sf_dir: str) -> DataFrame:
@@ -326,12 +338,15 @@ REDACTION = "SELECT doc_id, sha256(regexp_replace(replace(text || ' sk-abcdefghi
 
 
 def thoughts(spark: Spark, sf_dir: str) -> DataFrame:
-    text = X.without_thoughts(F.concat(F.lit("<think>a\nb</think>"), F.col("text"), F.lit("<Reasoning>x</Reasoning>")))
+    text = X.without_thoughts(F.concat(F.lit(" < think >a\nb</ think><code>\n"), F.col("text"), F.lit("<Reasoning>x</Reasoning> </code>")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text).alias("digest"))
 
 
 THOUGHTS = r"""
-SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || text || '<Reasoning>x</Reasoning>', '(?is)<think>.*?</think>', '', 'g'), '(?is)<thinking>.*?</thinking>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g'))) AS digest FROM conversations
+WITH t AS (SELECT conv_id, turn, ' < think >a' || chr(10) || 'b</ think><code>' || chr(10) || text || '<Reasoning>x</Reasoning> </code>' AS x FROM conversations),
+u AS (SELECT conv_id, turn, regexp_replace(regexp_replace(x, '(?is)<\s*think\s*>.*?<\s*/\s*think\s*>', '', 'g'), '(?is)<\s*reasoning\s*>.*?<\s*/\s*reasoning\s*>', '', 'g') AS x FROM t),
+v AS (SELECT conv_id, turn, regexp_replace(regexp_replace(x, '(?i)<\s*code\s*>\s*', '', 'g'), '(?i)\s*<\s*/\s*code\s*>', '', 'g') AS x FROM u)
+SELECT conv_id, turn, md5(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS digest FROM v
 """
 
 
@@ -441,7 +456,7 @@ ORACLE = {
     "overlap_exact": _overlap_sql("text"),
     "overlap_normalized": _overlap_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),
     "overlap_tokens": _overlap_sql(_TOKENS),
-    "overlap_control": _overlap_sql("concat_ws(',', " + ", ".join(rf"least(len(regexp_extract_all(text, '\b({w})\b')), 3)" for w in ("while", "for", "if", "else", "break", "continue", "return", "goto", "assert")) + ")"),
+    "overlap_control": _overlap_sql(_CONTROL),
     "version_counts": VERSIONS,
     "stratum_flags": STRATA,
     "benchmark_contained": BENCHMARK_CONTAINED,

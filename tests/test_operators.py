@@ -57,7 +57,7 @@ def test_round_robin_and_tiers(spark):
 def test_escape(spark):
     df = spark.createDataFrame([(0, 0, 10)], "v int, least int, greatest int")
     out = candidates.nearest_escape(df, [], "v", "least", "greatest").collect()
-    assert {r.direction: r.escaped for r in out} == {"up": 13, "down": -1}
+    assert {r.direction: r.escaped for r in out} == {"up": 13, "down": -5}
 
 
 def test_bounds_keep_first_strongest(spark):
