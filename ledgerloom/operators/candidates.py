@@ -63,17 +63,38 @@ def in_dense_window(rows: DataFrame, run: list[str], step: str, ahead: int = 3)
 
 
 def input_grid(programs: DataFrame, candidates: str, n_runs: int) -> DataFrame:
-    """Rows (program..., run, values) of a mixed-radix grid: input i takes candidate (run div i-th radix) modulo its count.
+    """Rows (program..., run, values) of a mixed-radix grid whose least significant input rotates with the run.
 
-    ``candidates`` is a list of candidate lists, one per input; the radices rotate with the run so that every input varies early. No inputs give one run.
+    ``candidates`` is a list of candidate lists, one per input. Runs of one rotation count through all combinations; input i takes candidate
+    (count div the sizes of the inputs before it, from the rotation's first on) modulo its own size. No inputs give one run.
     """
     lists = F.col(candidates)
-    runs = F.when(F.size(lists) == 0, F.lit(1)).otherwise(F.lit(n_runs))
+    inputs = F.size(lists)
+    runs = F.when(inputs == 0, F.lit(1)).otherwise(F.lit(n_runs))
     each = programs.withColumn("run", F.explode(F.sequence(F.lit(0), runs - 1)))
+    turn, count = F.col("run") % inputs, F.floor(F.col("run") / inputs)
+    sizes = F.transform(lists, lambda v: F.size(v).cast("long"))
 
     def pick(values: Column, i: Column) -> Column:
-        turn = (i + F.col("run")) % F.size(lists)
-        index = (F.floor(F.col("run") / F.pow(F.lit(2.0), turn)) + F.col("run")) % F.size(values)
-        return F.element_at(values, (index + 1).cast("int"))
+        rotated = F.concat(F.slice(sizes, turn + 1, inputs - turn), F.slice(sizes, F.lit(1), turn))
+        below = F.aggregate(F.slice(rotated, F.lit(1), (i - turn + inputs) % inputs), F.lit(1).cast("long"), lambda a, x: a * x)
+        return F.element_at(values, (F.floor(count / below) % F.size(values) + 1).cast("int"))
 
     return each.withColumn("values", F.transform(lists, pick))
+
+
+def far_probe(count: int, seed: int = 0, far: int = 3, band: int = 149, most: int = 512) -> list[Column]:
+    """Values of ``count`` inputs for the far probe ``k`` (a column of that name).
+
+    The first ``far`` probes have magnitudes of their own band and alternating signs; those after them are positive and ordered, falling for even k
+    and rising for odd k.
+    """
+    k = F.col("k")
+    out = []
+    for j in range(count):
+        h = (F.lit(seed * 1000003 + j * 131) + k * 8191) % band
+        rank = F.when(k % 2 == 1, F.lit(j)).otherwise(F.lit(count - 1 - j))
+        ordered = F.greatest(F.lit(65), F.lit(most) - rank * (most // max(2, count)) - h)
+        free = F.least(65 + k * band + h, F.lit(most)) * F.when((k + seed + j) % 2 == 1, -1).otherwise(1)
+        out.append(F.when(k >= far, ordered).otherwise(free).cast("long"))
+    return out

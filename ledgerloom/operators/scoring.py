@@ -123,11 +123,27 @@ def score(rollouts: DataFrame, broken: DataFrame, rejecting: DataFrame, traces:
         zero("n_alive").cast("long").alias("survivors"),
         F.when(scaled, covered).otherwise(whole_union).alias("batch_score"),
         F.lit(variant).alias("reward_variant"),
-        F.when(F.lit(variant == "binary"), F.lit("binary")).when(n > 0, F.lit(variant)).otherwise(F.lit("binary_fallback")).alias("reward_mode"),
+        F.when(F.lit(variant == "binary") | (n == 0), F.lit("binary_frama_c_validation")).otherwise(F.lit("whole_response_negative_coverage" if variant == "whole_coverage" else "negative_coverage")).alias("reward_mode"),
         n.cast("long").alias("n_negatives"),
     )
 
 
+def with_batch_columns(scores: DataFrame, distinct: DataFrame, alive: DataFrame, positives: DataFrame, filter_mode: str, negative_sampler: str = "structured", programs: DataFrame | None = None) -> DataFrame:
+    """The output of a scoring run: ``scores`` with the clause lists, the filter and sampler, the number of positives and, if given, the program.
+
+    distinct and alive: (group_id, rollout_index, ord, clause); positives: (group_id, n_positives); programs: (group_id, program).
+    """
+    one = ["group_id", "rollout_index"]
+    listed = lambda rows, name: rows.groupBy(*one).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: x["clause"]).alias(name))
+    out = scores.drop("survivors").join(listed(distinct, "invariants"), one, "left").join(listed(alive, "survivors"), one, "left").join(positives, "group_id", "left")
+    none = F.array().cast("array<string>")
+    for name in ("invariants", "survivors"):
+        out = out.withColumn(name, F.coalesce(name, none))
+    out = out.withColumn("n_positives", F.coalesce("n_positives", F.lit(0)).cast("long")).withColumn("filter_mode", F.lit(filter_mode)).withColumn("negative_sampler", F.lit(negative_sampler))
+    columns = ["group_id", "rollout_index", "reward", "base", "shapley_credit", "redundant_clauses", "redundancy_penalty", "overflow_penalty", "generated", "accepted", "overflow", "rejected", "invariants", "survivors", "batch_score", "filter_mode", "reward_variant", "negative_sampler", "reward_mode", "n_positives", "n_negatives"]
+    return out.select(*columns) if programs is None else out.join(programs, "group_id", "left").select(*columns, "program")
+
+
 def first_falsifier(states: DataFrame, group: list[str], order: str, value: Column) -> DataFrame:
     """The first state of a group where ``value`` is false, unless it is null at an earlier one: evaluation stops at the first null."""
     v = states.select(*group, order, value.alias("v"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clauses as C
 from ..functions import text as X
 from ..operators import candidates, overlap, sanitize, selection
+from ..operators.ordinals import numbered
 from ..session import table
 from ..sources import logs
 from ..sources import rollouts as rollout_source
@@ -172,7 +173,7 @@ def grid(spark: Spark, sf_dir: str) -> DataFrame:
 GRID = """
 WITH s AS (SELECT s_suppkey, s_suppkey % 5 = 0 AS none FROM supplier), r AS (SELECT s_suppkey, none, unnest(CASE WHEN none THEN [0] ELSE [0, 1, 2, 3, 4, 5] END) AS run FROM s)
 SELECT s_suppkey, CAST(run AS INTEGER) AS run, CASE WHEN none THEN '' ELSE
-  CAST([-1, 0, 7][(run // (CASE WHEN run % 2 = 0 THEN 1 ELSE 2 END) + run) % 3 + 1] AS VARCHAR) || ',' || CAST([s_suppkey, 2][(run // (CASE WHEN run % 2 = 0 THEN 2 ELSE 1 END) + run) % 2 + 1] AS VARCHAR) END AS inputs FROM r
+  CAST([-1, 0, 7][(CASE WHEN run % 2 = 0 THEN run // 2 ELSE run // 2 // 2 END) % 3 + 1] AS VARCHAR) || ',' || CAST([s_suppkey, 2][(CASE WHEN run % 2 = 0 THEN run // 2 // 3 ELSE run // 2 END) % 2 + 1] AS VARCHAR) END AS inputs FROM r
 """
 
 
@@ -390,9 +391,8 @@ SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN event_id * 1237 END AS prompt,
 def ordered_names(spark: Spark, sf_dir: str) -> DataFrame:
     """Places of names when digits come first, by value."""
     rows = table(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, (F.col("n_nationkey") * 7 % 23).cast("string")).otherwise(F.col("n_name")).alias("name")).distinct()
-    from pyspark.sql import Window
-
-    return rows.select("name", F.row_number().over(Window.orderBy(*X.numeric_first("name"))).alias("place"))
+    keyed = rows.select("name", F.col("name").rlike(r"^\d+$").cast("int").alias("d"), F.when(F.col("name").rlike(r"^\d+$"), F.col("name").cast("decimal(38,0)")).alias("v"))
+    return numbered(keyed.withColumn("d", 1 - F.col("d")), [], ["d", "v", "name"], "place").select("name", (F.col("place") + 1).cast("int").alias("place"))
 
 
 ORDERED_NAMES = r"""

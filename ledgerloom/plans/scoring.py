@@ -110,7 +110,7 @@ SELECT g AS group_id, i AS rollout_index,
   round(CAST(CASE WHEN {scaled} THEN {less} ELSE 0 END AS DOUBLE), 9) AS redundancy_penalty, round(CAST(CASE WHEN {scaled} THEN 0.05 * overflow ELSE 0 END AS DOUBLE), 9) AS overflow_penalty,
   CAST(generated AS BIGINT) AS generated, CAST(least(generated, 20) AS BIGINT) AS accepted, CAST(overflow AS BIGINT) AS overflow, CAST(rejected AS BIGINT) AS rejected, CAST(n_alive AS BIGINT) AS survivors,
   round(CAST(CASE WHEN {scaled} THEN {union} ELSE uwhole END AS DOUBLE), 9) AS batch_score, '{variant}' AS reward_variant,
-  CASE WHEN '{variant}' = 'binary' THEN 'binary' WHEN n > 0 THEN '{variant}' ELSE 'binary_fallback' END AS reward_mode, CAST(n AS BIGINT) AS n_negatives
+  CASE WHEN '{variant}' = 'binary' OR n = 0 THEN 'binary_frama_c_validation' WHEN '{variant}' = 'whole_coverage' THEN 'whole_response_negative_coverage' ELSE 'negative_coverage' END AS reward_mode, CAST(n AS BIGINT) AS n_negatives
 FROM q
 """
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators import reports as R
 from ..session import table
 from ..streaming import views
 
@@ -70,12 +71,14 @@ SELECT o_orderpriority, round(sum(r) / sum(t), 9) AS micro, round(avg(r / t), 9)
 def batch_cost(spark: Spark, sf_dir: str) -> DataFrame:
     """One price of each (status, date) batch, that of its last order, summed by status."""
     last = E.newest(table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_orderstatus", "o_orderdate"], ["o_orderkey"])
-    return last.groupBy("o_orderstatus").agg(F.count("*").alias("batches"), F.round(F.sum("o_totalprice"), 2).alias("cost")).withColumn("accounting", F.when(F.col("batches") > 1, F.lit("per batch")).otherwise(F.lit("per task")))
+    out = E.rollup(last.withColumn("method", F.lit("m")), "method", "o_orderstatus", [F.count("*").alias("batches"), F.round(F.sum("o_totalprice"), 2).alias("cost")])
+    return out.select("suite", "batches", "cost", R.cost_accounting(F.col("batches") > 1, F.col("suite")).alias("accounting"))
 
 
 BATCH_COST = """
-WITH b AS (SELECT o_orderstatus, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY o_orderstatus, o_orderdate)
-SELECT o_orderstatus, count(*) AS batches, round(sum(p), 2) AS cost, CASE WHEN count(*) > 1 THEN 'per batch' ELSE 'per task' END AS accounting FROM b GROUP BY o_orderstatus
+WITH b AS (SELECT o_orderstatus, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY o_orderstatus, o_orderdate),
+s AS (SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'all' ELSE o_orderstatus END AS suite, count(*) AS batches, round(sum(p), 2) AS cost FROM b GROUP BY ROLLUP (o_orderstatus))
+SELECT *, CASE WHEN batches > 1 AND suite = 'all' THEN 'task_wall_sum_plus_legacy_batch_wall' WHEN batches > 1 THEN 'partial_task_wall_sum_legacy_batch_unallocated' ELSE 'task_wall_sum' END AS accounting FROM s
 """
 
 
