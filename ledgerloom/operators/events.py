@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordinals import numbered
+from ..session import materialize
+from .ordinals import carried, last, numbered, spread
 
 
 def newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -18,8 +19,10 @@ def newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def last_before(rows: DataFrame, key: list[str], order: str, value: str, wanted: Column) -> DataFrame:
     """``value`` of the last earlier row of the key for which ``wanted`` holds, beside each row."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("previous", F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(w))
+    rows = spread(rows, key, [order])
+    kept = F.when(wanted, F.col(value))
+    end = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("__at")))
+    return carried(rows, key, kept, last, end, "previous").drop("__at", "__part")
 
 
 def pending(tasks: DataFrame, rows: DataFrame, key: list[str], status: str, done: tuple[str, ...]) -> DataFrame:
@@ -62,24 +65,18 @@ def distribution(rows: DataFrame, by: list[str], value: str, share: float = 0.95
     return out
 
 
-def sessions(intervals: DataFrame, by: list[str], started: str, finished: str, gap_seconds: float, coarse: str = "day") -> DataFrame:
+def sessions(intervals: DataFrame, by: list[str], started: str, finished: str, gap_seconds: float) -> DataFrame:
     """Intervals merged where the next start is at most ``gap_seconds`` after the latest finish so far.
 
-    Merging is associative: intervals are merged within each ``coarse`` unit of their start and the far fewer results once more, so a key
-    with very many intervals isn't one sorted group.
+    Latest finishes and session numbers are carried from range to range, so a key with very many intervals, or no key at all, isn't one sorted group.
     """
-
-    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("s", "f") if keys else Window.partitionBy(F.lit(0)).orderBy("s", "f")
-        reach = F.max("f").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        late = (F.unix_micros(F.col("s").cast("timestamp")) - F.unix_micros(reach.cast("timestamp"))) > int(gap_seconds * 1_000_000)
-        fresh = rows.withColumn("new", F.when(reach.isNull() | late, 1).otherwise(0))
-        named = fresh.withColumn("session", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return named.groupBy(*keys, "session").agg(F.min("s").alias("s"), F.max("f").alias("f"), F.sum("n").alias("n")).drop("session")
-
-    rows = intervals.select(*by, F.col(started).alias("s"), F.col(finished).alias("f"), F.lit(1).cast("long").alias("n"))
-    local = merged(rows.withColumn("unit", F.date_trunc(coarse, F.col("s").cast("timestamp"))), [*by, "unit"]).drop("unit")
-    return merged(local, by).select(*by, F.col("s").alias("started"), F.col("f").alias("finished"), F.col("n").alias("intervals"))
+    rows = spread(intervals.select(*by, F.col(started).alias("s"), F.col(finished).alias("f")), by, ["s", "f"])
+    reached = carried(rows, by, F.col("f"), F.max, F.max("__v"), "reach")
+    late = (F.unix_micros(F.col("s").cast("timestamp")) - F.unix_micros(F.col("reach").cast("timestamp"))) > int(gap_seconds * 1_000_000)
+    fresh = materialize(reached.withColumn("new", F.when(F.col("reach").isNull() | late, 1).otherwise(0)).drop("reach"), "fresh")
+    named = carried(fresh, by, F.col("new"), F.sum, F.sum("__v"), "before").withColumn("session", F.col("before") + F.col("new"))
+    out = named.groupBy(*by, "session").agg(F.min("s").alias("started"), F.max("f").alias("finished"), F.count("*").alias("intervals"))
+    return out.select(*by, "started", "finished", "intervals")
 
 
 def equal_shares(rows: DataFrame, batch: str, cost: str) -> DataFrame:

@@ -291,7 +291,7 @@ def digest(spark: Spark, sf_dir: str) -> DataFrame:
 
 
 DIGEST = """
-WITH l AS (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 64 AS b, doc_id || ' ' || sha256(text) AS line FROM documents),
+WITH l AS (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % greatest(CAST(ceil((SELECT count(*) FROM documents) / 1024) AS BIGINT), 1) AS b, doc_id || ' ' || sha256(text) AS line FROM documents),
 p AS (SELECT b, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY b)
 SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM p
 """

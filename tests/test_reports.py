@@ -1,5 +1,6 @@
 """Report joins, filters as plug-ins, the scoring output and the baseline moves."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
@@ -152,3 +153,23 @@ def test_last_before_and_sessions(spark):
         want[-1][1], want[-1][2] = max(want[-1][1], b), want[-1][2] + 1
         reach = want[-1][1]
     assert sorted(tuple(r) for r in out) == [tuple(w) for w in want]
+
+
+def test_corpus_digest(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(k, f"text {k % 9}") for k in range(90)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    for fan in (4, 1024):
+        count = -(-len(rows) // fan)
+        level = {}
+        for k, t in rows:
+            level.setdefault(int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16) % count, []).append(f"{k} {sha(t)}")
+        level = {b: sha("\n".join(sorted(x))) for b, x in level.items()}
+        while True:
+            count, up = -(-count // fan), {}
+            for b in sorted(level):
+                up.setdefault(b // fan, []).append(level[b])
+            level = {b: sha("\n".join(x)) for b, x in up.items()}
+            if count == 1:
+                break
+        assert overlap.corpus_digest(df, "k", "t", fan).first().digest == level[0]
