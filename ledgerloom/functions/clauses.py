@@ -95,62 +95,76 @@ def syntax(clause: str) -> ast.expr | None:
 
 
 # --- canonical key ----------------------------------------------------------------------------
-
-_FLIP = {ast.Gt: "<", ast.GtE: "<=", ast.Lt: "<", ast.LtE: "<=", ast.Eq: "==", ast.NotEq: "!="}
-_NOT = {"<": "<=", "<=": "<", "==": "!=", "!=": "=="}
-
-
-class _Unkeyed(Exception):
-    """The clause has no canonical form."""
-
-
-def _relation(op: type, a, b) -> tuple:
-    kind = _FLIP.get(op)
-    if kind is None:
-        raise _Unkeyed
-    if op in (ast.Gt, ast.GtE) or kind in ("==", "!=") and repr(b) < repr(a):
-        a, b = b, a
-    return kind, a, b
-
-
-def _negated(key: tuple) -> tuple:
-    if key[0] in ("<", "<="):
-        return _NOT[key[0]], key[2], key[1]
-    if key[0] in ("==", "!="):
-        return (_NOT[key[0]], *key[1:])
-    return key[1] if key[0] == "not" else ("not", key)
-
-
-def _key(node: ast.expr) -> tuple:
-    match node:
-        case ast.Constant(value=bool() | int() as v):
-            return "number", int(v)
-        case ast.Name(id=name):
-            return "name", name
-        case ast.UnaryOp(op=ast.UAdd(), operand=x):
-            return _key(x)
-        case ast.UnaryOp(op=ast.USub(), operand=x):
-            return "minus", _key(x)
-        case ast.UnaryOp(op=ast.Not(), operand=x):
-            return _negated(_key(x))
-        case ast.BinOp(left=left, op=op, right=right):
-            a, b, kind = _key(left), _key(right), type(op).__name__
-            neutral = ("number", {"Add": 0, "Sub": 0, "Mult": 1}.get(kind))
-            if b == neutral:
-                return a
-            if a == neutral and kind != "Sub":
-                return b
-            return (kind, *sorted((a, b), key=repr)) if kind in ("Add", "Mult") else (kind, a, b)
-        case ast.Compare(left=left, ops=ops, comparators=right):
-            sides = [_key(left), *map(_key, right)]
-            parts = [_relation(type(op), a, b) for op, a, b in zip(ops, sides, sides[1:])]
-            return parts[0] if len(parts) == 1 else ("And", *dict.fromkeys(parts))
-        case ast.BoolOp(op=op, values=values):
-            kind, flat = type(op).__name__, {}
-            for k in map(_key, values):
-                flat |= dict.fromkeys(k[1:] if k[0] == kind else (k,))
-            return next(iter(flat)) if len(flat) == 1 else (kind, *flat)
-    raise _Unkeyed
+# Rules: a denied comparison is its opposite, two denials cancel; > and >= are read from the right; the sides of == and !=, and of + and *, stand in text order; adding
+# or subtracting 0, multiplying by 1 and a plus sign go; a chain is a conjunction; conjunctions and disjunctions have each part once, in order.
+
+_SIGNS = {ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "==", ast.NotEq: "!="}
+_OPPOSITE = {"<": ">=", ">=": "<", ">": "<=", "<=": ">", "==": "!=", "!=": "=="}
+_TURNED = {">": "<", ">=": "<="}
+#: What an operator leaves out on its left and on its right, and those whose sides may stand in any order.
+_NEUTRAL = {"Add": ("0", "0"), "Sub": (None, "0"), "Mult": ("1", "1")}
+_LOGIC = (ast.BoolOp, ast.Compare)
+
+
+def _term(node: ast.expr) -> str:
+    """Text of a number or, where one stands among numbers, of a statement."""
+    if isinstance(node, _LOGIC) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+        return _said(node, True)
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Constant) and isinstance(node.value, int):
+        return str(int(node.value))
+    if isinstance(node, ast.UnaryOp):
+        return {ast.UAdd: "{}", ast.USub: "-({})"}[type(node.op)].format(_term(node.operand))
+    if not isinstance(node, ast.BinOp):
+        raise LookupError("no canonical form")
+    kind, sides = type(node.op).__name__, [_term(node.left), _term(node.right)]
+    before, after = _NEUTRAL.get(kind, (None, None))
+    if sides[1] == after:
+        return sides[0]
+    if sides[0] == before:
+        return sides[1]
+    return f"{kind}({', '.join(sorted(sides) if kind in ('Add', 'Mult') else sides)})"
+
+
+def _links(node: ast.Compare) -> list[tuple[str, str, str]]:
+    """(left, sign, right) of each comparison of a chain."""
+    sides = [_term(x) for x in (node.left, *node.comparators)]
+    return list(zip(sides, [_SIGNS[type(op)] for op in node.ops], sides[1:]))
+
+
+def _compared(left: str, sign: str, right: str) -> str:
+    turn = sign in _TURNED or sign in ("==", "!=") and right < left
+    return " ".join((right, _TURNED.get(sign, sign), left) if turn else (left, sign, right))
+
+
+def _parts(node: ast.expr, kind: type) -> list[tuple[ast.expr | None, str]]:
+    """The statements that a conjunction or disjunction joins, with the node of those that are whole nodes."""
+    if isinstance(node, ast.BoolOp) and isinstance(node.op, kind):
+        return [p for v in node.values for p in _parts(v, kind)]
+    if kind is ast.And and isinstance(node, ast.Compare) and len(node.ops) > 1:
+        return [(None, _compared(*x)) for x in _links(node)]
+    return [(node, _said(node, True))]
+
+
+def _said(node: ast.expr, holds: bool) -> str:
+    """Text of a statement, or of its denial."""
+    while isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+        node, holds = node.operand, not holds
+    if isinstance(node, ast.Compare) and len(node.ops) == 1:
+        ((left, sign, right),) = _links(node)
+        return _compared(left, sign if holds else _OPPOSITE[sign], right)
+    if isinstance(node, _LOGIC):
+        kind = type(node.op) if isinstance(node, ast.BoolOp) else ast.And
+        once: dict[str, ast.expr | None] = {}
+        for part, text in _parts(node, kind):
+            once.setdefault(text, part)
+        if len(once) == 1 and (only := next(iter(once.values()))) is not None:
+            return _said(only, holds)
+        body = f"{kind.__name__}[{'; '.join(once)}]"
+    else:
+        body = _term(node)
+    return body if holds else f"not ({body})"
 
 
 @lru_cache(maxsize=100_000)
@@ -161,8 +175,8 @@ def canonical_key(clause: str) -> str:
     """
     tree = syntax(clause)
     try:
-        return repr(_key(tree)) if tree is not None else clause
-    except _Unkeyed:
+        return _said(tree, True) if tree is not None else clause
+    except LookupError:
         return clause
 
 
