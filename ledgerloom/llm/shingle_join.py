@@ -186,8 +186,11 @@ def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, s
     held = materialize(held.join(shared, "h"), "held")
 
     fits = (F.least("n", "n2") * q >= F.greatest("n", "n2") * p) & ((F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) * (p + q) >= (F.col("n") + F.col("n2")) * p)
-    # The smallest holder of each shingle with all others: what has one root then needs no pairs.
-    whole = check(held.where((F.col("fp") != F.col("v")) & fits).select(F.col("fp").alias("u"), "v"), whole)
+    # The smallest holder of each shingle with all others, at first for each set that one which most of its shingles name: what has one root then needs no pairs.
+    stars = held.where((F.col("fp") != F.col("v")) & fits).groupBy(F.col("fp").alias("u"), "v").agg(F.count("*").alias("c"))
+    stars = materialize(stars, "stars")
+    whole = check(stars.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v")), whole)
+    whole = check(stars.select("u", "v"), whole)
     rooted = whole.select(F.col("node").alias("fp"), "root")
     members = held.select("h", "m", "fp", "n", "at").join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     members = materialize(members, "members")
