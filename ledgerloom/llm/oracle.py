@@ -84,6 +84,41 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAS
 FROM w JOIN reg USING (r) JOIN leaf USING (r)
 """
 
+def _merkle(levels: int = 8, group_levels: int = 4) -> str:
+    """The manifest's SQL, for trees of up to 8 ** ``levels`` leaves and 8 ** ``group_levels`` groups."""
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def up(name: str, count: int) -> str:
+        out = "".join(f"{name}{k + 1} AS (SELECT tree, p // 8 AS p, (n + 7) // 8 AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM {name}{k} WHERE n > 1 GROUP BY tree, p // 8, n),\n" for k in range(count))
+        return out + f"{name}top AS ({' UNION ALL '.join(f'SELECT tree, d FROM {name}{k} WHERE n = 1' for k in range(count + 1))}),\n"
+
+    def folded(name: str, count: int, key: str) -> str:
+        out = ""
+        for k in range(count):
+            out += f"{name}run{k} AS (SELECT tree, p // 8 AS r, list(d ORDER BY p) AS ds FROM {name}{k} WHERE n > 1 GROUP BY tree, p // 8),\n"
+            step = "CASE WHEN ds IS NULL THEN fold ELSE sha256(array_to_string(ds[1:p % 8] || [fold] || ds[p % 8 + 2:], '')) END"
+            out += f"{name}path{k + 1} AS (SELECT {key}, x.tree, p // 8 AS p, {step} AS fold, path || coalesce(array_to_string(ds[1:p % 8] || ds[p % 8 + 2:], ''), '') AS path FROM {name}path{k} x LEFT JOIN {name}run{k} y ON x.tree = y.tree AND x.p = y.r),\n"
+        return out
+
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+h AS (SELECT *, hex(encode(CAST(doc_id AS VARCHAR))) AS hx, strlen(CAST(doc_id AS VARCHAR)) AS len FROM documents),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(len), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM h, t),
+l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS d, crc, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM c),
+x0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS p, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{up("x", levels)}
+g0 AS (SELECT '' AS tree, xtop.tree AS name, d, row_number() OVER (ORDER BY xtop.tree) - 1 AS p, count(*) OVER () AS n FROM xtop),
+{up("g", group_levels)}
+xpath0 AS (SELECT doc_id, d AS leaf, tree, p, CASE WHEN coalesce(crc % 3 = 0, false) THEN other ELSE d END AS fold, '' AS path FROM x0),
+{folded("x", levels, "doc_id, leaf")}
+gpath0 AS (SELECT doc_id, leaf, name, g0.d AS subroot, g0.tree, g0.p, fold, path FROM xpath{levels} x JOIN g0 ON x.tree = g0.name),
+{folded("g", group_levels, "doc_id, leaf, name, subroot")}
+r AS (SELECT doc_id, leaf, subroot, gtop.d AS root, sha256(path) AS proof_sha256, fold AS folded_root FROM gpath{group_levels}, gtop)
+SELECT *, folded_root = root AS verified FROM r
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_voronoi_knn": KNN,
     "op2_chat_format": CHAT,
@@ -91,4 +126,5 @@ ORACLE: dict[str, str] = {
     "op6_substring_dedup": SUBSTRINGS,
     "op9_hash_tree": HASH_TREE,
     "op10_decontaminate": DECONTAMINATE,
+    "op11_merkle": _merkle(),
 }

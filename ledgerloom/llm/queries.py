@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, line_dedup, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
+from . import chat_format, decontaminate, language_id, line_dedup, merkle, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_voronoi_knn": op1_voronoi_knn,
     "op2_chat_format": op2_chat_format,
@@ -78,4 +82,5 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_hash_tree": op9_hash_tree,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
