@@ -28,6 +28,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.ordinals import numbered
@@ -37,6 +38,8 @@ FANOUT, SPAN = 8, 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NODE = "tree string, pos bigint, n bigint, digest string, parts array<struct<pos:bigint,digest:string>>"
+NODE_TYPE = T.StructType().add("tree", "string").add("pos", "long").add("n", "long").add("digest", "string")
+PARTS_TYPE = T.ArrayType(T.StructType().add("pos", "long").add("digest", "string"))
 PATH = "array<struct<i:int,s:string>>"
 
 
@@ -95,17 +98,26 @@ class Store:
     spark: SparkSession
     path: str
     height: int
-    payload: list[str]
+    payload: T.StructType
+
+    def read(self, k: int) -> DataFrame:
+        schema = T.StructType([*NODE_TYPE.fields, *([T.StructField("parts", PARTS_TYPE)] if k else self.payload.fields)])
+        return self.spark.read.schema(schema).parquet(f"{self.path}/level={k}")
 
     def level(self, k: int) -> DataFrame:
         """tree, pos, n, digest of a level (and the payload on level 0)."""
-        rows = self.spark.read.parquet(f"{self.path}/level={k}")
-        if not k:
-            return rows
-        whole = rows.where("digest is not null").select("tree", "pos", "n", "digest")
+        rows = self.read(k)
+        return rows.where("digest is not null").select("tree", "pos", "n", "digest") if k else rows
+
+    def rise(self) -> None:
+        """Writes the next level: the whole runs of one sequential read, then those that the edges of files split."""
+        below = self.level(self.height).where("n > 1").select("tree", "pos", "n", "digest")
+        self.height += 1
+        path = f"{self.path}/level={self.height}"
+        below.mapInArrow(_runs, NODE).write.parquet(path)
         parts = F.array_sort(F.flatten(F.collect_list("parts")))
-        split = rows.where("digest is null").groupBy("tree", "pos", "n").agg(F.sha2(F.concat_ws("", F.transform(parts, lambda p: p["digest"])), 256).alias("digest"))
-        return whole.unionByName(split)
+        split = self.read(self.height).where("digest is null").groupBy("tree", "pos", "n").agg(F.sha2(F.concat_ws("", F.transform(parts, lambda p: p["digest"])), 256).alias("digest"))
+        split.withColumn("parts", F.lit(None).cast("array<struct<pos:bigint,digest:string>>")).write.mode("append").parquet(path)
 
     def tops(self) -> DataFrame:
         """tree, height, digest of each tree's topmost node."""
@@ -122,12 +134,10 @@ def build(leaves: DataFrame, order: list[str], payload: list[str]) -> Store:
     path = fresh_path(spark, "merkle")
     placed = numbered(leaves, ["tree"], order, "pos")
     placed.select("tree", "pos", "n", "digest", *payload).write.parquet(f"{path}/level=0")
-    most = spark.read.parquet(f"{path}/level=0").agg(F.max("n")).first()[0] or 0
-    store = Store(spark, path, 0, payload)
+    store = Store(spark, path, 0, leaves.select(*payload).schema)
+    most = store.read(0).agg(F.max("n")).first()[0] or 0
     while most > 1:
-        below = store.level(store.height).where("n > 1").select("tree", "pos", "n", "digest")
-        store.height += 1
-        below.mapInArrow(_runs, NODE).write.parquet(f"{path}/level={store.height}")
+        store.rise()
         most = -(-most // FANOUT)
     return store
 
@@ -214,7 +224,7 @@ def proofs(store: Store, tops: DataFrame, finish: Callable, schema: pa.Schema, d
             if (k := SPAN * s + j) > store.height:
                 break
             nodes = store.level(k) if not s else store.level(k).where("n > 1")
-            keep = store.payload if not k else []
+            keep = store.payload.names if not k else []
             part = nodes.select("tree", F.floor(F.col("pos") / FANOUT ** (SPAN - j)).alias("block"), F.lit(j).alias("j"), "pos", "n", "digest", *keep)
             rows = rows.unionByName(part, allowMissingColumns=True)
         sorted_rows = rows.repartition("tree", "block").sortWithinPartitions("tree", "block", F.desc("j"), "pos")

@@ -98,7 +98,7 @@ def _merkle(levels: int = 8, group_levels: int = 4) -> str:
         for k in range(count):
             out += f"{name}run{k} AS (SELECT tree, p // 8 AS r, list(d ORDER BY p) AS ds FROM {name}{k} WHERE n > 1 GROUP BY tree, p // 8),\n"
             step = "CASE WHEN ds IS NULL THEN fold ELSE sha256(array_to_string(ds[1:p % 8] || [fold] || ds[p % 8 + 2:], '')) END"
-            out += f"{name}path{k + 1} AS (SELECT {key}, x.tree, p // 8 AS p, {step} AS fold, path || coalesce(array_to_string(ds[1:p % 8] || ds[p % 8 + 2:], ''), '') AS path FROM {name}path{k} x LEFT JOIN {name}run{k} y ON x.tree = y.tree AND x.p = y.r),\n"
+            out += f"{name}path{k + 1} AS (SELECT {key}, x.tree, p // 8 AS p, {step} AS fold, path || coalesce(array_to_string(ds[1:p % 8] || ds[p % 8 + 2:], ''), '') AS path FROM {name}path{k} x LEFT JOIN {name}run{k} y ON x.tree = y.tree AND x.p // 8 = y.r),\n"
         return out
 
     return f"""
