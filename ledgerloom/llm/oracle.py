@@ -118,6 +118,23 @@ r AS (SELECT doc_id, leaf, subroot, gtop.d AS root, sha256(path) AS proof_sha256
 SELECT *, folded_root = root AS verified FROM r
 """
 
+COLLOCATIONS = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, m, w[k : k + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY lang, m, g HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+cuts AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 :]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_g AS (SELECT lang, g[k : k + j - 1] AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, m, j, unnest(range(1, m - j + 2)) AS k FROM f, (SELECT unnest([2, 3]) AS j) WHERE m > j) GROUP BY ALL),
+kept AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inner_g USING (lang, g) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 ORACLE: dict[str, str] = {
     "op1_voronoi_knn": KNN,
@@ -127,4 +144,5 @@ ORACLE: dict[str, str] = {
     "op9_hash_tree": HASH_TREE,
     "op10_decontaminate": DECONTAMINATE,
     "op11_merkle": _merkle(),
+    "op12_collocations": COLLOCATIONS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, lattice, line_dedup, merkle, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
+from . import chat_format, collocations, decontaminate, language_id, lattice, line_dedup, merkle, piece_bpe, sharding, simhash, substring_dedup, voronoi_knn, warc
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
 def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.report(table(spark, sf_dir, "documents"), piece_model())
 
@@ -87,5 +91,6 @@ QUERIES = {
     "op9_hash_tree": op9_hash_tree,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
     "op13_lattice": op13_lattice,
 }
