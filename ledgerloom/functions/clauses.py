@@ -4,8 +4,8 @@ A clause is C-like text such as ``0 <= x && x < \\at(n, Pre)``. A small rewrite
 whose own parser does the rest; there is no grammar here. ``predicate`` turns a clause into a Column, so
 that clauses run inside code generation; ``holds`` evaluates one with unbounded integers for the few that don't fit.
 
-Results are three-valued: true, false, or null where a name is missing or a divisor is zero. ``&&`` and ``||`` look at
-their right side only if the left one doesn't decide, and a null left side makes the whole null.
+Results are three-valued: true, false, or null where any variable of the clause has no value, a divisor is zero, or the clause uses what
+the language doesn't have. ``&&`` and ``||`` look at their right side only if the left one doesn't decide, and a null left side makes the whole null.
 """
 
 from __future__ import annotations
@@ -94,6 +94,12 @@ def syntax(clause: str) -> ast.expr | None:
         return None
 
 
+def named(tree: ast.expr) -> set[str]:
+    """The variables of a syntax tree."""
+    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
+    return {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and id(n) not in called}
+
+
 # --- canonical key ----------------------------------------------------------------------------
 # Rules: a denied comparison is its opposite, two denials cancel; > and >= are read from the right; the sides of == and !=, and of + and *, stand in text order; adding
 # or subtracting 0, multiplying by 1 and a plus sign go; a chain is a conjunction; conjunctions and disjunctions have each part once, in order.
@@ -109,7 +115,7 @@ _LOGIC = (ast.BoolOp, ast.Compare)
 def _term(node: ast.expr) -> str:
     """Text of a number or, where one stands among numbers, of a statement."""
     if isinstance(node, _LOGIC) or isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
-        return _said(node, True)
+        return f"({_said(node, True)})"
     if isinstance(node, ast.Name):
         return node.id
     if isinstance(node, ast.Constant) and isinstance(node.value, int):
@@ -235,6 +241,8 @@ def predicate(clause: str, variables: dict[str, Column]) -> Column:
                 return F.negate(number(x))
             case ast.UnaryOp(op=ast.UAdd(), operand=x):
                 return number(x)
+            case ast.Call(func=ast.Name(id="abs"), args=[x], keywords=[]):
+                return F.abs(number(x))
             case ast.BinOp(left=left, op=op, right=right):
                 a, b = number(left), number(right)
                 match op:
@@ -250,12 +258,17 @@ def predicate(clause: str, variables: dict[str, Column]) -> Column:
                         return F.when(b != 0, a % b).cast(WIDE)
             case ast.Compare() | ast.BoolOp() | ast.UnaryOp(op=ast.Not()):
                 return truth(node).cast("int").cast(WIDE)
-        raise _Unkeyed
+        raise LookupError("no column for this")
 
+    if tree is None or not named(tree) <= variables.keys():
+        return unknown
     try:
-        return truth(tree) if tree is not None else unknown
-    except (_Unkeyed, KeyError):
+        value = truth(tree)
+    except LookupError:
         return unknown
+    for name in sorted(named(tree)):
+        value = F.when(variables[name].isNotNull(), value)
+    return value
 
 
 def _divided(a: int, b: int) -> int:
@@ -275,25 +288,38 @@ class _Quotients(ast.NodeTransformer):
         return node
 
 
-_ALLOWED = (ast.BoolOp, ast.UnaryOp, ast.BinOp, ast.Compare, ast.Name, ast.Constant, ast.boolop, ast.unaryop, ast.operator, ast.cmpop, ast.expr_context)
+_ALLOWED = (ast.BoolOp, ast.UnaryOp, ast.BinOp, ast.Compare, ast.Name, ast.Constant, ast.boolop, ast.unaryop, ast.cmpop, ast.expr_context, ast.Add, ast.Sub, ast.Mult, ast.FloorDiv, ast.Mod)
+_SIGNED = (*_SIGNS,)
+
+
+def _is_abs(node: ast.AST) -> bool:
+    return isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "abs" and len(node.args) == 1 and not node.keywords
+
+
+def _usable(node: ast.AST) -> bool:
+    if isinstance(node, ast.Constant):
+        return isinstance(node.value, int)
+    if isinstance(node, ast.cmpop):
+        return isinstance(node, _SIGNED)
+    return _is_abs(node) or isinstance(node, _ALLOWED) and not isinstance(node, ast.Invert)
 
 
 @lru_cache(maxsize=100_000)
 def _code(clause: str):
     tree = syntax(clause)
-    if tree is None or not all(isinstance(n, _ALLOWED) and not isinstance(getattr(n, "op", None), ast.Pow) for n in ast.walk(tree)):
+    if tree is None or not all(map(_usable, ast.walk(tree))):
         return None
     body = _Quotients().visit(ast.parse(ast.unparse(tree), mode="eval"))
-    return compile(ast.fix_missing_locations(body), "clause", "eval")
+    return compile(ast.fix_missing_locations(body), "clause", "eval"), frozenset(named(tree))
 
 
 def holds(clause: str, state: dict[str, int]) -> bool | None:
     """Truth of a clause in a state with unbounded integers."""
     code = _code(clause)
-    if code is None:
+    if code is None or not code[1] <= state.keys():
         return None
     try:
-        return bool(eval(code, {"__builtins__": {}, "_divided": _divided}, state))  # noqa: S307  only arithmetic nodes get here
+        return bool(eval(code[0], {"__builtins__": {}, "_divided": _divided, "abs": abs}, state))  # noqa: S307  only arithmetic nodes get here
     except (NameError, ZeroDivisionError, TypeError, OverflowError):
         return None
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions import clauses as C
+from ..functions import vectors
 from ..session import materialize
+from . import scoring
 
 
 def greatest_fixpoint(clauses: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 500) -> DataFrame:
@@ -26,16 +30,34 @@ def greatest_fixpoint(clauses: DataFrame, verify: Callable[[DataFrame], DataFram
     return now.join(changing, "group_id", "left_anti")
 
 
-def inductive_over(transitions: DataFrame) -> Callable[[DataFrame], DataFrame]:
+def inductive_over(transitions: DataFrame, block: int = scoring.BLOCK) -> Callable[[DataFrame], DataFrame]:
     """A verifier from observed steps (group_id, before, after: maps): a clause fails if all clauses hold before a step and it is false after.
 
-    It refutes and never proves; results are to be labelled as such.
+    It refutes and never proves; results are to be labelled as such. Steps are dealt into blocks of bounded size, and each clause is an array
+    program over a block; a group's clauses meet each block together, since all of them decide which steps count.
     """
+    steps = materialize(transitions.select("group_id", "before", "after").withColumn("step", F.monotonically_increasing_id()), "steps")
+    sizes = materialize(steps.groupBy("group_id").agg(F.ceil(F.count("*") / block).alias("blocks")), "blocks")
+    dealt = steps.join(sizes, "group_id").select("group_id", F.pmod(F.xxhash64("step"), "blocks").alias("block"), "before", "after")
+    schema = pa.schema([("group_id", to_arrow_type(steps.schema["group_id"].dataType)), ("key", pa.string())])
+
+    def run(mine: pa.Table, programs: pa.Table) -> pa.Table:
+        if not (len(mine) and len(programs)):
+            return schema.empty_table()
+        before, after = (vectors.Block(vectors.variables(mine[c]), len(mine)) for c in ("before", "after"))
+        counts = before.every
+        for clause in programs["clause"].to_pylist():
+            counts = counts & before.truth(clause)[0]
+        failed = []
+        for key, clause in zip(programs["key"].to_pylist(), programs["clause"].to_pylist()):
+            value, known = after.truth(clause)
+            if np.any(counts & known & ~value):
+                failed.append(key)
+        return pa.Table.from_pydict({"group_id": [mine["group_id"][0].as_py()] * len(failed), "key": failed}, schema)
 
     def verify(clauses: DataFrame) -> DataFrame:
-        met = transitions.withColumn("step", F.monotonically_increasing_id()).join(clauses.select("group_id", "key", "clause"), "group_id")
-        judged = met.select("group_id", "step", "key", C.clause_holds("clause", "before").alias("b"), C.clause_holds("clause", "after").alias("a"))
-        usable = judged.groupBy("group_id", "step").agg(F.bool_and(F.coalesce("b", F.lit(False))).alias("all"), F.collect_set(F.when(F.col("a") == F.lit(False), F.col("key"))).alias("false"))
-        return usable.where("all").select("group_id", F.explode("false").alias("key"))
+        programs = clauses.join(sizes, "group_id").select("group_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "key", "clause")
+        met = dealt.groupBy("group_id", "block").cogroup(programs.groupBy("group_id", "block"))
+        return met.applyInArrow(run, f"group_id {steps.schema['group_id'].dataType.simpleString()}, key string")
 
     return verify

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import clauses as C
+from ..functions import vectors
 from ..session import materialize
 
 VARIANTS = ("binary", "whole_coverage", "base", "base_shapley", "full")
@@ -40,15 +44,76 @@ def verdicts(states: DataFrame, clauses: dict[str, str], variables: dict[str, Co
     return states.select(*keep, F.explode(false).alias("key"))
 
 
+#: States of a block and clauses of a chunk: what one task holds at a time.
+BLOCK, CHUNK = 1 << 16, 256
+
+
+def judged(states: DataFrame, clauses: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """Clauses that are rows against the states of their group: (group_id, key, trace_id, first_false, first_null).
+
+    states: (group_id, positive, trace_id, ord, vars map of names to whole numbers); clauses: (group_id, key, clause), one for each key. The
+    rows of positives have a null trace_id and, of each clause, the smallest ord at which it is false and at which it can't be told; those of
+    other states have a trace in which the clause is false somewhere. Both may come several times: once for each block.
+
+    A group's states are dealt into blocks and its clauses into chunks of bounded size by hash; a block meets a chunk in one task, where each
+    clause is one array program over the whole block. No state is joined with a clause, and a group of any size is many blocks.
+    """
+    kind = states.schema["group_id"].dataType.simpleString()
+    trace = states.schema["trace_id"].dataType
+    parts = clauses.groupBy("group_id").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    dealt = states.groupBy("group_id").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    sizes = materialize(parts.join(dealt, "group_id"), "blocks")
+    left = states.join(sizes, "group_id").select("group_id", F.pmod(F.xxhash64("positive", "trace_id", "ord"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "positive", "trace_id", F.col("ord").cast("long").alias("ord"), "vars")
+    right = clauses.join(sizes, "group_id").select("group_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("key"), "chunks").alias("chunk"), "key", "clause")
+    schema = pa.schema([("group_id", to_arrow_type(states.schema["group_id"].dataType)), ("key", pa.string()), ("trace_id", to_arrow_type(trace)), ("first_false", pa.int64()), ("first_null", pa.int64())])
+
+    def run(mine: pa.Table, programs: pa.Table) -> pa.Table:
+        if not (len(mine) and len(programs)):
+            return schema.empty_table()
+        positive = mine["positive"].fill_null(False).to_numpy()
+        order = mine["ord"].fill_null(0).to_numpy()
+        traces = mine["trace_id"].combine_chunks().dictionary_encode()
+        code = traces.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        here = vectors.Block(vectors.variables(mine["vars"]), len(mine))
+        group, least = mine["group_id"][0].as_py(), lambda x: int(x.min()) if len(x) else None
+        keys, where, falses, nulls = [], [], [], []
+        for key, clause in zip(programs["key"].to_pylist(), programs["clause"].to_pylist()):
+            value, known = here.truth(clause)
+            false = known & ~value
+            one = (least(order[false & positive]), least(order[~known & positive]))
+            if one != (None, None):
+                keys.append(key), where.append(None), falses.append(one[0]), nulls.append(one[1])
+            hit = np.unique(code[false & ~positive & (code >= 0)])
+            keys += [key] * len(hit)
+            where += hit.tolist()
+            falses += [None] * len(hit)
+            nulls += [None] * len(hit)
+        columns = [pa.array([group] * len(keys), schema.field("group_id").type), pa.array(keys, pa.string()), traces.dictionary.take(pa.array(where, pa.int32())), pa.array(falses, pa.int64()), pa.array(nulls, pa.int64())]
+        return pa.Table.from_arrays(columns, schema=schema)
+
+    met = left.groupBy("group_id", "block", "chunk").cogroup(right.groupBy("group_id", "block", "chunk"))
+    return met.applyInArrow(run, f"group_id {kind}, key string, trace_id {trace.simpleString()}, first_false bigint, first_null bigint")
+
+
+def broken_of(verdicts: DataFrame) -> DataFrame:
+    """(group_id, key) of the clauses that are false in a positive before any in which they can't be told."""
+    found = verdicts.where("trace_id is null").groupBy("group_id", "key").agg(F.min("first_false").alias("f"), F.min("first_null").alias("n"))
+    return found.where("f is not null and (n is null or f < n)").select("group_id", "key")
+
+
+def rejecting_of(verdicts: DataFrame) -> DataFrame:
+    """(group_id, trace_id, key) of the traces in which a clause is false."""
+    return verdicts.where("trace_id is not null").select("group_id", "trace_id", "key").distinct()
+
+
 def verdicts_of_rows(states: DataFrame, clauses: DataFrame) -> DataFrame:
-    """The same for clauses that are rows: (group_id, key, clause) meet the states of their group (group_id, trace_id, vars)."""
-    met = states.join(clauses, "group_id")
-    return met.where(C.clause_holds("clause", "vars") == F.lit(False)).select("group_id", "trace_id", "key")
+    """(group_id, trace_id, key) of clauses that are rows (group_id, key, clause), false in a state of their group (group_id, trace_id, vars)."""
+    return rejecting_of(judged(states.select("group_id", F.lit(False).alias("positive"), "trace_id", F.lit(0).alias("ord"), "vars"), clauses))
 
 
 def admitted(rollouts: DataFrame, most: int = MOST_CLAUSES) -> DataFrame:
     """(group_id, rollout_index, clauses array) -> counts and the first spelling of each distinct clause among the first ``most``."""
-    clean = F.filter(F.transform(F.coalesce("clauses", F.array().cast("array<string>")), C.normalize), lambda c: F.lit(True))
+    clean = F.filter(F.transform(F.coalesce("clauses", F.array().cast("array<string>")), C.normalize), lambda c: c != "")
     return rollouts.select(
         "group_id",
         "rollout_index",
@@ -131,11 +196,12 @@ def score(rollouts: DataFrame, broken: DataFrame, rejecting: DataFrame, traces:
 def with_batch_columns(scores: DataFrame, distinct: DataFrame, alive: DataFrame, positives: DataFrame, filter_mode: str, negative_sampler: str = "structured", programs: DataFrame | None = None) -> DataFrame:
     """The output of a scoring run: ``scores`` with the clause lists, the filter and sampler, the number of positives and, if given, the program.
 
-    distinct and alive: (group_id, rollout_index, ord, clause); positives: (group_id, n_positives); programs: (group_id, program).
+    Clauses stand in their order, survivors in that of their texts. distinct and alive: (group_id, rollout_index, ord, clause); positives: (group_id, n_positives); programs: (group_id, program).
     """
     one = ["group_id", "rollout_index"]
-    listed = lambda rows, name: rows.groupBy(*one).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: x["clause"]).alias(name))
-    out = scores.drop("survivors").join(listed(distinct, "invariants"), one, "left").join(listed(alive, "survivors"), one, "left").join(positives, "group_id", "left")
+    inorder = distinct.groupBy(*one).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: x["clause"]).alias("invariants"))
+    by_text = alive.groupBy(*one).agg(F.array_sort(F.collect_list("clause")).alias("survivors"))
+    out = scores.drop("survivors").join(inorder, one, "left").join(by_text, one, "left").join(positives, "group_id", "left")
     none = F.array().cast("array<string>")
     for name in ("invariants", "survivors"):
         out = out.withColumn(name, F.coalesce(name, none))
@@ -144,6 +210,36 @@ def with_batch_columns(scores: DataFrame, distinct: DataFrame, alive: DataFrame,
     return out.select(*columns) if programs is None else out.join(programs, "group_id", "left").select(*columns, "program")
 
 
+def score_rollouts(rollouts: DataFrame, examples: DataFrame, scope: DataFrame | None = None, variant: str = "full", weights: Weights = Weights(), negative_sampler: str = "structured", include_program: bool = False) -> DataFrame:
+    """Rollouts with their examples -> the output of a scoring run, one row per rollout.
+
+    rollouts: (group_id, program, rollout_index, clauses); examples: (program, positive, trace_id, ord, vars); scope: (program, names): a
+    clause that names anything else doesn't survive. Groups of one program share its examples, so each distinct clause of a program is
+    judged once. A group whose program has no examples at all isn't scored.
+    """
+    named = lambda df: df.withColumn("program_id", F.sha2(F.coalesce("program", F.lit("")), 256))
+    states = materialize(named(examples).drop("program"), "examples")
+    known = states.select("program_id").distinct()
+    rollouts = materialize(named(rollouts).join(known, "program_id", "left_semi"), "rollouts")
+    groups = rollouts.groupBy("group_id").agg(F.min("program_id").alias("program_id"), F.min("program").alias("program"))
+    distinct = materialize(keyed(admitted(rollouts, weights.most_clauses)), "clauses")
+    owned = distinct.join(groups.drop("program"), "group_id")
+    texts = materialize(owned.groupBy("program_id", "key").agg(F.min("clause").alias("clause")), "distinct")
+    renamed = lambda df: df.withColumnRenamed("program_id", "group_id")
+    verdicts = materialize(judged(renamed(states), renamed(texts)), "verdicts")
+    broken = broken_of(verdicts)
+    if scope is not None:
+        names = named(scope).select("program_id", "names")
+        outside = texts.join(names, "program_id").where(F.size(F.array_except(C.names(F.col("clause")), F.col("names"))) > 0)
+        broken = broken.unionByName(renamed(outside.select("program_id", "key")))
+    of_group = lambda df: groups.select(F.col("group_id").alias("g"), F.col("program_id").alias("group_id")).join(df, "group_id").drop("group_id").withColumnRenamed("g", "group_id")
+    sizes = renamed(states).groupBy("group_id").agg(F.count_distinct(F.when(~F.col("positive"), F.col("trace_id"))).alias("n_traces"), F.count_if("positive").alias("n_positives"))
+    broken, rejecting, sizes = materialize(of_group(broken), "broken"), of_group(rejecting_of(verdicts)), materialize(of_group(sizes), "sizes")
+    scores = score(rollouts, broken, rejecting, sizes.select("group_id", "n_traces"), variant, weights)
+    programs = groups.select("group_id", "program") if include_program else None
+    return with_batch_columns(scores, distinct, surviving(distinct, broken), sizes.select("group_id", "n_positives"), "positive", negative_sampler, programs)
+
+
 def first_falsifier(states: DataFrame, group: list[str], order: str, value: Column) -> DataFrame:
     """The first state of a group where ``value`` is false, unless it is null at an earlier one: evaluation stops at the first null."""
     v = states.select(*group, order, value.alias("v"))
