@@ -12,6 +12,9 @@ leaders; what then has one root needs no more comparisons. Holders of different
 left are compared pair by pair, so the result stays exact: only a crowd of texts that share
 their rarest shingles and aren't near-duplicates costs more than its size. Components are found on the roots known so far, so
 later rounds have small graphs.
+
+Words are hashed with a seed drawn for each run, so no texts can be written that share hashes and no words. A set is named by 64 bits: among
+10^10 different sets about three pairs are expected to have one name, and would be taken as one.
 """
 
 from __future__ import annotations
@@ -32,13 +35,13 @@ WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
 PART, BUCKETS = 1 << 14, 64
 
 
-def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(column: pa.Array, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, by hashes of the run's seed."""
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets):
         body = ASCII_LOWER[data[offsets[lo] : offsets[hi]]]
         starts, ends, first = word_spans(body, offsets[lo : hi + 1] - offsets[lo], NOT_SPACE)
-        hashes = word_hashes(body, starts, ends)
+        hashes = word_hashes(body, starts, ends, seed)
         windows = window_hashes(hashes, words)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= words:
@@ -47,8 +50,8 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield window_hashes(hashes[a:b], b - a) if b > a else hashes[:0]
 
 
-def _name(shingles: np.ndarray) -> int:
-    x = xxhash.xxh64_intdigest(shingles.tobytes())
+def _name(shingles: np.ndarray, seed: int) -> int:
+    x = xxhash.xxh64_intdigest(shingles.tobytes(), seed)
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -66,13 +69,13 @@ def sketch_of(shingles: np.ndarray) -> bytes | None:
     return counts.astype("<u2").tobytes() if counts.max(initial=0) < 1 << 16 else None
 
 
-def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of one text in ``sampled``, sorted, and their ranks from rare to common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = list(shingle_sets(batch.column(0).slice(at, 256), words))
+                sets = list(shingle_sets(batch.column(0).slice(at, 256), words, seed))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
 
     texts = docs.where(F.xxhash64(F.col("text")) % sampled == 0).select("text")
@@ -83,7 +86,7 @@ def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int) -> tuple
     return hot[order], -order
 
 
-def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[np.ndarray, np.ndarray], seed: int) -> DataFrame:
     """(doc_id, text_hash, fp, bits, n, prefix, sketch): fp names the set of n shingles, bits is its SimHash, prefix has its first ones in the common order."""
     p, q = similar
     common, rank = hot
@@ -93,8 +96,8 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 names, bits, sizes, firsts, sketches = [], [], [], [], []
-                for s in shingle_sets(part.column(2), words):
-                    names.append(_name(s))
+                for s in shingle_sets(part.column(2), words, seed):
+                    names.append(_name(s, seed))
                     bits.append(bits_of(s))
                     sketches.append(sketch_of(s))
                     n = len(s)
@@ -113,7 +116,7 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, bits bigint, n int, prefix array<bigint>, sketch binary")
 
 
-def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs: DataFrame, words: int, similar: tuple[int, int], seed: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar, told from the whole sets; those that have one root in ``whole`` are left out."""
     p, q = similar
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -144,8 +147,8 @@ def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                sets = list(shingle_sets(batch.column(0).slice(at, 512), words))
-                yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
+                sets = list(shingle_sets(batch.column(0).slice(at, 512), words, seed))
+                yield pa.RecordBatch.from_arrays([pa.array([_name(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,10 +175,10 @@ def _joined(whole: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(top.join(whole.select("node"), "node", "left_anti")), "whole")
 
 
-def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], dense: int, leaders: int) -> DataFrame:
+def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], seed: int, dense: int, leaders: int) -> DataFrame:
     """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows and the links known so far."""
     p, q = similar
-    check = lambda pairs, whole: _joined(whole, verified(pairs, whole, found, docs, words, similar))
+    check = lambda pairs, whole: _joined(whole, verified(pairs, whole, found, docs, words, similar, seed))
     whole = components(links)
     copies = materialize(found.groupBy("fp").count().where("count > 1").select("fp"), "copies")
     once = found.join(copies, "fp", "left_anti").select("fp", "n", "prefix")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_join
-from .common import col, materialize, packed, unpacked
+from .common import col, materialize, packed, secret, unpacked
 from .components import components
 
 SEED, WORDS, DISTANCE, DENSE, SAMPLE = 42, 3, 2, 128, 4000
@@ -264,10 +264,11 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``similar`` (a ratio) or more; links are transitive.
     """
     source = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    hot = shingle_join.hot_shingles(source, size, crowded, sampled)
-    found = materialize(shingle_join.prefixes(source, size, similar, hot), "prefixes")
-    near = shingle_join.verified(set_links(found, distance, dense), None, found, source, size, similar)
-    whole = shingle_join.completed(source, found, near, size, similar, crowded, leaders)
+    seed = secret()
+    hot = shingle_join.hot_shingles(source, size, crowded, sampled, seed)
+    found = materialize(shingle_join.prefixes(source, size, similar, hot, seed), "prefixes")
+    near = shingle_join.verified(set_links(found, distance, dense), None, found, source, size, similar, seed)
+    whole = shingle_join.completed(source, found, near, size, similar, seed, crowded, leaders)
     roots = materialize(whole.withColumnRenamed("node", "fp"), "roots")
     rows = found.select("doc_id", "text_hash", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return _without(docs, _others(rows), _repeats(found), id_col, text_col)
