@@ -7,7 +7,7 @@ emits are the n-grams with the pivot inside, so that none is counted in two buck
 
 Rarity is read from a table of fixed size (``SLOTS`` numbers): the largest frequency among the frequent words of each slot. It is never too low for a
 frequent word, so no phrase is lost; where it is too high, a bucket has more to count. Any order of words that all tasks share gives the same
-counts. Occurrences of a pivot with ``HOT`` or more are dealt over all buckets by fragment and task; what those buckets count is
+counts. A pivot with ``HOT`` or more occurrences is dealt over all buckets by the chunk of text it is in; what those buckets count is
 summed before anything is dropped. All other buckets hold about ``BUCKET`` fragments, however large the input.
 
 Words are told apart by two hashes with seeds of the run while they are counted; phrases leave a bucket as text.
@@ -129,8 +129,8 @@ def _ragged(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return data[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)]
 
 
-def _fragments(data: np.ndarray, offsets: np.ndarray, langs: list[str], row_lang: np.ndarray, slots: np.ndarray, buckets: int, hot: int, seed: int) -> Iterator[tuple]:
-    """(split, bucket, lang, texts, words before the pivot, number) of a chunk's fragments; texts are joined by newlines."""
+def _fragments(data: np.ndarray, offsets: np.ndarray, langs: list[str], row_lang: np.ndarray, slots: np.ndarray, buckets: int, hot: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """(split, bucket, lang, texts, words before the pivot, number) of a chunk's fragments, one row for each pivot; each text ends with a newline."""
     low = ASCII_LOWER[data]
     starts, ends, first = word_spans(low, offsets, IS_WORD)
     n = len(starts)
@@ -173,13 +173,10 @@ def _fragments(data: np.ndarray, offsets: np.ndarray, langs: list[str], row_lang
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
     times = np.diff(np.append(np.flatnonzero(new), len(order)))
     kept = order[new]
-    at, left, right, lang, same = at[kept], left[kept], right[kept], lang[kept], hashes[0][kept]
-    spread = f[at] >= hot
-    task = mix(one[:1] + U64(n))
-    bucket = (np.where(spread, mix(same + task), key[at]) % U64(buckets)).astype(np.int64)
-    place = (lang * 2 + spread) * buckets + bucket
-    order = np.argsort(place, kind="stable")
-    at, left, right, times, place = at[order], left[order], right[order], times[order], place[order]
+    at, left, right, lang = at[kept], left[kept], right[kept], lang[kept]
+    order = np.lexsort((key[at], lang))
+    at, left, right, times, lang = at[order], left[order], right[order], times[order], lang[order]
+    pivot = key[at]
     # Words of the chunk with one byte between them.
     size = ends - starts + 1
     begin = np.concatenate([[0], np.cumsum(size)])
@@ -189,18 +186,27 @@ def _fragments(data: np.ndarray, offsets: np.ndarray, langs: list[str], row_lang
     body = _ragged(spaced, begin[at - left], lengths)
     stops = np.cumsum(lengths)
     body[stops - 1] = 0x0A
-    cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(place)]):
-        which, bucket = divmod(int(place[lo]), buckets)
-        span = body[stops[lo] - lengths[lo] : stops[hi - 1]].tobytes()
-        yield bool(which & 1), bucket, langs[which >> 1], span, left[lo:hi].astype(np.uint8).tobytes(), times[lo:hi].astype(np.int64).tobytes()
+    cuts = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (lang[1:] != lang[:-1])]))
+    spread = f[at[cuts]] >= hot
+    task = mix(one[:1] + U64(n))
+    bucket = np.where(spread, mix(pivot[cuts] + task), pivot[cuts]) % U64(buckets)
+    edge = np.append(cuts, len(at))
+    packed = [_slices(body, np.concatenate([[0], stops])[edge]), _slices(left.astype(np.uint8), edge), _slices(times.astype("<i4"), edge)]
+    yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(bucket.astype(np.int64)), pa.array(langs, pa.string()).take(pa.array(lang[cuts])), *packed], names=PACKED)
+
+
+PACKED = ["split", "bucket", "lang", "texts", "lefts", "times"]
+
+
+def _slices(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between neighbouring edges, as a binary array."""
+    offsets = (edges * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def fragments(docs: DataFrame, slots: np.ndarray, buckets: int, seed: int, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """(split, bucket, lang, texts, lefts, times): the rewritten fragments of rows (lang, text), packed by bucket in each task."""
+    """(split, bucket, lang, texts, lefts, times): the rewritten fragments of rows (lang, text), a row for each pivot of a chunk."""
     sent = docs.sparkSession.sparkContext.broadcast(slots)
-    names = ["split", "bucket", "lang", "texts", "lefts", "times"]
-    kinds = [pa.bool_(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +218,7 @@ def fragments(docs: DataFrame, slots: np.ndarray, buckets: int, seed: int, hot:
             row_lang = np.array([number[every[r]] for r in rows.tolist()], np.int64)
             for lo, hi in row_chunks(offsets, chunk):
                 body = data[offsets[lo] : offsets[hi]]
-                out = list(_fragments(body, offsets[lo : hi + 1] - offsets[lo], langs, row_lang[lo:hi], sent.value, buckets, hot, seed))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=names)
+                yield from _fragments(body, offsets[lo : hi + 1] - offsets[lo], langs, row_lang[lo:hi], sent.value, buckets, hot, seed)
 
     return docs.select("lang", "text").mapInArrow(run, "split boolean, bucket bigint, lang string, texts binary, lefts binary, times binary")
 
@@ -226,7 +231,7 @@ def _mined(table: pa.Table, seed: int) -> tuple[list, list, list]:
     split = table["split"][0].as_py()
     texts = np.frombuffer(b"".join(table["texts"].to_pylist()), np.uint8)
     left = np.frombuffer(b"".join(table["lefts"].to_pylist()), np.uint8).astype(np.int64)
-    times = np.frombuffer(b"".join(table["times"].to_pylist()), np.int64)
+    times = np.frombuffer(b"".join(table["times"].to_pylist()), "<i4").astype(np.int64)
     langs = table["lang"].to_pylist()
     names = sorted(set(langs))
     lang = np.repeat([names.index(x) for x in langs], [len(x) for x in table["lefts"].to_pylist()])
