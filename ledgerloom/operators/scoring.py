@@ -44,6 +44,23 @@ def verdicts(states: DataFrame, clauses: dict[str, str], variables: dict[str, Co
     return states.select(*keep, F.explode(false).alias("key"))
 
 
+def verdict_sides(states: DataFrame, clauses: dict[str, str], variables: dict[str, Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(broken, rejecting, traces) of ``score`` for constant clauses, from one scan of states (group_id, trace_id, positive, negative, ...).
+
+    A trace keeps a bit for each clause that is false in one of its positives, and one for each in its negatives.
+    """
+    keys = list(clauses)
+    words = range(0, len(keys), 62)
+    false = {k: C.predicate(text, variables) == F.lit(False) for k, text in clauses.items()}
+    mask = lambda at, side: F.bit_or(F.when(F.col(side), sum((F.when(false[k], F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, k in enumerate(keys[at : at + 62])), F.lit(0).cast("long"))))
+    masks = [mask(at, side).alias(f"{side}_{at}") for side in ("positive", "negative") for at in words]
+    traces = materialize(states.where("positive or negative").groupBy("group_id", "trace_id").agg(F.bool_or("negative").alias("negative"), *masks), "verdicts")
+    set_bits = lambda side: F.array_compact(F.array(*[F.when(F.col(f"{side}_{at}").bitwiseAND(F.lit(1 << i)) != 0, F.lit(k)) for at in words for i, k in enumerate(keys[at : at + 62])]))
+    broken = traces.select("group_id", F.explode(set_bits("positive")).alias("key")).distinct()
+    rejecting = traces.select("group_id", "trace_id", F.explode(set_bits("negative")).alias("key"))
+    return broken, rejecting, traces.where("negative").groupBy("group_id").agg(F.count("*").alias("n_traces"))
+
+
 #: States of a block and clauses of a chunk: what one task holds at a time.
 BLOCK, CHUNK = 1 << 16, 256
 

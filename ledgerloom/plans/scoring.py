@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
+from ..functions import programs as P
 from ..operators import fixpoint, scoring
-from ..session import table
+from ..session import fresh_path, table
+from ..sources import rollouts as rollout_files
 
 ROLLOUTS = [
     ["qty <= 45", "line <= 6", "qty <= 45", "loop invariant  6 >= line;"],
@@ -46,11 +48,7 @@ def _keys() -> dict[str, str]:
 
 
 def _sides(spark: SparkSession, sf_dir: str):
-    s, v = states(spark, sf_dir), {"qty": F.col("qty"), "line": F.col("line")}
-    broken = scoring.verdicts(s.where("positive"), _keys(), v, ["group_id"]).distinct()
-    rejecting = scoring.verdicts(s.where("negative"), _keys(), v, ["group_id", "trace_id"]).distinct()
-    traces = s.where("negative").groupBy("group_id").agg(F.count_distinct("trace_id").alias("n_traces"))
-    return broken, rejecting, traces
+    return scoring.verdict_sides(states(spark, sf_dir), _keys(), {"qty": F.col("qty"), "line": F.col("line")})
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -162,17 +160,111 @@ SELECT event_type, CASE WHEN s IS NULL OR f < s THEN f END AS falsifier FROM v
 """
 
 
+# --- rollouts from files -----------------------------------------------------------------------
+# A customer is a rollout, its nation the group; the clauses follow from the customer's key. Every second nation is written grouped, as JSON lines, the
+# others flat, as Parquet. A program is that of a nation modulo 5, its examples the items of suppliers with that rest.
+
+PROGRAM = "/*@ requires qty > 0; */ int f%s(int qty, int line) { while (qty > line) { line = line + 1; } return qty; }"
+
+
+def _clause_lists(k: F.Column) -> F.Column:
+    text = lambda form, *v: F.format_string(form, *v)
+    some = lambda condition, c: F.when(condition, F.array(c)).otherwise(F.array().cast("array<string>"))
+    many = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: text("qty <= %s", 100 + i))
+    return F.concat(
+        F.array(text("qty <= %s", 38 + k % 12), text("%s >= line", 5 + k % 3)),
+        some(k % 3 == 0, text("line <= %s", 5 + k % 3)),
+        some(k % 5 == 0, F.lit("foo(qty) == 1")),
+        some(k % 4 == 1, text("qty * line <= %s || line == 1", 60 + 20 * (k % 9))),
+        some(k % 7 == 2, F.lit("10 / (line - 3) <= 9")),
+        some(k % 6 == 4, F.lit("qty + rate > 0")),
+        F.when(k % 11 == 0, many).otherwise(F.array().cast("array<string>")),
+    )
+
+
+def write_rollouts(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The rollouts as a grouped and a flat file; their paths."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), k.alias("ord"), _clause_lists(k).alias("c"))
+    rows = rows.select("nation", "ord", F.format_string(PROGRAM, F.col("nation") % 5).alias("program"), "c")
+    body = F.array_join(F.transform("c", lambda c: F.concat(F.lit("loop invariant "), c, F.lit(";"))), " ")
+    of_list, of_object, of_code = F.to_json("c"), F.to_json(F.struct(F.col("c").alias("invariants"))), F.to_json(F.struct(F.concat(F.lit("/*@ "), body, F.lit(" */")).alias("code")))
+    said = F.when(F.col("ord") % 4 == 0, of_list).when(F.col("ord") % 4 == 1, of_object).when(F.col("ord") % 4 == 2, of_code).otherwise(F.concat(F.lit("I suggest: "), body))
+    rows = rows.select(F.col("nation").cast("string").alias("group_id"), "program", "ord", said.alias("response"))
+    even = F.col("group_id").cast("int") % 2 == 0
+    grouped, flat = fresh_path(spark, "grouped.json"), fresh_path(spark, "flat.parquet")
+    lists = rows.where(even).groupBy("group_id", "program").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "response"))), lambda x: x["response"]).alias("rollouts"))
+    rollout_files.write_rows(lists, grouped)
+    rollout_files.write_rows(rows.where(~even), flat)
+    return grouped, flat
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(program, positive, trace_id, ord, vars) of the items."""
+    rows = table(spark, sf_dir, "lineitem").where(f"({POSITIVE}) or ({NEGATIVE})")
+    number = lambda c: F.col(c).cast("long")
+    positive = F.expr(POSITIVE)
+    place = number("l_orderkey") * 8 + number("l_linenumber")
+    return rows.select(F.format_string(PROGRAM, F.col("l_suppkey") % 5).alias("program"), positive.alias("positive"), F.when(~positive, F.col("l_orderkey")).alias("trace_id"), place.alias("ord"), F.create_map(F.lit("qty"), number("l_quantity"), F.lit("line"), number("l_linenumber"), F.lit("rate"), number("l_linenumber") * 0 - 1).alias("vars"))
+
+
+def score_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollout files of both layouts scored against their programs' examples: all columns of a scoring run."""
+    grouped, flat = write_rollouts(spark, sf_dir)
+    read = rollout_files.batches(rollout_files.rows(spark, grouped)).unionByName(rollout_files.batches(rollout_files.rows(spark, flat)))
+    states = examples(spark, sf_dir)
+    scope = states.select("program").distinct().select("program", P.parameters(F.col("program")).alias("names"))
+    return _rounded(scoring.score_rollouts(read, states, scope))
+
+
+SCORE_ROLLOUTS = f"""
+WITH cust AS (SELECT c_nationkey AS g, c_custkey AS ck, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+s AS (SELECT l_suppkey % 5 AS p, l_orderkey AS t, l_orderkey * 8 + l_linenumber AS o, CAST(l_quantity AS BIGINT) AS qty, l_linenumber AS line, ({POSITIVE}) AS pos FROM lineitem WHERE ({POSITIVE}) OR ({NEGATIVE})),
+c AS (
+  SELECT g, i, 1 AS o, 'qty <= ' || (38 + ck % 12) AS clause, 'A' AS kind, 38 + ck % 12 AS v FROM cust
+  UNION ALL SELECT g, i, 2, (5 + ck % 3) || ' >= line', 'B', 5 + ck % 3 FROM cust
+  UNION ALL SELECT g, i, 3, 'line <= ' || (5 + ck % 3), 'B', 5 + ck % 3 FROM cust WHERE ck % 3 = 0
+  UNION ALL SELECT g, i, 4, 'foo(qty) == 1', 'F', 0 FROM cust WHERE ck % 5 = 0
+  UNION ALL SELECT g, i, 5, 'qty * line <= ' || (60 + 20 * (ck % 9)) || ' || line == 1', 'D', 60 + 20 * (ck % 9) FROM cust WHERE ck % 4 = 1
+  UNION ALL SELECT g, i, 6, '10 / (line - 3) <= 9', 'Z', 0 FROM cust WHERE ck % 7 = 2
+  UNION ALL SELECT g, i, 7, 'qty + rate > 0', 'F', 1 FROM cust WHERE ck % 6 = 4
+  UNION ALL SELECT g, i, 8 + x, 'qty <= ' || (100 + x), 'A', 100 + x FROM cust, (SELECT unnest(range(21)) AS x) WHERE ck % 11 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY o) AS r, count(*) OVER (PARTITION BY g, i) AS generated FROM c),
+d AS (SELECT g, i, kind, v, min(o) AS o, arg_min(clause, o) AS clause, count(*) - 1 AS repeats FROM n WHERE r <= 20 GROUP BY g, i, kind, v),
+k AS (SELECT DISTINCT g, g % 5 AS p, kind, v FROM d),
+met AS (SELECT DISTINCT p, kind, v, pos, CASE WHEN NOT pos THEN t END AS t, CASE WHEN pos THEN o END AS o, isf, isn FROM (
+  SELECT k.p, kind, v, pos, t, o, CASE kind WHEN 'A' THEN qty > v WHEN 'B' THEN line > v WHEN 'D' THEN NOT (qty * line <= v OR line = 1) WHEN 'Z' THEN line <> 3 AND trunc(10 / nullif(line - 3, 0)) > 9 ELSE false END AS isf, kind = 'Z' AND line = 3 AS isn
+  FROM (SELECT DISTINCT p, kind, v FROM k) k JOIN s USING (p)) WHERE isf OR isn),
+broken AS (SELECT p, kind, v FROM met WHERE pos GROUP BY p, kind, v HAVING min(o) FILTER (isf) < coalesce(min(o) FILTER (isn), 1e18)),
+alive AS (SELECT d.*, g % 5 AS p FROM d WHERE kind <> 'F' AND (g % 5, kind, v) NOT IN (SELECT (p, kind, v) FROM broken)),
+hits AS (SELECT DISTINCT a.g, a.i, m.t FROM alive a JOIN met m ON m.p = a.p AND m.kind = a.kind AND m.v = a.v WHERE NOT m.pos AND m.isf),
+fr AS (SELECT g, t, count(*) AS f FROM hits GROUP BY g, t),
+gain AS (SELECT g, i, count(*) AS rejected, sum(1.0 / f) AS credit FROM hits JOIN fr USING (g, t) GROUP BY g, i),
+z AS (SELECT p, count(DISTINCT t) FILTER (NOT pos) AS n, count(*) FILTER (pos) AS np FROM s GROUP BY p),
+un AS (SELECT g, count(DISTINCT t) AS u FROM fr GROUP BY g),
+da AS (SELECT g, i, list(clause ORDER BY o) AS invariants, sum(repeats) AS repeats FROM d GROUP BY g, i),
+aa AS (SELECT g, i, list(clause ORDER BY clause) AS survivors FROM alive GROUP BY g, i),
+q AS (SELECT cust.g, cust.i, (SELECT max(generated) FROM n WHERE n.g = cust.g AND n.i = cust.i) AS generated, z.n, z.np, coalesce(rejected, 0) AS rejected, coalesce(credit, 0) AS credit, coalesce(u, 0) AS u, invariants, coalesce(survivors, []) AS survivors, repeats
+  FROM cust JOIN z ON z.p = cust.g % 5 LEFT JOIN gain USING (g, i) LEFT JOIN un USING (g) JOIN da USING (g, i) LEFT JOIN aa USING (g, i))
+SELECT CAST(g AS VARCHAR) AS group_id, CAST(i AS INTEGER) AS rollout_index, round(CAST(rejected / n + 0.3 * credit / n - 0.02 * repeats - 0.05 * greatest(generated - 20, 0) AS DOUBLE), 9) AS reward,
+  round(CAST(rejected / n AS DOUBLE), 9) AS base, round(CAST(credit / n AS DOUBLE), 9) AS shapley_credit, CAST(repeats AS BIGINT) AS redundant_clauses, round(CAST(0.02 * repeats AS DOUBLE), 9) AS redundancy_penalty,
+  round(CAST(0.05 * greatest(generated - 20, 0) AS DOUBLE), 9) AS overflow_penalty, CAST(generated AS BIGINT) AS generated, CAST(least(generated, 20) AS BIGINT) AS accepted, CAST(greatest(generated - 20, 0) AS BIGINT) AS overflow,
+  CAST(rejected AS BIGINT) AS rejected, invariants, survivors, round(CAST(u / n AS DOUBLE), 9) AS batch_score, 'positive' AS filter_mode, 'full' AS reward_variant, 'structured' AS negative_sampler, 'negative_coverage' AS reward_mode,
+  CAST(np AS BIGINT) AS n_positives, CAST(n AS BIGINT) AS n_negatives
+FROM q
+"""
+
+
 def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First spelling of each distinct clause of the rollouts' union."""
-    one = rollouts(spark).where("group_id = 0").select("rollout_index", F.posexplode("clauses").alias("ord", "clause")).withColumn("clause", C.normalize(F.col("clause")))
-    first = one.withColumn("key", C.clause_key("clause")).groupBy("key").agg(F.min_by("clause", F.struct("rollout_index", "ord")).alias("clause"))
-    return first.select("clause")
+    """First spelling of each distinct clause of a nation's rollouts."""
+    k = F.col("c_custkey")
+    one = table(spark, sf_dir, "customer").select("c_nationkey", k.alias("at"), F.posexplode(_clause_lists(k)).alias("ord", "clause")).withColumn("clause", C.normalize(F.col("clause")))
+    first = one.withColumn("key", C.clause_key("clause")).groupBy("c_nationkey", "key").agg(F.min_by("clause", F.struct("at", "ord")).alias("clause"), F.count("*").alias("times"))
+    return first.select("c_nationkey", "clause", "times")
 
 
-def _dedup_sql() -> str:
-    bare = [[" ".join(c.removeprefix("loop invariant").rstrip(";").split()) for c in r] for r in ROLLOUTS]
-    rows = ", ".join(f"({i}, {o}, '{c}', '{k}')" for i, (cs, ks) in enumerate(zip(bare, CONDITIONS)) for o, (c, k) in enumerate(zip(cs, ks)))
-    return f"SELECT clause FROM (SELECT clause, row_number() OVER (PARTITION BY k ORDER BY i, o) AS n FROM (VALUES {rows}) t(i, o, clause, k)) WHERE n = 1"
+CANONICAL_DEDUP = SCORE_ROLLOUTS[: SCORE_ROLLOUTS.index("n AS (SELECT *")].rstrip().rstrip(",") + """
+SELECT CAST(g AS INTEGER) AS c_nationkey, arg_min(clause, (i, o)) AS clause, count(*) AS times FROM c GROUP BY g, kind, v"""
 
 
 def houdini(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,6 +322,7 @@ QUERIES = {n: reward(v) for n, v in _NAMES.items()} | {
     "raw_vs_filtered_coverage": raw_and_filtered,
     "first_falsifier": falsifier,
     "canonical_dedup": canonical_dedup,
+    "score_rollouts": score_rollouts,
     "houdini_fixpoint": houdini,
     "pass_at_k": pass_rates,
     "k95": k95,
@@ -240,7 +333,8 @@ ORACLE = {n: reward_sql(v) for n, v in _NAMES.items()} | {
     "positive_filter": POSITIVE_FILTER,
     "raw_vs_filtered_coverage": RAW_AND_FILTERED,
     "first_falsifier": FALSIFIER,
-    "canonical_dedup": _dedup_sql(),
+    "canonical_dedup": CANONICAL_DEDUP,
+    "score_rollouts": SCORE_ROLLOUTS,
     "pass_at_k": PASS_RATES,
     "k95": K95,
     "group_advantage": ADVANTAGE,
