@@ -7,7 +7,7 @@ emits are the n-grams with the pivot inside, so that none is counted in two buck
 
 Rarity is read from a table of fixed size (``SLOTS`` numbers): the largest frequency among the frequent words of each slot. It is never too low for a
 frequent word, so no phrase is lost; where it is too high, a bucket has more to count. Any order of words that all tasks share gives the same
-counts. A pivot with ``HOT`` or more occurrences is dealt over all buckets by the chunk of text it is in; what those buckets count is
+counts. A pivot is dealt over one more bucket for each ``HOT`` occurrences, by the chunk of text it is in; what those buckets count is
 summed before anything is dropped. All other buckets hold about ``BUCKET`` fragments, however large the input.
 
 Words are told apart by two hashes with seeds of the run while they are counted; phrases leave a bucket as text.
@@ -189,7 +189,8 @@ def _fragments(data: np.ndarray, offsets: np.ndarray, langs: list[str], row_lang
     cuts = np.flatnonzero(np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (lang[1:] != lang[:-1])]))
     spread = f[at[cuts]] >= hot
     task = mix(one[:1] + U64(n))
-    bucket = np.where(spread, mix(pivot[cuts] + task), pivot[cuts]) % U64(buckets)
+    parts = (f[at[cuts]] // hot + 1).astype(np.uint64)
+    bucket = np.where(spread, mix(pivot[cuts] + task % parts), pivot[cuts]) % U64(buckets)
     edge = np.append(cuts, len(at))
     packed = [_slices(body, np.concatenate([[0], stops])[edge]), _slices(left.astype(np.uint8), edge), _slices(times.astype("<i4"), edge)]
     yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(bucket.astype(np.int64)), pa.array(langs, pa.string()).take(pa.array(lang[cuts])), *packed], names=PACKED)
