@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .events import newest
@@ -82,10 +84,18 @@ def without_invalid(records: DataFrame, source: str, verdicts: DataFrame) -> Dat
     return records.join(bad, F.sha2(F.col(source), 256) == F.col("sha"), "left_anti")
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """A path with its file system and without relative parts; links of a local path are followed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri().normalize()
+    local = uri.getScheme() in (None, "file")
+    return f"file:{os.path.realpath(uri.getPath())}" if local else uri.toString().rstrip("/")
+
+
 def guarded(df: DataFrame, source: str, target: str, kind: str = "parquet") -> str:
-    """Writes ``df`` to ``target``; refuses to write over its own source."""
-    clean = lambda p: p.removeprefix("file:").replace("//", "/").rstrip("/")
-    if clean(source) == clean(target):
+    """Writes ``df`` to ``target``; refuses a target that is its own source, holds it or lies in it, by whatever path."""
+    a, b = (resolved(df.sparkSession, p) for p in (source, target))
+    if f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/"):
         raise ValueError("output must not be the input")
     getattr(df.write.mode("overwrite"), kind)(target)
     return target

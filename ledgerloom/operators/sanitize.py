@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
 from ..functions.text import let
+from ..session import materialize
 
 #: What the rules of training clauses look for.
 FORBIDDEN = r"\\(?:old|result|forall|exists|lambda|let|sum|product|min|max|numof)\b"
@@ -79,21 +80,45 @@ def rejection_reason(clause: Column, variables: Column, parameters: Column) -> C
     )
 
 
-def cleaned(answers: DataFrame, most: int = 20) -> DataFrame:
-    """Clauses that stay of (record_id, answer, variables, parameters): extracted, judged, deduplicated by key, without weaker bounds, capped."""
+def _judged(answers: DataFrame) -> DataFrame:
+    """(record_id, ord, clause, reason) of the clauses of (record_id, answer, variables, parameters)."""
     each = answers.select("record_id", "variables", "parameters", F.posexplode(C.extract(F.col("answer"))).alias("ord", "clause")).withColumn("clause", C.normalize(F.col("clause")))
-    judged = each.where(rejection_reason(F.col("clause"), F.col("variables"), F.col("parameters")).isNull()).select("record_id", "ord", "clause", C.clause_key("clause").alias("key"))
-    first = judged.groupBy("record_id", "key").agg(F.min("ord").alias("ord"), F.min_by("clause", "ord").alias("clause")).drop("key")
-    strong = without_weaker_bounds(first, ["record_id"], "ord", "clause")
-    kept = strong.groupBy("record_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: x["clause"]), 1, most).alias("clauses"))
-    return kept
-
-
-def reason_counts(answers: DataFrame) -> DataFrame:
-    """How many clauses each reason leaves out."""
-    each = answers.select("variables", "parameters", F.explode(C.extract(F.col("answer"))).alias("clause"))
-    reason = rejection_reason(C.normalize(F.col("clause")), F.col("variables"), F.col("parameters"))
-    return each.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    return each.select("record_id", "ord", "clause", rejection_reason(F.col("clause"), F.col("variables"), F.col("parameters")).alias("reason"))
+
+
+def decided(answers: DataFrame, most: int = 20) -> DataFrame:
+    """(record_id, ord, clause, reason) of every clause of the answers, with why it goes, null for those that stay.
+
+    After the first reason come, in this order: ``duplicate`` of an earlier clause by key, ``subsumed_bound`` by a stronger or earlier one, and ``over_cap``.
+    """
+    judged = materialize(_judged(answers).withColumn("key", C.clause_key("clause")), "judged")
+    fine = judged.where("reason is null")
+    first = materialize(fine.groupBy("record_id", "key").agg(F.min("ord").alias("ord"), F.min_by("clause", "ord").alias("clause")).drop("key"), "first")
+    strong = materialize(without_weaker_bounds(first, ["record_id"], "ord", "clause"), "strong")
+    # A record is one answer, so its clauses are one small group.
+    placed = strong.select("record_id", "ord", (F.row_number().over(Window.partitionBy("record_id").orderBy("ord")) > most).alias("over"))
+    out = judged.join(first.select("record_id", "ord", F.lit(True).alias("first")), ["record_id", "ord"], "left").join(placed, ["record_id", "ord"], "left")
+    later = F.when(F.col("first").isNull(), F.lit("duplicate")).when(F.col("over").isNull(), F.lit("subsumed_bound")).when(F.col("over"), F.lit("over_cap"))
+    return out.select("record_id", "ord", "clause", F.coalesce("reason", later).alias("reason"))
+
+
+def cleaned(answers: DataFrame, most: int = 20) -> DataFrame:
+    """(record_id, clauses) that stay of (record_id, answer, variables, parameters): extracted, judged, deduplicated by key, without weaker bounds, capped."""
+    kept = decided(answers, most).where("reason is null")
+    return kept.groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: x["clause"]).alias("clauses"))
+
+
+def unparsed_lines(answer: Column) -> Column:
+    """The number of lines with text that aren't one whole clause."""
+    lines = F.filter(F.split(F.coalesce(answer, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*loop\s+invariant\s+.+;\s*$"))
+    return F.size(lines)
+
+
+def reason_counts(answers: DataFrame, most: int = 20) -> DataFrame:
+    """How many clauses each reason leaves out, and how many lines are no clause."""
+    counts = decided(answers, most).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+    lines = answers.agg(F.coalesce(F.sum(unparsed_lines(F.col("answer"))), F.lit(0)).cast("long").alias("n")).select(F.lit("unparsed_or_non_invariant_lines").alias("reason"), "n")
+    return counts.unionByName(lines.where("n > 0"))
 
 
 def chat_records(turns: DataFrame, record: str, order: str, speaker: str, text: str) -> DataFrame:

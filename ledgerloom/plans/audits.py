@@ -5,48 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import programs as P
 from ..operators import audits as A
 from ..session import table
 from ..sources import logs
 
 Spark = SparkSession
 
-#: Small programs of the supported shape and of three others.
-PROGRAMS = [
-    "/*@ requires n >= 0; ensures \\result > 1; */\nint f(int n) {\n  int x = 0; // count\n  while (x < n) {\n    x = x + 1; int t = x;\n  }\n  assert(x == n);\n  return x;\n}",
-    "void g(void) {\n  for (;;) { }\n}",
-    "int h(int a, int b) {\n  while (a > b) { --a; b++; }\n  /*@ assert a <= b; */\n  ERROR: return a;\n}",
-    "int k(int a) { return a; }",
-]
-
-
-def programs(spark: Spark, sf_dir: str) -> DataFrame:
-    """Loops, variables, contracts and masking of each program."""
-    p = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in PROGRAMS])).alias("program", "source"))
-    one = p.withColumn("loop", P.loop("source")).withColumn("hidden", P.masked("source"))
-    return one.select(
-        "program",
-        "loop.guard",
-        "loop.error",
-        F.array_join(P.modified(F.col("loop.body")), ",").alias("modified"),
-        F.array_join(P.parameters(F.col("source")), ",").alias("parameters"),
-        P.requirement(F.col("source")).alias("requires"),
-        P.target(F.col("source")).alias("target"),
-        P.hidden_failure(F.col("source"), F.col("hidden")).alias("failure"),
-        (F.length("hidden") >= F.length("source")).alias("kept_length"),
-    )
-
-
-PROGRAM_ROWS = """
-SELECT program, guard, error, modified, parameters, requires, target, CAST(NULL AS VARCHAR) AS failure, true AS kept_length FROM (VALUES
-  (0, 'x < n', NULL, 'x', 'n', 'n >= 0', 'x == n'),
-  (1, NULL, 'for loop', NULL, '', NULL, NULL),
-  (2, 'a > b', NULL, 'a,b', 'a,b', NULL, 'a <= b'),
-  (3, NULL, 'no loop', NULL, 'a', NULL, NULL)) t(program, guard, error, modified, parameters, requires, target)
-"""
-
-
 def validity(spark: Spark, sf_dir: str) -> DataFrame:
     """Orders as artifacts of customers: why a customer's newest order is no valid artifact."""
     tasks = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("hash"))
@@ -160,7 +124,7 @@ SELECT file, line, coalesce(bool_and(ok) AND count(*) = 2, false) AS inductive F
 """
 
 QUERIES = {
-    "program_text": programs,
+    
     "artifact_validity": validity,
     "legacy_import": imports,
     "verdict_reuse": reuse,
@@ -171,7 +135,7 @@ QUERIES = {
     "goal_status": goals,
 }
 ORACLE = {
-    "program_text": PROGRAM_ROWS,
+    
     "artifact_validity": VALIDITY,
     "legacy_import": IMPORTS,
     "verdict_reuse": REUSE,

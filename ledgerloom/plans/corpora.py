@@ -177,55 +177,6 @@ SELECT s_suppkey, CAST(run AS INTEGER) AS run, CASE WHEN none THEN '' ELSE
 """
 
 
-#: Clauses for the text operators, with the variables in scope and those that are parameters.
-ANSWER = """loop invariant x >= 0;
-loop invariant 0 <= x;
-loop invariant x > 4;
-loop invariant x >= 5 ;
-loop invariant n < 10;
-loop invariant n <= 12;
-loop invariant foo(x) == 1;
-loop invariant x == x;
-loop invariant z > 1;
-loop invariant x > 0 ? 1 : 0;
-loop invariant \\\\at(x, Pre) == x;
-loop invariant \\\\at(n, Pre) == n;
-loop invariant 3 < 4;
-loop invariant x ^ n == 0;
-loop invariant true;"""
-
-
-def _answers(spark: Spark) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("record_id"), F.lit(ANSWER.replace("\\\\", "\\")).alias("answer"), F.array(F.lit("n"), F.lit("x")).alias("variables"), F.array(F.lit("n")).alias("parameters"))
-
-
-def bounds(spark: Spark, sf_dir: str) -> DataFrame:
-    """Bounds left by subsumption among the clauses of an answer."""
-    rows = _answers(spark).select("record_id", F.posexplode(C.extract(F.col("answer"))).alias("ord", "clause")).withColumn("clause", C.normalize(F.col("clause")))
-    return sanitize.without_weaker_bounds(rows.where(sanitize.constant_bound(F.col("clause")).isNotNull()), ["record_id"], "ord", "clause").select("ord", "clause")
-
-
-BOUNDS = """
-WITH c(ord, clause, v, d, b) AS (VALUES (0, 'x >= 0', 'x', 'lower', 0), (1, '0 <= x', 'x', 'lower', 0), (2, 'x > 4', 'x', 'lower', 5), (3, 'x >= 5', 'x', 'lower', 5), (4, 'n < 10', 'n', 'upper', 9), (5, 'n <= 12', 'n', 'upper', 12), (8, 'z > 1', 'z', 'lower', 2)),
-r AS (SELECT *, row_number() OVER (PARTITION BY v, d ORDER BY CASE WHEN d = 'lower' THEN -b ELSE b END, ord) AS k FROM c)
-SELECT CAST(ord AS INTEGER) AS ord, clause FROM r WHERE k = 1
-"""
-
-
-def reasons(spark: Spark, sf_dir: str) -> DataFrame:
-    return sanitize.reason_counts(_answers(spark))
-
-
-REASONS = "SELECT * FROM (VALUES ('helper_function', CAST(1 AS BIGINT)), ('tautology', 1), ('out_of_scope', 1), ('ternary', 1), ('invalid_pre_label', 1), ('constant_only', 1), ('xor', 1), ('boolean_constant', 1)) t(reason, n)"
-
-
-def cleaned(spark: Spark, sf_dir: str) -> DataFrame:
-    return sanitize.cleaned(_answers(spark)).select("record_id", F.array_join("clauses", " | ").alias("clauses"))
-
-
-CLEANED = r"SELECT CAST(0 AS BIGINT) AS record_id, 'x > 4 | n < 10 | \at(n, Pre) == n' AS clauses"
-
-
 def extracted(spark: Spark, sf_dir: str) -> DataFrame:
     """Clause count and first clause of texts built from the conversations."""
     text = F.concat(F.lit("/*@ loop invariant  a <=  "), F.length("text").cast("string"), F.lit(";\n loop\tinvariant b;*/ "), F.col("text"))
@@ -415,9 +366,6 @@ QUERIES = {
     "dense_window": dense,
     "terminal_transition": terminal,
     "input_sweep": grid,
-    "bound_subsumption": bounds,
-    "reason_ladder": reasons,
-    "training_clauses": cleaned,
     "clause_extract": extracted,
     **{f"overlap_{n}": _overlap(n) for n in overlap.SIGNATURES},
     "version_counts": versions,
@@ -449,9 +397,6 @@ ORACLE = {
     "perturb_candidates": PERTURB,
     "dense_window": DENSE,
     "terminal_transition": TERMINAL,
-    "bound_subsumption": BOUNDS,
-    "reason_ladder": REASONS,
-    "training_clauses": CLEANED,
     "clause_extract": EXTRACTED,
     "overlap_exact": _overlap_sql("text"),
     "overlap_normalized": _overlap_sql(r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),

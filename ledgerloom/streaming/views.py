@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fresh_path
 
@@ -48,3 +49,27 @@ def run_available(stream: DataFrame, mode: str, label: str) -> DataFrame:
         query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", done).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def stored_once(stream: DataFrame, store: str, offsets: str, key: list[str], after_batch=None) -> None:
+    """Runs a stream into an append-only store that holds the first row of each key, whatever is killed and started again in between.
+
+    Each batch is a folder of its own, named by its number and replaced if the number comes again, and it leaves out the keys of earlier batches. A run
+    that ends between a batch's rows and its offsets repeats that batch with the same number, so its rows are written over and
+    none come twice. ``after_batch(number)`` is called before the offsets are kept.
+    """
+    spark = stream.sparkSession
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+
+    def put(batch: DataFrame, number: int) -> None:
+        earlier = spark.read.schema(schema).parquet(store).where(F.col("batch") < number) if number else None
+        new = batch.dropDuplicates(key) if earlier is None else batch.dropDuplicates(key).join(earlier.select(*key), key, "left_anti")
+        new.select(*stream.columns).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        if after_batch:
+            after_batch(number)
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", offsets).trigger(availableNow=True).start().awaitTermination()
+
+
+def stored(spark: SparkSession, store: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(store).select(*like.columns)
