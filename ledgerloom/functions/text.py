@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,22 +105,36 @@ def _profile(found: list[str], most: int = 3) -> str:
     return ",".join(["constant" if guard in (["0"], ["1"]) else "expression", *[str(min(c, most)) for c in counts], *[str(int(f)) for f in flags]])
 
 
+def _conditions(body: list[str]) -> dict[int, range]:
+    """The places inside each condition by that of its word; what is in a condition has none of its own."""
+    opened, closed = [], {}
+    for k, t in enumerate(body):
+        if t == "(":
+            opened.append(k)
+        elif t == ")" and opened:
+            closed[opened.pop()] = k
+    out: dict[int, range] = {}
+    for k in range(len(body) - 1):
+        free = not out or k > next(reversed(out.values())).stop
+        if free and body[k] in WITH_CONDITION and body[k + 1] == "(":
+            out[k] = range(k + 2, closed.get(k + 1, len(body)))
+    return out
+
+
 def _skeleton(found: list[str], operators: bool) -> str:
+    """Each token outside conditions says its word, STMT for a semicolon, or nothing; runs of STMT are one."""
     _, body = _first_loop(found)
-    out, at, plain = [], 0, False
-    while at < len(body):
-        word, after = body[at], at + 1
-        parts = [word] if word in ALONE else []
-        if word in WITH_CONDITION and body[after : after + 1] == ["("]:
-            end = _closing(body, after)
-            parts = [word, *([t for t in body[after + 1 : end] if t in CONDITION_OPS] or ["NO_CONDITION_OP"] if operators else [])]
-            after = end + 1
-        if parts:
-            out += ["STMT", *parts] if plain else parts
-            plain = False
-        plain |= word == ";"
-        at = after
-    return " ".join([*out, "STMT"] if plain else out)
+    conditions = _conditions(body)
+    hidden = {k for inside in conditions.values() for k in range(inside.start - 1, inside.stop + 1)}
+    said: list[list[str]] = []
+    for k, word in enumerate(body):
+        if k in conditions:
+            used = [body[j] for j in conditions[k] if body[j] in CONDITION_OPS]
+            said.append([word, *(used or ["NO_CONDITION_OP"] if operators else [])])
+        elif k not in hidden and (word in ALONE or word == ";"):
+            said.append(["STMT" if word == ";" else word])
+    runs = groupby(said, lambda x: x == ["STMT"])
+    return " ".join(w for plain, run in runs for part in (list(run)[:1] if plain else run) for w in part)
 
 
 def control_profile(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clauses as C
+from ..functions import programs as P
+from ..functions import text as X
 from ..functions.text import let
 from ..session import materialize
 
@@ -16,19 +18,25 @@ HELPER_CALL = r"(?<!\\)\b([A-Za-z_]\w*)\s*\("
 AT_CALL = r"\\at\(\s*([A-Za-z_]\w*)\s*,\s*(Pre|LoopEntry)\s*\)"
 COMPARED = r"^(.+?)\s*(==|<=|>=|<==>)\s*(.+)$"
 
-_BOUND = r"^\(*([A-Za-z_]\w*)\s*(>=|<=|>|<)\s*([+-]?\d+)\)*$"
-_TURNED = r"^\(*([+-]?\d+)\s*(>=|<=|>|<)\s*([A-Za-z_]\w*)\)*$"
+#: What stands on the two sides of a bound.
+NAME, NUMBER, SIGN = r"^[A-Za-z_]\w*$", r"^[+-]?\d+$", r"\s*[<>]=?\s*"
 
 
 def constant_bound(clause: Column) -> Column:
-    """struct(variable, direction, value) of a bound by a constant, else null; strict bounds move by one."""
-    straight, turned = clause.rlike(_BOUND), clause.rlike(_TURNED)
-    part = lambda p, k: F.regexp_extract(clause, p, k)
-    op = F.when(straight, part(_BOUND, 2)).otherwise(F.translate(part(_TURNED, 2), "<>", "><"))
-    number = F.when(straight, part(_BOUND, 3)).otherwise(part(_TURNED, 1)).try_cast("decimal(38,0)")
-    shift = F.when(op == ">", 1).when(op == "<", -1).otherwise(0)
-    name = F.when(straight, part(_BOUND, 1)).otherwise(part(_TURNED, 3))
-    return F.when(straight | turned, F.struct(name.alias("variable"), F.when(op.startswith(">"), F.lit("lower")).otherwise(F.lit("upper")).alias("direction"), (number + shift).cast("decimal(38,0)").alias("value")))
+    """struct(variable, direction, value) of a bound by a constant, else null; strict bounds move by one.
+
+    A bound is a name and a number around one sign of order; brackets around the whole don't count.
+    """
+    bare = F.regexp_replace(clause, r"^\(+|\)+$", "")
+    sides, sign = F.split(bare, SIGN), F.trim(F.regexp_extract(bare, SIGN, 0))
+    side = lambda k: F.get(sides, F.lit(k))
+    turned = side(0).rlike(NUMBER)
+    name, number = F.when(turned, side(1)).otherwise(side(0)), F.when(turned, side(0)).otherwise(side(1))
+    lower = F.startswith(sign, F.lit(">")) != turned
+    shift = F.when(F.length(sign) == 2, 0).when(lower, 1).otherwise(-1)
+    value = (number.try_cast("decimal(38,0)") + shift).cast("decimal(38,0)")
+    is_bound = (F.size(sides) == 2) & name.rlike(NAME) & number.rlike(NUMBER)
+    return F.when(is_bound, F.struct(name.alias("variable"), F.when(lower, F.lit("lower")).otherwise(F.lit("upper")).alias("direction"), value.alias("value")))
 
 
 def without_weaker_bounds(clauses: DataFrame, group: list[str], order: str, clause: str) -> DataFrame:
@@ -125,3 +133,62 @@ def chat_records(turns: DataFrame, record: str, order: str, speaker: str, text:
     """One row per record with its turns in order as (from, value)."""
     turn = F.struct(F.col(order).alias("o"), F.col(speaker).alias("from"), F.col(text).alias("value"))
     return turns.groupBy(record).agg(F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["from"].alias("from"), t["value"].alias("value"))).alias("conversations"))
+
+
+# --- records ----------------------------------------------------------------------------------
+
+
+def in_scope(source: Column) -> Column:
+    """Names of a program's parameters and of the whole numbers that it declares before its loop."""
+    before = F.substring_index(source, "while", 1)
+    declared = F.regexp_extract_all(before, F.lit(r"\b(?:int|long|short|char|unsigned|_Bool)\s+([A-Za-z_]\w*)\s*(?=[=;])"), 1)
+    return F.array_distinct(F.concat(P.parameters(source), declared))
+
+
+def prepared(records: DataFrame, system: str, lead: str) -> DataFrame:
+    """(record_id, source, answer, changed, error) of chat records (record_id, conversations array<struct<from, value>>).
+
+    A record must have one human and one gpt turn; the human's holds a program of the supported shape, whose target is hidden and whose comments go. ``error``
+    says what is wrong; ``changed`` whether the prompt isn't the canonical one: ``system``, then ``lead`` and the program.
+    """
+    said = lambda who: F.filter("conversations", lambda t: t["from"] == who)
+    rows = records.select("record_id", "conversations", said("human").alias("human"), said("gpt").alias("gpt"))
+    single = (F.size("human") == 1) & (F.size("gpt") == 1)
+    rows = rows.withColumn("visible", F.when(single, X.program_of(F.get("human", F.lit(0))["value"])))
+    rows = rows.withColumn("source", F.trim(P.masked("visible"))).withColumn("loop", P.loop("source"))
+    error = F.when(~single, F.lit("expected one human and one gpt turn")).when(F.col("visible").isNull(), F.lit("no program in the prompt")).otherwise(F.col("loop.error"))
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    canonical = F.array(turn("system", F.lit(system)), turn("human", X.prompt_of(F.col("source"), lead)))
+    first = F.slice("conversations", F.lit(1), F.greatest(F.size("conversations") - 1, F.lit(0)))
+    return rows.select("record_id", "source", F.get("gpt", F.lit(0))["value"].alias("answer"), (F.to_json(first) != F.to_json(canonical)).alias("changed"), error.alias("error"))
+
+
+def sanitized(records: DataFrame, system: str, lead: str, verdicts: DataFrame | None = None, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Chat records with canonical prompts and clean answers, and (kind, name, n): what was counted on the way.
+
+    ``verdicts`` (record_id, clause, valid) of an outside judge takes clauses out after the rules (``rejected``). Records with an error go, as do those of
+    which no clause is left. Kinds: ``records``, ``dropped`` programs by error, ``removed`` clauses by reason.
+    """
+    ready = materialize(prepared(records, system, lead), "prepared")
+    fine = ready.where("error is null")
+    answers = fine.select("record_id", "answer", in_scope(F.col("source")).alias("variables"), P.parameters(F.col("source")).alias("parameters"))
+    judged = materialize(decided(answers, 1 << 30), "decided")
+    if verdicts is not None:
+        bad = verdicts.where(~F.col("valid")).select("record_id", "clause").distinct().withColumn("bad", F.lit(True))
+        judged = judged.join(bad, ["record_id", "clause"], "left").withColumn("reason", F.coalesce("reason", F.when(F.col("bad"), F.lit("rejected")))).drop("bad")
+    place = F.sum(F.col("reason").isNull().cast("int")).over(Window.partitionBy("record_id").orderBy("ord"))  # of one answer
+    judged = materialize(judged.withColumn("reason", F.coalesce("reason", F.when(place > most, F.lit("over_cap")))), "judged")
+    kept = judged.where("reason is null").groupBy("record_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "clause"))), lambda x: F.concat(F.lit("loop invariant "), x["clause"], F.lit(";"))).alias("lines"))
+    done = fine.join(kept, "record_id").withColumn("clean", F.array_join("lines", "\n"))
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    out = done.select("record_id", F.array(turn("system", F.lit(system)), turn("human", X.prompt_of(F.col("source"), lead)), turn("gpt", F.col("clean"))).alias("conversations"))
+    count = lambda kind, rows, **named: rows.agg(*[e.cast("long").alias(n) for n, e in named.items()]).select(F.lit(kind).alias("kind"), F.explode(F.create_map(*[x for n in named for x in (F.lit(n), F.col(n))])).alias("name", "n"))
+    zero = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0))
+    stats = count("records", ready, input_rows=F.count("*"), modified_prompts=zero(F.col("error").isNull() & F.col("changed")))
+    stats = stats.unionByName(count("records", fine.join(kept, "record_id", "left_anti"), dropped_empty_answers=F.count("*")))
+    stats = stats.unionByName(count("records", done, output_rows=F.count("*"), modified_answers=zero(F.col("clean") != F.col("answer")), clauses_after=zero(F.size("lines"))))
+    stats = stats.unionByName(count("records", judged, clauses_before=F.count("*")))
+    stats = stats.unionByName(ready.where("error is not null").groupBy(F.col("error").alias("name")).agg(F.count("*").alias("n")).select(F.lit("dropped").alias("kind"), "name", "n"))
+    stats = stats.unionByName(judged.where("reason is not null").groupBy(F.col("reason").alias("name")).agg(F.count("*").alias("n")).select(F.lit("removed").alias("kind"), "name", "n"))
+    lines = count("removed", answers, unparsed_or_non_invariant_lines=F.coalesce(F.sum(unparsed_lines(F.col("answer"))), F.lit(0))).where("n > 0")
+    return out, stats.unionByName(lines)

@@ -77,6 +77,55 @@ def training_clauses(spark: Spark, sf_dir: str) -> DataFrame:
 TRAINING_CLAUSES = _ANSWERS + "SELECT record_id, string_agg(clause, ' | ' ORDER BY ord) AS clauses FROM k WHERE stays AND place <= 3 GROUP BY record_id"
 
 
+SYSTEM, LEAD = "Write loop invariants.", "For this program:"
+
+
+def chat_records(spark: Spark, sf_dir: str) -> DataFrame:
+    """(record_id, conversations): the answers as chat records; every tenth has a turn too many, every tenth no loop, every tenth no program."""
+    k = F.col("record_id")
+    loop = F.when(k % 10 == 2, F.lit("return n;")).otherwise(F.lit("while (x < n) { x = x + 1; } /*@ assert x == n; */"))
+    source = F.concat(F.lit("/*@ requires n > "), k.cast("string"), F.lit("; */ int f(int n) { int x = 0; "), loop, F.lit(" }"))
+    human = F.when(k % 10 == 3, F.lit("no program")).otherwise(X.prompt_of(source, LEAD))
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    turns = F.array(turn("system", F.lit(SYSTEM)), turn("human", human), turn("gpt", F.col("answer")))
+    again = F.array(turn("system", F.lit(SYSTEM)), turn("human", human), turn("human", human), turn("gpt", F.col("answer")))
+    return answers(spark, sf_dir).select(k, F.when(k % 10 == 1, again).otherwise(turns).alias("conversations"))
+
+
+def sanitized_records(spark: Spark, sf_dir: str) -> DataFrame:
+    """Clean records of all chat records: the program's target hidden, the answer's clauses cleaned and, where x is at most 20, refused by a judge."""
+    rows = chat_records(spark, sf_dir)
+    refused = answers(spark, sf_dir).select("record_id", F.explode(C.extract(F.col("answer"))).alias("clause")).where("clause rlike '^x >= 1?[0-9]$'").select("record_id", "clause", F.lit(False).alias("valid"))
+    out, _ = sanitize.sanitized(rows, SYSTEM, LEAD, refused, 3)
+    return out.select("record_id", F.size("conversations").alias("turns"), F.get("conversations", F.lit(1))["value"].contains("assert").alias("shows_target"), F.get("conversations", F.lit(2))["value"].alias("answer"))
+
+
+_SANITIZED = _ANSWERS[: _ANSWERS.index("k AS (SELECT")].rstrip().rstrip(",") + """,
+v AS (SELECT *, kind = 0 AND q < 20 AS refused FROM s WHERE record_id % 10 NOT IN (1, 2, 3)),
+k AS (SELECT *, row_number() OVER (PARTITION BY record_id, stays AND NOT refused ORDER BY ord) AS place FROM v)
+"""
+SANITIZED_RECORDS = _SANITIZED + "SELECT record_id, CAST(3 AS INTEGER) AS turns, false AS shows_target, string_agg('loop invariant ' || clause || ';', chr(10) ORDER BY ord) AS answer FROM k WHERE stays AND NOT refused AND place <= 3 GROUP BY record_id"
+
+
+def sanitation_counts(spark: Spark, sf_dir: str) -> DataFrame:
+    """What the same run counts: records, dropped programs and removed clauses by reason."""
+    refused = answers(spark, sf_dir).select("record_id", F.explode(C.extract(F.col("answer"))).alias("clause")).where("clause rlike '^x >= 1?[0-9]$'").select("record_id", "clause", F.lit(False).alias("valid"))
+    return sanitize.sanitized(chat_records(spark, sf_dir), SYSTEM, LEAD, refused, 3)[1].where("name <> 'modified_prompts' and name <> 'modified_answers'")
+
+
+SANITATION_COUNTS = _SANITIZED + """,
+a AS (SELECT *, record_id % 10 AS rest FROM c), fine AS (SELECT DISTINCT record_id FROM t WHERE record_id % 10 NOT IN (1, 2, 3)),
+kept AS (SELECT record_id, count(*) AS m FROM k WHERE stays AND NOT refused AND place <= 3 GROUP BY record_id)
+SELECT 'records' AS kind, 'input_rows' AS name, count(DISTINCT record_id) AS n FROM t UNION ALL SELECT 'records', 'dropped_empty_answers', count(*) FROM fine ANTI JOIN kept USING (record_id)
+UNION ALL SELECT 'records', 'output_rows', count(*) FROM kept UNION ALL SELECT 'records', 'clauses_after', CAST(sum(m) AS BIGINT) FROM kept UNION ALL SELECT 'records', 'clauses_before', count(*) FROM a WHERE rest NOT IN (1, 2, 3)
+UNION ALL SELECT 'dropped', CASE record_id % 10 WHEN 1 THEN 'expected one human and one gpt turn' WHEN 2 THEN 'no loop' ELSE 'no program in the prompt' END, count(DISTINCT record_id) FROM t WHERE record_id % 10 IN (1, 2, 3) GROUP BY ALL
+UNION ALL SELECT 'removed', reason, count(*) FROM a WHERE reason IS NOT NULL AND rest NOT IN (1, 2, 3) GROUP BY reason
+UNION ALL SELECT * FROM (SELECT 'removed', 'duplicate', count(*) AS n FROM f WHERE nth > 1 AND record_id % 10 NOT IN (1, 2, 3) UNION ALL SELECT 'removed', 'subsumed_bound', count(*) FROM v WHERE NOT stays
+  UNION ALL SELECT 'removed', 'rejected', count(*) FROM v WHERE stays AND refused UNION ALL SELECT 'removed', 'over_cap', count(*) FROM k WHERE stays AND NOT refused AND place > 3
+  UNION ALL SELECT 'removed', 'unparsed_or_non_invariant_lines', count(*) FROM t WHERE form = 7 AND record_id % 10 NOT IN (1, 2, 3)) WHERE n > 0
+"""
+
+
 def program_text(spark: Spark, sf_dir: str) -> DataFrame:
     """Loops, variables, contracts and masking of a program of each part, of the supported shape and of three others."""
     k = F.col("p_partkey")
@@ -411,13 +460,13 @@ RESUMABLE_STORE = "SELECT event_id, user_id, event_type FROM events"
 
 
 QUERIES = {
-    "bound_subsumption": bounds, "reason_ladder": reasons, "training_clauses": training_clauses, "program_text": program_text, "filter_cascade": filter_cascade, "syntax_scrub": syntax_scrub, "fixpoint_orders": fixpoint_orders,
+    "bound_subsumption": bounds, "reason_ladder": reasons, "training_clauses": training_clauses, "sanitized_records": sanitized_records, "sanitation_counts": sanitation_counts, "program_text": program_text, "filter_cascade": filter_cascade, "syntax_scrub": syntax_scrub, "fixpoint_orders": fixpoint_orders,
     "baseline_moves": baseline_moves, "extension_summary": extension_summary, "regression_jobs": regression_jobs, "method_costs": method_costs, "response_prefix": response_prefix, "combine_curve": combine_curve, "manifest_matches": manifest,
     "visible_sources": visible_sources, "replay_costs": replay_costs, "republished_store": republished_store, "foreign_results": foreign_results, "proof_verdicts": proof_verdicts, "typed_content": typed_content, "loop_controls": loop_controls,
     "mined_relations": mined_relations, "resumable_store": resumable_store,
 }
 ORACLE = {
-    "bound_subsumption": BOUNDS, "reason_ladder": REASONS, "training_clauses": TRAINING_CLAUSES, "program_text": PROGRAM_TEXT, "filter_cascade": FILTER_CASCADE, "syntax_scrub": SYNTAX_SCRUB,
+    "bound_subsumption": BOUNDS, "reason_ladder": REASONS, "training_clauses": TRAINING_CLAUSES, "sanitized_records": SANITIZED_RECORDS, "sanitation_counts": SANITATION_COUNTS, "program_text": PROGRAM_TEXT, "filter_cascade": FILTER_CASCADE, "syntax_scrub": SYNTAX_SCRUB,
     "extension_summary": EXTENSION_SUMMARY, "regression_jobs": REGRESSION_JOBS, "method_costs": METHOD_COSTS, "response_prefix": RESPONSE_PREFIX, "combine_curve": COMBINE_CURVE, "manifest_matches": MANIFEST,
     "visible_sources": VISIBLE_SOURCES, "replay_costs": REPLAY_COSTS, "republished_store": REPUBLISHED_STORE, "foreign_results": FOREIGN_RESULTS, "proof_verdicts": PROOF_VERDICTS, "typed_content": TYPED_CONTENT, "loop_controls": LOOP_CONTROLS,
     "mined_relations": MINED_RELATIONS, "resumable_store": RESUMABLE_STORE,
