@@ -25,7 +25,7 @@ def sweep_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("program_id"), source.alias("source"))
 
 
-def input_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def program_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first inputs of each program from far probes, stripe, grid and targeted tuples, each checked by the whole requirement."""
     found = sweep_programs(spark, sf_dir).select("program_id", P.parameters("source").alias("names"), K.bound_requirement("source").alias("requires"), F.lit(True).alias("single"))
     runs = inputs.sweep(found.withColumn("bounds", K.bounds("requires", "names")), N_RUNS)
@@ -147,5 +147,5 @@ SELECT p_partkey, 'extern int unknown1();' || chr(10) || 'int f(' || CASE WHEN m
 FROM a"""
 
 
-QUERIES = {"input_sweep": input_sweep, "requirement_bounds": requirement_bounds, "binder_clauses": binder_clauses, "source_constants": source_constants, "loop_annotations": loop_annotations, "counter_domains": counter_domains, "oracle_programs": oracle_programs}
-ORACLE = {"input_sweep": _sweep_sql(), "requirement_bounds": REQUIREMENT_BOUNDS, "binder_clauses": BINDER_CLAUSES, "source_constants": SOURCE_CONSTANTS, "loop_annotations": LOOP_ANNOTATIONS, "counter_domains": COUNTER_DOMAINS, "oracle_programs": ORACLE_PROGRAMS}
+QUERIES = {"program_sweep": program_sweep, "requirement_bounds": requirement_bounds, "binder_clauses": binder_clauses, "source_constants": source_constants, "loop_annotations": loop_annotations, "counter_domains": counter_domains, "oracle_programs": oracle_programs}
+ORACLE = {"program_sweep": _sweep_sql(), "requirement_bounds": REQUIREMENT_BOUNDS, "binder_clauses": BINDER_CLAUSES, "source_constants": SOURCE_CONSTANTS, "loop_annotations": LOOP_ANNOTATIONS, "counter_domains": COUNTER_DOMAINS, "oracle_programs": ORACLE_PROGRAMS}
