@@ -55,21 +55,34 @@ def renamed_function(found: Column) -> Column:
     return let(found, lambda ts: let(F.array_position(called(ts), True), lambda at: F.transform(ts, lambda t, i: F.when(i + 1 == at, F.lit("FUNC")).otherwise(t))))
 
 
+_TOKENS, _ORACLE, _NAME, _KEPT = re.compile(TOKEN, re.ASCII), re.compile(ORACLE_NAMES), re.compile(r"[A-Za-z_]"), frozenset(KEYWORDS)
+_NUMBER, _SMALL = re.compile(r"\d+|0[xX][0-9A-Fa-f]+", re.ASCII), re.compile(r"(?:0[xX])?0*[01]")
+
+
+def _renamed(tokens: list[str]) -> list[str]:
+    seen: dict[str, str] = {}
+    return ["NONDET" if _ORACLE.match(t) else t if t in _KEPT or not _NAME.match(t) else seen.setdefault(t, f"v{len(seen)}") for t in tokens]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def alpha(found):
     """Names become v0, v1, ... by first use; the input oracle becomes NONDET; keywords stay.
 
     A running numbering over a text of any length needs a table of names, which array functions search anew for every token.
     """
-    keep, oracle, name = frozenset(KEYWORDS), re.compile(ORACLE_NAMES), re.compile(r"[A-Za-z_]")
+    return found.map(lambda tokens: None if tokens is None else _renamed(tokens))
 
-    def one(tokens):
-        if tokens is None:
+
+def renamed_text(text: Column, numbers: bool = False) -> Column:
+    """The tokens of ``alpha``, and with ``numbers`` of ``abstract_numbers``, with single spaces; the text is cut into tokens in the batch, and none of them crosses as a value of its own."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
             return None
-        seen: dict[str, str] = {}
-        return ["NONDET" if oracle.match(t) else t if t in keep or not name.match(t) else seen.setdefault(t, f"v{len(seen)}") for t in tokens]
+        out = _renamed(_TOKENS.findall(t))
+        return " ".join(["NUM" if _NUMBER.fullmatch(x) and not _SMALL.fullmatch(x) else x for x in out] if numbers else out)
 
-    return found.map(one)
+    return F.pandas_udf(lambda texts: texts.map(one), "string")(without_comments(text))
 
 
 def abstract_numbers(found: Column) -> Column:
@@ -137,14 +150,19 @@ def _skeleton(found: list[str], operators: bool) -> str:
     return " ".join(w for plain, run in runs for part in (list(run)[:1] if plain else run) for w in part)
 
 
+def _of_tokens(text: Column, one) -> Column:
+    """A text's value by a function of its tokens, which are cut in the batch."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: one(_TOKENS.findall(t)), na_action="ignore"), "string")(without_comments(text))
+
+
 def control_profile(text: Column) -> Column:
     """The first loop: kind of guard, capped counts of if, else and compound tests, and whether break, continue, return, goto and an inner loop occur."""
-    return F.pandas_udf(lambda found: found.map(lambda ts: None if ts is None else _profile(list(ts))), "string")(tokens(text))
+    return _of_tokens(text, _profile)
 
 
 def control_skeleton(text: Column, operators: bool = False) -> Column:
     """Control words and braces of the first loop's body in order; what stands between is STMT once. Conditions are left out, or leave their operators."""
-    return F.pandas_udf(lambda found: found.map(lambda ts: None if ts is None else _skeleton(list(ts), operators)), "string")(tokens(text))
+    return _of_tokens(text, lambda found: _skeleton(found, operators))
 
 
 def signature(found: Column) -> Column:
