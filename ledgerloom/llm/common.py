@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import secrets
 
 import numpy as np
@@ -92,6 +94,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system. A Python worker serves one stage after another and would keep the most that any of them held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- hashes -----------------------------------------------------------------------
 
 

@@ -34,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, col, mix, packed, row_chunks, text_bytes, unpacked
+from .common import U64, col, give_back, mix, packed, row_chunks, text_bytes, unpacked
 
+AT_ONCE = 128
 DIMS, PER_LANGUAGE, CENTROIDS, SLACK, NEAREST, FARTHEST, ENOUGH, MOST_LANGUAGES, MOST_SAMPLE, ROUNDS = 4096, 400, 4, 1.1, 0.8, 0.93, 30, 8000, 8000, 8
 UNKNOWN, MADE = "und", ("lang_pred", "score", "rejected")
 
@@ -81,11 +82,11 @@ def counts_of(text: bytes, dims: int) -> tuple[np.ndarray, bool]:
 
 
 def _vectors(column: pa.Array, dims: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, counts, has a letter) for at most 128 rows at a time, so that dense counts stay at a few megabytes."""
+    """(first row, counts, has a letter) for at most ``AT_ONCE`` rows at a time, so that dense counts stay at a few megabytes."""
     data, offsets = text_bytes(column)
     for lo, hi in row_chunks(offsets, 1 << 20):
-        for a in range(lo, hi, 128):
-            b = min(a + 128, hi)
+        for a in range(lo, hi, AT_ONCE):
+            b = min(a + AT_ONCE, hi)
             counts, some = np.empty((b - a, dims), np.float32), np.empty(b - a, bool)
             for k in range(a, b):
                 counts[k - a], some[k - a] = counts_of(data[offsets[k] : offsets[k + 1]].tobytes(), dims)
@@ -157,6 +158,7 @@ def fit(labelled: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE,
     per_language = max(1, min(per_language, MOST_SAMPLE // len(sizes)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         total = np.zeros(dims, np.int64)
         for batch in batches:
             for _, counts, _ in _vectors(batch.column(0), dims):
@@ -203,6 +205,7 @@ def _spread(rows: DataFrame, model: Centroids, dims: int) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         m = sent.value
         number = {lang: k for k, lang in enumerate(m.languages)}
         most, many = np.zeros(len(m.limits)), np.zeros(len(m.limits), np.int64)
@@ -226,6 +229,7 @@ def _predicted(docs: DataFrame, model: Centroids, dims: int, text: str) -> DataF
     source = packed(docs, col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         m = sent.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:

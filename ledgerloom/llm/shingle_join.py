@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, NOT_SPACE, materialize, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
+from .common import ASCII_LOWER, NOT_SPACE, give_back, materialize, row_chunks, text_bytes, window_hashes, word_hashes, word_spans
 from .components import components
 
 WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
@@ -73,6 +73,7 @@ def hot_shingles(docs: DataFrame, words: int, dense: int, sampled: int, seed: in
     """Common shingles of one text in ``sampled``, sorted, and their ranks from rare to common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = list(shingle_sets(batch.column(0).slice(at, 256), words, seed))
@@ -92,6 +93,7 @@ def prefixes(docs: DataFrame, words: int, similar: tuple[int, int], hot: tuple[n
     common, rank = hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -145,12 +147,14 @@ def verified(pairs: DataFrame, whole: DataFrame | None, found: DataFrame, docs:
     wanted = materialize(found.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("text_hash").alias("text_hash")).select(F.col("text_hash").alias("__hash")).distinct(), "wanted")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = list(shingle_sets(batch.column(0).slice(at, 512), words, seed))
                 yield pa.RecordBatch.from_arrays([pa.array([_name(s, seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             near = []
             for a, b in zip(batch.column(2), batch.column(3)):
