@@ -173,22 +173,26 @@ def fit(labelled: DataFrame, dims: int = DIMS, per_language: int = PER_LANGUAGE,
 
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / n)))])
     draw = F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    sample = rows.where(draw < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("text", "lang", draw.alias("draw"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, counts, some in _vectors(batch.column(0), dims):
                 keep = np.flatnonzero(some)
                 x = _weighted(counts[keep], idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(at + keep)), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "vector"])
-
-    got: dict[str, list[np.ndarray]] = {}
-    for r in sample.select("text", "lang").mapInArrow(vectors, "lang string, vector binary").toLocalIterator():
-        if len(got.setdefault(r.lang, [])) < per_language:
-            got[r.lang].append(np.frombuffer(r.vector, np.float16))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at + keep)) for c in (1, 2)], pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "draw", "vector"])
+
+    # The smallest draws of each language, whatever order the partitions arrive in.
+    got: dict[str, list[tuple[float, bytes]]] = {}
+    for r in sample.mapInArrow(vectors, "lang string, draw double, vector binary").toLocalIterator():
+        mine = got.setdefault(r.lang, [])
+        mine.append((r.draw, bytes(r.vector)))
+        if len(mine) >= 2 * per_language:
+            mine.sort()
+            del mine[per_language:]
     languages, places, owner = sorted(got), [], []
     for k, lang in enumerate(languages):
-        c = _clusters(np.stack(got[lang]).astype(np.float32), min(centroids, max(1, MOST_SAMPLE // len(languages))), ROUNDS)
+        c = _clusters(np.stack([np.frombuffer(v, np.float16) for _, v in sorted(got[lang])[:per_language]]).astype(np.float32), min(centroids, max(1, MOST_SAMPLE // len(languages))), ROUNDS)
         places.append(c)
         owner += [k] * len(c)
     classes = int(np.log2(dims)) + 1
