@@ -13,8 +13,9 @@ Words are told apart by two independent 64-bit hashes of their bytes with seeds
 Words are runs of a-z, 0-9 and all non-ASCII characters after A-Z are lower-cased. A
 window is ``size`` consecutive words of one item; an item of fewer words, but not none, is one window.
 
-The benchmark goes to the tasks in blocks of at most ``block_bytes``; there is one pass over
-the documents for each block, and with more than one block their hits are joined per document.
+The benchmark goes to the tasks in blocks of about ``block_bytes`` of text, which take about ten times as many bytes with
+their keys. There is one pass over the documents for each block; with more than one block the driver holds one at a time, each
+one's hits are written before the next is read, and they are joined per document.
 
 Defined results: null texts have no words; an item without words never occurs; a null item_id
 counts as the empty string; items with equal ids count once; repeated and equal rows get equal
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,20 +187,23 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> Iterator[Block]:
-    """Blocks of items; each is read by itself and holds about ``block_bytes`` of text."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks and the blocks of items; each is read when it is asked for and holds about ``block_bytes`` of text."""
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(text_col, F.lit("")).alias("t"))
     total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 32)).first()[0] or 0
     count = int(-(-total // block_bytes)) or 1
-    for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
-        got = sorted({(r.i, r.t) for r in part.toLocalIterator()})
-        yield Block([i for i, _ in got], [t for _, t in got], size)
 
+    def each() -> Iterator[Block]:
+        for k in range(count):
+            part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k)
+            got = sorted({(r.i, r.t) for r in part.toLocalIterator()})
+            yield Block([i for i, _ in got], [t for _, t in got], size)
 
-def _searched(docs: DataFrame, block: Block) -> DataFrame:
+    return count, each()
+
+
+def _searched(docs: DataFrame, sent: Broadcast) -> DataFrame:
     """(doc_id, text_hash, n_words, spans, items) of each row against one block."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,15 +231,20 @@ def _union_length(spans) -> F.Column:
 def match(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, text_hash, n_words, n_hit, items (sorted ids as strings), spans of hit words."""
     docs = docs.select("doc_id", "text")
-    parts = [_searched(docs, b) for b in _blocks(benchmark, "item_id", "text", size, block_bytes)]
-    if len(parts) == 1:
-        found = parts[0]
+    count, blocks = _blocks(benchmark, "item_id", "text", size, block_bytes)
+    send = docs.sparkSession.sparkContext.broadcast
+    if count == 1:
+        found = _searched(docs, send(next(blocks)))
     else:
-        one = materialize(parts[0], "words")
-        every = one.select("doc_id", "text_hash", "spans", "items")
-        one = one.select("doc_id", "text_hash", "n_words")
-        for p in parts[1:]:
-            every = every.unionByName(p.select("doc_id", "text_hash", "spans", "items"))
+        parts = []
+        for block in blocks:
+            sent = send(block)
+            del block
+            part = _searched(docs, sent)
+            parts.append(materialize(part.where(F.size("items") > 0).select("doc_id", "text_hash", "spans", "items") if parts else part, "hits" if parts else "words"))
+            sent.destroy()  # what it found is a table by now
+        one = parts[0].select("doc_id", "text_hash", "n_words")
+        every = reduce(DataFrame.unionByName, parts[1:], parts[0].select("doc_id", "text_hash", "spans", "items"))
         some = every.where(F.size("items") > 0).distinct().groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = one.join(some, one["doc_id"].eqNullSafe(some["d"]) & (one["text_hash"] == some["h"]), "left").select("doc_id", "text_hash", "n_words", F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return found.select("doc_id", "text_hash", "n_words", _union_length(F.col("spans")).alias("n_hit"), "items", "spans")
