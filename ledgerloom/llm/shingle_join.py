@@ -8,8 +8,9 @@ sample last, then goes by hash; the sample decides the cost, never the result. P
 and the places of a first shared shingle rule out most others.
 
 A shingle that more than ``dense`` prefixes hold isn't paired up at once. Its holders are compared with a few
-leaders; what then has one root needs no more comparisons. Holders of different roots that are
-left are compared pair by pair, so the result stays exact: only a crowd of texts that share
+leaders; what then has one root needs no more comparisons. Holders outside the commonest root meet those of other
+roots in rounds, about 16 of them in the first, 256 by the second and so on to all; what a round links meets no more,
+and all others meet, so the result stays exact: only a crowd of texts that share
 their rarest shingles and aren't near-duplicates costs more than its size. Components are found on the roots known so far, so
 later rounds have small graphs.
 
@@ -32,6 +33,8 @@ from .common import ASCII_LOWER, NOT_SPACE, give_back, materialize, row_chunks,
 from .components import components
 
 WORDS, SIMILAR, DENSE, LEADERS, SAMPLED, MOST_HOT = 5, (4, 5), 32, 3, 8, 1 << 16
+#: Holders of a crowded shingle that others meet in the first round, and how many times as many there are by each later one.
+WIDTH, WIDER = 16, 16
 PART, BUCKETS = 1 << 14, 64
 
 
@@ -179,7 +182,13 @@ def _joined(whole: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(top.join(whole.select("node"), "node", "left_anti")), "whole")
 
 
-def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], seed: int, dense: int, leaders: int) -> DataFrame:
+def _of_roots(members: DataFrame, whole: DataFrame) -> DataFrame:
+    """``members`` with the root of each set; a set without links is its own."""
+    rooted = whole.select(F.col("node").alias("fp"), "root")
+    return members.join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, similar: tuple[int, int], seed: int, dense: int, leaders: int, width: int) -> DataFrame:
     """(node, root) of the sets that link to another one, from (fp, n, prefix) of all rows and the links known so far."""
     p, q = similar
     check = lambda pairs, whole: _joined(whole, verified(pairs, whole, found, docs, words, similar, seed))
@@ -198,15 +207,13 @@ def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, s
     stars = materialize(stars, "stars")
     whole = check(stars.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v")), whole)
     whole = check(stars.select("u", "v"), whole)
-    rooted = whole.select(F.col("node").alias("fp"), "root")
-    members = held.select("h", "m", "fp", "n", "at").join(rooted, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    members = materialize(members, "members")
+    members = materialize(_of_roots(held.select("h", "m", "fp", "n", "at"), whole), "members")
     apart = materialize(members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "apart")
     members = materialize(members.join(apart, "h"), "open")
     few = members.where(F.col("m") <= dense)
     other = few.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     pairs = few.withColumnRenamed("fp", "u").join(other, "h").where((F.col("u") < F.col("v")) & (F.col("root") != F.col("root2")) & fits).select("u", "v")
-    crowd = members.where(F.col("m") > dense).drop("m")
+    crowd = members.where(F.col("m") > dense)
     crowded = not crowd.isEmpty()
     if crowded and leaders:
         led = F.struct(F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
@@ -216,15 +223,22 @@ def completed(docs: DataFrame, found: DataFrame, links: DataFrame, words: int, s
     whole = check(pairs, whole)
     if not crowded:
         return whole
-    members = crowd.drop("root").join(whole.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    members = materialize(members, "members")
-    apart = materialize(members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h"), "apart")
-    if apart.isEmpty():
-        return whole
-    # The holders outside the commonest root of a shingle, with all holders of other roots.
-    open_ = materialize(members.join(apart, "h"), "open")
-    sizes = open_.groupBy("h", "root").agg(F.count("*").alias("c"))
-    main = materialize(sizes.groupBy("h").agg(F.max_by("root", "c").alias("main")), "main")
-    rest = open_.join(main, "h").where(F.col("root") != F.col("main")).drop("main").withColumnRenamed("fp", "u")
-    all_ = open_.select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
-    return check(rest.join(all_, "h").where((F.col("root") != F.col("root2")) & fits).select("u", "v"), whole)
+    # The holders outside the commonest root of a shingle, with all holders of other roots: a few at a time, so that what has been linked by then meets no more.
+    members = materialize(_of_roots(crowd.drop("root"), whole), "members")
+    sizes = members.groupBy("h", "root").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("h").agg(F.max_by("root", "c").alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    main = materialize(main.select("h", "main"), "main")
+    place = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / float(1 << 30) * F.col("m")  # 0 to m, in an order that has nothing to do with the texts
+    members = materialize(members.join(main, "h").select("h", "m", "fp", "n", "at", "root", (F.col("root") != F.col("main")).alias("rest"), place.alias("place")), "open")
+    most, low, high = members.agg(F.max("m")).first()[0] or 0, 0, width
+    while low < most:
+        some = members.where((F.col("place") >= low) & (F.col("place") < high)).select("h", F.col("fp").alias("v"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+        pairs = members.where("rest").withColumnRenamed("fp", "u").join(some, "h")
+        whole = check(pairs.where((F.col("root") != F.col("root2")) & fits).select("u", "v"), whole)
+        low, high = high, high * WIDER
+        if low < most:
+            members = materialize(_of_roots(members.drop("root"), whole), "members")
+            apart = materialize(members.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("largest")).where("least <> largest").select("h"), "apart")
+            members = materialize(members.join(apart, "h"), "open")
+            most = members.agg(F.max("m")).first()[0] or 0
+    return whole

@@ -258,7 +258,7 @@ def set_links(found: DataFrame, distance: int, dense: int) -> DataFrame:
     return sets.join(least, "root").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = shingle_join.WORDS, similar: tuple[int, int] = shingle_join.SIMILAR, distance: int = DISTANCE, dense: int = DENSE, crowded: int = shingle_join.DENSE, leaders: int = shingle_join.LEADERS, sampled: int = shingle_join.SAMPLED) -> DataFrame:
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = shingle_join.WORDS, similar: tuple[int, int] = shingle_join.SIMILAR, distance: int = DISTANCE, dense: int = DENSE, crowded: int = shingle_join.DENSE, leaders: int = shingle_join.LEADERS, sampled: int = shingle_join.SAMPLED, width: int = shingle_join.WIDTH) -> DataFrame:
     """One row of ``docs`` for each group of near-duplicates, that with the smallest id (null last), then the smallest text hash.
 
     Two texts link if their sets of ``size``-word shingles have a Jaccard similarity of ``similar`` (a ratio) or more; links are transitive.
@@ -268,7 +268,7 @@ def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = shingle_join.hot_shingles(source, size, crowded, sampled, seed)
     found = materialize(shingle_join.prefixes(source, size, similar, hot, seed), "prefixes")
     near = shingle_join.verified(set_links(found, distance, dense), None, found, source, size, similar, seed)
-    whole = shingle_join.completed(source, found, near, size, similar, seed, crowded, leaders)
+    whole = shingle_join.completed(source, found, near, size, similar, seed, crowded, leaders, width)
     roots = materialize(whole.withColumnRenamed("node", "fp"), "roots")
     rows = found.select("doc_id", "text_hash", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return _without(docs, _others(rows), _repeats(found), id_col, text_col)

@@ -64,11 +64,11 @@ def planted(seed):
     return [(i, " ".join(x)) for i, x in enumerate(r.sample(rows, len(rows)))] + [(5000, None), (5001, " \n ")]
 
 
-@pytest.mark.parametrize(("dense", "leaders", "sampled"), [(32, 3, 8), (4, 0, 1)])
-def test_all_pairs(spark, dense, leaders, sampled):
+@pytest.mark.parametrize(("dense", "leaders", "sampled", "width"), [(32, 3, 8, 16), (4, 0, 1, 4)])
+def test_all_pairs(spark, dense, leaders, sampled, width):
     rows = planted(dense)
     df = spark.createDataFrame([(*x, "x") for x in rows], "doc_id long, text string, root string").repartition(4)
-    got = simhash.keep_similar(df, crowded=dense, leaders=leaders, sampled=sampled)
+    got = simhash.keep_similar(df, crowded=dense, leaders=leaders, sampled=sampled, width=width)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == sorted(min(g)[0] for g in kept(rows))
 
