@@ -43,13 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, row_chunks, text_bytes
+from .common import col, give_back, row_chunks, text_bytes
 
 SPACE = "▁"
 MARK = ord(SPACE)
 CACHE_PAIRS, PAIR_BITS = 400_000, 21
 LONG, FRAME, FRAMES, PART = 1 << 18, 1 << 14, 4, 1 << 16
-CHUNK, WIDE, FEW = 1 << 20, 256, 24
+CHUNK, WIDE, FEW = 1 << 18, 256, 24
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -550,6 +550,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", with_
                 if with_ids:
                     made["token_ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(1), *[made[n] for n, _ in outputs]], names=["row", *[n for n, _ in outputs]])
+        give_back()
 
     found = source.mapInArrow(run, schema)
     return found.select(*[F.col("row").getField(str(k)).alias(c) for k, c in enumerate(keep)], *[n for n, _ in outputs])
