@@ -174,28 +174,47 @@ def surviving(distinct: DataFrame, broken: DataFrame) -> DataFrame:
     return distinct.join(broken.select("group_id", "key").distinct(), ["group_id", "key"], "left_anti")
 
 
-def score(rollouts: DataFrame, broken: DataFrame, rejecting: DataFrame, traces: DataFrame, variant: str = "full", weights: Weights = Weights()) -> DataFrame:
+def trace_classes(rejecting: DataFrame) -> DataFrame:
+    """(group_id, trace_id, key, weight): of the traces of a group with the same keys only the first, and how many they are.
+
+    rejecting: (group_id, trace_id, key), repeats allowed; or classes already, of which those that have become alike are put together.
+    """
+    of_trace = F.max("weight") if "weight" in rejecting.columns else F.lit(1).cast("long")
+    sets = rejecting.groupBy("group_id", "trace_id").agg(F.array_sort(F.collect_set("key")).alias("keys"), of_trace.alias("weight"))
+    # A null trace stays by itself, since it is equal to none.
+    alike = sets.groupBy("group_id", F.isnull("trace_id"), "keys").agg(F.min("trace_id").alias("trace_id"), F.sum("weight").alias("weight"))
+    return alike.select("group_id", "trace_id", F.explode("keys").alias("key"), "weight")
+
+
+def score(rollouts: DataFrame, broken: DataFrame, rejecting: DataFrame, traces: DataFrame, variant: str = "full", weights: Weights = Weights(), distinct: DataFrame | None = None) -> DataFrame:
     """One row per rollout with its reward.
 
     rollouts: (group_id, rollout_index, clauses). broken: (group_id, key) of clauses false in a positive. rejecting: (group_id,
-    trace_id, key) of clauses false in a negative. traces: (group_id, n_traces); a group without a row has none.
+    trace_id, key) of clauses false in a negative, or the same by ``trace_classes``. traces: (group_id, n_traces); a group without a row has none.
+    distinct: ``keyed(admitted(rollouts))``, where it has been written already.
     """
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {', '.join(VARIANTS)}")
     entered = admitted(rollouts, weights.most_clauses)
-    distinct = materialize(keyed(entered), "clauses")
+    distinct = materialize(keyed(entered), "clauses") if distinct is None else distinct
     alive = surviving(distinct, broken)
     one = ["group_id", "rollout_index"]
     sizes = distinct.groupBy(*one).agg(F.count("*").alias("n_keys"), F.sum("repeats").alias("repeats"))
     alive_sizes = alive.groupBy(*one).agg(F.count("*").alias("n_alive"))
-    # The (rollout, trace) pairs of a group are the rejection matrix without its zeros; f is its column sum. Written once, since
-    # three groupings read it and the states behind it are by far the largest input.
-    hits = materialize(alive.select(*one, "key").join(rejecting, ["group_id", "key"]).select(*one, "trace_id").distinct(), "hits")
-    shared = hits.groupBy("group_id", "trace_id").agg(F.count("*").alias("f"))
-    gains = hits.join(shared, ["group_id", "trace_id"]).groupBy(*one).agg(F.count("*").alias("rejected"), F.sum(1 / F.col("f")).alias("credit"))
+    # Rollouts that reject by the same keys earn the same, and so do traces that the same keys reject: the rejection matrix is kept by classes
+    # of both, without its zeros. f, its column sum, counts the rollouts of a class; a trace class counts as often as it has traces.
+    against = materialize(trace_classes(rejecting.join(alive.select("group_id", "key").distinct(), ["group_id", "key"], "left_semi")), "traces")
+    used = alive.join(against.select("group_id", "key").distinct(), ["group_id", "key"], "left_semi")
+    sets = materialize(used.groupBy(*one).agg(F.array_sort(F.collect_set("key")).alias("keys")), "sets")
+    alike = sets.groupBy("group_id", "keys").agg(F.min("rollout_index").alias("rollout_index"), F.count("*").alias("members"))
+    hits = alike.select(*one, "members", F.explode("keys").alias("key")).join(against, ["group_id", "key"]).select(*one, "members", "trace_id", "weight").distinct()
+    hits = materialize(hits, "hits")
+    shared = hits.groupBy("group_id", "trace_id").agg(F.sum("members").alias("f"), F.max("weight").alias("weight"))
+    earned = hits.join(shared.drop("weight"), ["group_id", "trace_id"]).groupBy(*one).agg(F.sum("weight").alias("rejected"), F.sum(F.col("weight") / F.col("f")).alias("credit"))
+    gains = sets.join(earned.join(alike, one).select("group_id", "keys", "rejected", "credit"), ["group_id", "keys"]).drop("keys")
     union = distinct.groupBy("group_id").agg(F.count_distinct("key").alias("u_keys"))
     union_alive = alive.groupBy("group_id").agg(F.count_distinct("key").alias("u_alive"))
-    union_hits = shared.groupBy("group_id").agg(F.count("*").alias("u_rejected"))
+    union_hits = shared.groupBy("group_id").agg(F.sum("weight").alias("u_rejected"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = entered.drop("clauses")
     for side, on in ((sizes, one), (alive_sizes, one), (gains, one), (traces, "group_id"), (union, "group_id"), (union_alive, "group_id"), (union_hits, "group_id")):
@@ -273,8 +292,11 @@ def score_rollouts(rollouts: DataFrame, examples: DataFrame, scope: DataFrame |
         broken = broken.unionByName(renamed(outside.select("program_id", "key")))
     of_group = lambda df: groups.select(F.col("group_id").alias("g"), F.col("program_id").alias("group_id")).join(df, "group_id").drop("group_id").withColumnRenamed("g", "group_id")
     sizes = renamed(states).groupBy("group_id").agg(F.count_distinct(F.when(~F.col("positive"), F.col("trace_id"))).alias("n_traces"), F.count_if("positive").alias("n_positives"))
-    broken, rejecting, sizes = materialize(of_group(broken), "broken"), of_group(rejecting_of(verdicts)), materialize(of_group(sizes), "sizes")
-    scores = score(rollouts, broken, rejecting, sizes.select("group_id", "n_traces"), variant, weights)
+    # Groups of one program share its traces, so these are put into classes before they are dealt to the groups.
+    against = verdicts.where("trace_id is not null").select("group_id", "trace_id", "key").join(broken.distinct(), ["group_id", "key"], "left_anti")
+    rejecting = of_group(materialize(trace_classes(against), "against"))
+    broken, sizes = materialize(of_group(broken), "broken"), materialize(of_group(sizes), "sizes")
+    scores = score(rollouts, broken, rejecting, sizes.select("group_id", "n_traces"), variant, weights, distinct)
     programs = groups.select("group_id", "program") if include_program else None
     return with_batch_columns(scores, distinct, surviving(distinct, broken), sizes.select("group_id", "n_positives"), "positive", negative_sampler, programs)
 

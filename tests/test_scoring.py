@@ -68,3 +68,27 @@ def test_rows_equal_columns(spark):
     states = spark.createDataFrame([("g", 1, {"x": 1}), ("g", 2, {"x": -1})], "group_id string, trace_id int, vars map<string,bigint>")
     clauses = spark.createDataFrame([("g", "k", "x > 0")], "group_id string, key string, clause string")
     assert [tuple(r) for r in scoring.verdicts_of_rows(states, clauses).collect()] == [("g", 2, "k")]
+
+
+def test_alike_rollouts_and_traces_meet_once(spark, monkeypatch):
+    written = {}
+    keep = scoring.materialize
+    monkeypatch.setattr(scoring, "materialize", lambda df, label: written.setdefault(label, keep(df, label)))
+    kinds = [["a > 0", "b > 0"], ["b > 0"], ["c > 0"], []]
+    rejects = {"a > 0": range(0, 300), "b > 0": range(200, 500), "c > 0": range(500, 501)}
+    lists = [kinds[k % 4] for k in range(120)]
+    out = scored(spark, lists, rejects, 600)
+    hit = [set().union(*[rejects[c] for c in x]) for x in lists]
+    f = {t: sum(t in h for h in hit) for t in range(600)}
+    assert [r.rejected for r in out] == [len(h) for h in hit]
+    assert [r.shapley_credit for r in out] == pytest.approx([sum(1 / f[t] for t in h) / 600 for h in hit])
+    assert {r.batch_score for r in out} == {501 / 600}
+    assert written["hits"].count() <= 3 * 4  # classes of rollouts by classes of traces, not 120 by 600
+
+
+def test_classes_of_traces(spark):
+    rows = spark.createDataFrame([("g", 1, "k"), ("g", 1, "k"), ("g", 2, "k"), ("g", 3, "k"), ("g", 3, "l"), ("h", 1, "k"), ("g", None, "k")], "group_id string, trace_id int, key string")
+    once = scoring.trace_classes(rows)
+    assert {tuple(r) for r in once.collect()} == {("g", 1, "k", 2), ("g", 3, "k", 1), ("g", 3, "l", 1), ("h", 1, "k", 1), ("g", None, "k", 1)}
+    # Without l, trace 3 is like 1 and 2.
+    assert {tuple(r) for r in scoring.trace_classes(once.where("key = 'k'")).collect()} == {("g", 1, "k", 3), ("h", 1, "k", 1), ("g", None, "k", 1)}
