@@ -250,7 +250,8 @@ SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest FROM p
 
 def benchmark_contained(spark: Spark, sf_dir: str) -> DataFrame:
     """Documents that hold the normalised text of a benchmark item, and how many items each holds."""
-    norm = lambda c: X.spaces(F.lower(c))
+    # Single spaces stay as they are; white space is what it is in the SQL, so without the vertical tab.
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\f\r]{2,}|[\t\n\f\r]", " "))
     return overlap.containing(table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("text")), table(spark, sf_dir, "benchmark").select(norm(F.col("text")).alias("item")))
 
 

@@ -1,13 +1,19 @@
 """Values and rules that results depend on: moves, print budget, clause words and reasons, loop profiles, quality gates."""
 
+import random
+from collections import Counter
 from itertools import combinations
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import clauses as C
+from ledgerloom.functions import needles
 from ledgerloom.functions import text as X
 from ledgerloom.operators import audits, candidates, overlap, sanitize, selection
+from ledgerloom.plans import corpora
 
 
 def test_pairs_move_by_every_step(spark):
@@ -78,3 +84,38 @@ def test_containing(spark):
     texts = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x a b c"), (3, "b c d e f g h i k"), (4, "")], "doc_id int, text string")
     items = spark.createDataFrame([("b c d e f g h i",), ("b c d e f g h i j",), ("a b c",), ("",), ("a b c",)], "item string")
     assert {r.doc_id: r["items"] for r in overlap.containing(texts, items).collect()} == {1: 3, 2: 1, 3: 1}
+
+
+def test_containing_anywhere(spark):
+    rng = random.Random(3)
+    word = lambda most: "".join(rng.choice("aé\U0001f600 ") for _ in range(rng.randint(1, most)))
+    texts = [word(200) for _ in range(60)] + ["concatenated", "ab" * 400, None, ""]
+    items = sorted({t[a : a + n] for t in texts if t for a in range(0, len(t), 37) for n in (1, 3, 16, 31, 32, 33, 70)} | {"cat", "ab" * 100 + "a", "ab" * 100 + "c", word(40)})
+    rows = spark.createDataFrame([(k % 50, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    names = spark.createDataFrame([(i,) for i in items], "item string")
+    want = Counter()
+    for k, t in enumerate(texts):
+        want[k % 50] += sum(i in (t or "") for i in items)  # each row of a doc_id counts
+    for most in (1 << 20, 2000):  # one block, and several
+        assert {r.doc_id: r["items"] for r in overlap.containing(rows, names, most).collect()} == {k: n for k, n in want.items() if n}
+
+
+@pytest.mark.parametrize("piece", [1, 40, 1 << 18])
+def test_needles_by_pieces(monkeypatch, piece):
+    monkeypatch.setattr(needles, "PIECE", piece)
+    texts = ["b" + "ab" * 60 + "xyz" * 20, None, "", "xyzx"]
+    items = ["ab", "ba" * 17, "xyz" * 15, "ab" * 60 + "x", "ab" * 60 + "y", "zx", "q", "x"]
+    column = pa.array(["left out", *texts])[1:]
+    assert needles.Needles(items).held(column).tolist() == [sum(i in (t or "") for i in items) for t in texts]
+    assert needles.Needles([]).held(column).tolist() == [0, 0, 0, 0]
+
+
+def test_contained_as_the_sql_says(spark, tmp_path):
+    text = "Concatenated  words\tof the\nbenchmark, and\x0bmore"
+    spark.createDataFrame([(1, text), (1, "of the bench"), (2, "OF  THE"), (None, "of the b"), (3, None)], "doc_id int, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("OF\nTHE B",), ("cat",), ("words of",), ("and more",), ("and\x0bmore",), ("  ",), (None,)], "text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = set(duck.execute(corpora.BENCHMARK_CONTAINED).fetchall())
+    assert {tuple(r) for r in corpora.benchmark_contained(spark, str(tmp_path)).collect()} == want and (1, 5) in want
