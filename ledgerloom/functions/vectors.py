@@ -8,6 +8,7 @@ Integers are exact: 64-bit arrays where the operands are too small to overflow,
 from __future__ import annotations
 
 import ast
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,13 @@ def variables(maps: pa.Array) -> dict[str, Values]:
     return out
 
 
+@lru_cache(maxsize=10_000)
+def _parsed(clause: str) -> tuple[ast.expr | None, frozenset[str]]:
+    """A clause's syntax tree and its variables."""
+    tree = syntax(clause)
+    return tree, frozenset() if tree is None else frozenset(named(tree))
+
+
 class Block:
     """States whose variables are arrays."""
 
@@ -72,14 +80,14 @@ class Block:
     def truth(self, clause: str) -> Values:
         """Where a clause holds, and where that is known."""
         none = (np.zeros(self.n, bool), np.zeros(self.n, bool))
-        tree = syntax(clause)
-        if tree is None or any(name not in self.columns for name in named(tree)):
+        tree, names = _parsed(clause)
+        if tree is None or any(name not in self.columns for name in names):
             return none
         try:
             value, known = self._truth(tree)
         except LookupError:
             return none
-        for name in named(tree):
+        for name in names:
             known = known & self.columns[name][1]
         return value & known, known
 

@@ -1,140 +1,187 @@
 """Input sweeps: runs for many programs from ordered generators, admitted if new and allowed by the program's requirement.
 
-Each generator numbers its candidates; an input tuple belongs to the earliest candidate that gives it, and a program takes its first
-``n_runs``. A generator runs for the programs that are still short of runs, so the large grids are made for few.
+Each generator has its candidates in order; an input tuple belongs to the earliest candidate that gives it, and a program takes its first
+``n_runs``. A program's candidates are made in its own task, as arrays of bounded size, and only until it has its runs, so no candidate leaves a task
+and the large grids are made for few.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions import vectors
 from ..session import materialize
-from .scoring import truths
 
 #: The tiers of near inputs, their default range, and the number, band and greatest magnitude of far probes.
 TIERS = (0, 1, 2, -1, 3, 5, 8, -2, 10, 17, 4, -3, 25, 6, 40, 7, -5, 13, 50, 9)
 LEAST, MOST = -64, 64
 FAR, BAND, FARTHEST, OFFSETS = 3, 149, 512, 12
+#: Programs of a task, values of an array of candidates, and candidates of a grid's first one.
+PROGRAMS, CELLS, FEW = 1000, 1 << 16, 512
+_NUMBER = re.compile(r"(?<![A-Za-z_])-?\d+", re.ASCII)
+_FITS = range(-(1 << 63), 1 << 63)
 
 
-def _at(values: str, j: Column) -> Column:
-    return F.get(F.col(values), j)
-
-
-def _tier(digit: Column, j: Column) -> Column:
-    """A tier moved into the range of input j."""
-    c = F.get(F.array(*[F.lit(t) for t in TIERS]), F.pmod(digit, F.lit(len(TIERS))).cast("int")).cast("long")
-    low, high = F.coalesce(_at("least", j), F.lit(LEAST)), F.coalesce(_at("greatest", j), F.lit(MOST))
-    raised = F.when(high > low, low + F.pmod(c, F.greatest(high - low + 1, F.lit(1)))).otherwise(low)
-    return F.least(F.when(c < low, raised).otherwise(c), high)
+class Inputs:
+    """The inputs of one program: their bounds, and their tiers moved into these."""
 
+    def __init__(self, n: int, least: list[int | None] | None, most: list[int | None] | None, seed: int):
+        at = lambda values, j: values[j] if values is not None and j < len(values) else None
+        self.n, self.seed, self.bounds = n, seed, [(at(least, j), at(most, j)) for j in range(n)]
+        self.tiers = np.array([self._tiers(*b) for b in self.bounds], np.int64).reshape(n, len(TIERS))
 
-def _held(value: Column, j: Column) -> Column:
-    """A value held to the bounds of input j, if it has any."""
-    low, high = _at("least", j), _at("greatest", j)
-    value = F.when(low.isNotNull() & (value < low), low).otherwise(value)
-    return F.when(high.isNotNull() & (value > high), high).otherwise(value)
+    @staticmethod
+    def _tiers(low: int | None, high: int | None) -> list[int]:
+        low, high = LEAST if low is None else low, MOST if high is None else high
+        raised = lambda c: low + c % (high - low + 1) if high > low else low
+        return [min(raised(c) if c < low else c, high) for c in TIERS]
 
+    def tier(self, digits: np.ndarray) -> np.ndarray:
+        """Tiers of the inputs by their digits, a row for each candidate."""
+        return self.tiers[np.arange(self.n), digits % len(TIERS)]
 
-def _each(value) -> Column:
-    return F.when(F.col("inputs") > 0, F.transform(F.sequence(F.lit(0), F.col("inputs") - 1), lambda j: value(j).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    def held(self, value: int, j: int) -> int:
+        """A value held to the bounds of input j, if it has any."""
+        low, high = self.bounds[j]
+        value = low if low is not None and value < low else value
+        return high if high is not None and value > high else value
 
 
-def far_probes(programs: DataFrame, seed: int) -> DataFrame:
+def far_probes(x: Inputs) -> np.ndarray:
     """Far inputs: magnitudes of a band each with changing signs; for several inputs also positive ones in falling and rising order."""
-    each = programs.where("inputs > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.when(F.col("inputs") > 1, FAR + 1).otherwise(FAR - 1))))
-    k, n = F.col("at"), F.col("inputs")
 
-    def value(j: Column) -> Column:
-        h = (F.lit(seed * 1000003) + k * 8191 + j * 131) % BAND
-        rank = F.when(k % 2 == 1, j).otherwise(n - 1 - j)
-        ordered = F.greatest(F.lit(65), F.lit(FARTHEST) - rank * F.floor(F.lit(FARTHEST) / F.greatest(n, F.lit(2))) - h)
-        free = F.least(65 + k * BAND + h, F.lit(FARTHEST)) * F.when((k + seed + j) % 2 == 1, -1).otherwise(1)
-        return _held(F.when(k >= FAR, ordered).otherwise(free).cast("long"), j)
+    def value(k: int, j: int) -> int:
+        h = x.seed * 1000003 + k * 8191 + j * 131
+        h = abs(h) % BAND * (1 if h >= 0 else -1)
+        if k >= FAR:
+            rank = j if k % 2 else x.n - 1 - j
+            return max(65, FARTHEST - rank * (FARTHEST // max(x.n, 2)) - h)
+        turn = k + x.seed + j
+        return min(65 + k * BAND + h, FARTHEST) * (-1 if turn > 0 and turn % 2 else 1)
 
-    return each.withColumn("values", _each(value))
+    rows = [[x.held(value(k, j), j) for j in range(x.n)] for k in range((FAR + 2 if x.n > 1 else FAR) if x.n else 0)]
+    return np.array(rows, np.int64).reshape(len(rows), x.n)
 
 
-def stripe(programs: DataFrame, seed: int, n_runs: int) -> DataFrame:
+def stripe(x: Inputs, n_runs: int) -> np.ndarray:
     """All inputs move through the tiers together; a program without inputs has one candidate."""
-    last = F.when(F.col("inputs") > 0, max(n_runs * 4, 80) - 1).otherwise(0)
-    each = programs.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
-    return each.withColumn("values", _each(lambda j: _tier(F.col("at") + j * 7 + seed, j)))
+    if not x.n:
+        return np.zeros((1, 0), np.int64)
+    return x.tier(np.arange(max(n_runs * 4, 80))[:, None] + np.arange(x.n) * 7 + x.seed)
 
 
-def grid(programs: DataFrame, seed: int, n_runs: int) -> DataFrame:
+def grid(x: Inputs, n_runs: int) -> Iterator[np.ndarray]:
     """Combinations of tiers, counted with a least significant input that rotates."""
-    each = programs.where("inputs > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(max(n_runs * 400, 4000) - 1))))
-    turn, r = F.col("at") % F.col("inputs"), F.floor(F.col("at") / F.col("inputs"))
-    return each.withColumn("values", _each(lambda j: _tier(F.floor(r / F.pow(F.lit(float(len(TIERS))), F.pmod(j - turn, F.col("inputs")))) + seed, j)))
-
-
-def targeted(programs: DataFrame, seed: int) -> DataFrame:
+    last, at, step = max(n_runs * 400, 4000), 0, FEW
+    powers, place = [1], np.arange(x.n)
+    while powers[-1] < last and len(powers) < x.n:
+        powers.append(powers[-1] * len(TIERS))
+    powers = np.array(powers)
+    while at < last:
+        c = np.arange(at, min(at + min(step, CELLS // x.n or 1), last))[:, None]
+        at, step = int(c[-1, 0]) + 1, CELLS
+        # Beyond the largest power all digits are 0, as they are at it.
+        yield x.tier(c // x.n // powers[np.minimum((place - c % x.n) % x.n, len(powers) - 1)] + x.seed)
+
+
+def targeted(x: Inputs, requires: str) -> Iterator[np.ndarray]:
     """Each number of the requirement with small offsets: put on one input, or as the distance of one input from another."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all("requires", F.lit(r"((?<![A-Za-z_])-?\d+)"), 1), lambda x: x.cast("long")))
-    n = F.col("inputs")
-    numbered = F.transform(F.array_sort(found), lambda v, k: F.struct(k.alias("k"), v.alias("v")))
-    each = programs.where("inputs > 0 and requires <> ''").withColumn("number", F.explode(numbered))
-    each = each.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn("q", F.explode(F.sequence(F.lit(0), n * n - 1)))
-    pair, others = F.col("q") - n, F.greatest(n - 1, F.lit(1))
-    left = F.when(pair < 0, F.col("q")).otherwise(F.floor(pair / others))
-    right = F.when(pair >= 0, pair % others + F.when(pair % others >= F.floor(pair / others), 1).otherwise(0))
-    offset = F.get(F.array(*[F.lit(t) for t in TIERS[:OFFSETS]]), F.col("o")).cast("long")
-    each = each.select(*programs.columns, ((F.col("number.k") * OFFSETS + F.col("o")) * n * n + F.col("q")).alias("at"), left.alias("left"), right.alias("right"), offset.alias("offset"), F.col("o"), F.col("number.v").alias("number"))
-
-    def value(j: Column) -> Column:
-        on_left, on_right = _held(F.col("number") + F.col("offset"), j), _held(F.col("offset"), j)
-        return F.when(j == F.col("left"), on_left).when(F.col("right").isNotNull() & (j == F.col("right")), on_right).otherwise(_tier(F.col("o") + j + seed, j))
-
-    return each.withColumn("values", _each(value)).drop("left", "right", "offset", "o", "number")
-
-
-def _allowed(candidates: DataFrame) -> DataFrame:
-    """The candidates whose program has no requirement, or one that is true of them. Inputs are renamed, since any name may stand in a requirement."""
-    free, bound = candidates.where("requires = ''"), candidates.where("requires <> ''")
-    alias = lambda j: F.concat(F.lit("in__"), j.cast("string"))
-    pairs = F.transform("names", lambda n, j: F.struct(n.alias("n"), alias(j).alias("a")))
-    renamed = F.aggregate(pairs, F.col("requires"), lambda text, p: F.regexp_replace(text, F.concat(F.lit(r"\b"), p["n"], F.lit(r"\b")), p["a"]))
-    rules = bound.select("program_id", renamed.alias("clause")).distinct().select(F.col("program_id").alias("group_id"), F.lit("requires").alias("key"), "clause")
-    named = F.flatten(F.transform("values", lambda v, j: F.array(F.struct(alias(j).alias("k"), v.alias("v")), F.struct(F.concat(alias(j), F.lit("__Pre")).alias("k"), v.alias("v")))))
-    states = bound.select(F.col("program_id").alias("group_id"), F.col("at").alias("id"), F.map_from_entries(named).alias("vars"))
-    true = truths(states, rules).select(F.col("group_id").alias("program_id"), F.col("id").alias("at"))
-    return free.unionByName(bound.join(true, ["program_id", "at"], "left_semi"))
+    n, made, size = x.n, [], 0
+    offsets, every = np.array(TIERS[:OFFSETS], np.int64), np.arange(n)
+    base = x.tier(np.arange(OFFSETS)[:, None] + every + x.seed)
+    on_right = np.array([[x.held(int(o), j) for j in range(n)] for o in offsets], np.int64)
+
+    def placed(a: int, b: int):
+        """Offset, left input, right input (or the left one, where there is none) of candidates of a number."""
+        o, q = np.divmod(np.arange(a, b), n * n)
+        pair, others = q - n, max(n - 1, 1)
+        left = np.where(pair < 0, q, pair // others)
+        return o, left, np.where(pair < 0, left, pair % others + (pair % others >= left))
+
+    step = max(CELLS // n, 1)
+    parts = [(a, min(a + step, OFFSETS * n * n)) for a in range(0, OFFSETS * n * n, step)]
+    whole = placed(*parts[0]) if len(parts) == 1 else None
+    for number in sorted({int(v) for v in _NUMBER.findall(requires)}):
+        held = [[x.held(number + int(o), j) for j in range(n)] for o in offsets]
+        fits = np.array([[v in _FITS for v in row] for row in held])
+        on_left = np.array([[v if v in _FITS else 0 for v in row] for row in held], np.int64)
+        for part in parts:
+            o, left, right = whole or placed(*part)
+            rows, each = base[o], np.arange(len(o))
+            rows[each, right] = on_right[o, right]
+            rows[each, left] = on_left[o, left]
+            made.append(rows if fits.all() else rows[fits[o, left]])
+            size += made[-1].size
+            if size >= CELLS:
+                yield np.concatenate(made)
+                made, size = [], 0
+    if made:
+        yield np.concatenate(made)
+
+
+def _candidates(x: Inputs, requires: str, n_runs: int) -> Iterator[np.ndarray]:
+    yield np.concatenate([far_probes(x), stripe(x, n_runs)])
+    if x.n:
+        yield from grid(x, n_runs)
+        yield from targeted(x, requires)
+
+
+def _runs(x: Inputs, requires: str, rule: str | None, n_runs: int) -> list[tuple[int, ...]]:
+    """The first new and allowed candidates. ``rule`` is the requirement with its inputs renamed, since any name may stand in one."""
+    found: dict[tuple[int, ...], None] = {}
+    for rows in _candidates(x, requires, n_runs) if rule is not None else ():
+        if requires:
+            every = np.ones(len(rows), bool)
+            named = {f"in__{j}{end}": (rows[:, j], every) for j in range(x.n) for end in ("", "__Pre")}
+            rows = rows[vectors.Block(named, len(rows)).truth(rule)[0]]
+        for row in map(tuple, rows.tolist()):
+            found.setdefault(row)
+            if len(found) == n_runs:
+                return list(found)
+    return list(found)
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks a table of programs is dealt to."""
+    return -(-rows.count() // PROGRAMS) or 1
 
 
 def sweep(programs: DataFrame, n_runs: int, seed: int = 0) -> DataFrame:
     """(program_id, run, values map of names to numbers) of programs (program_id, names array, requires, single, bounds array<struct<least, greatest>>).
 
     ``single`` programs are deterministic: they have each input once, and without inputs one run. Others repeat their inputs in turn up to ``n_runs``.
-    A program for which no input is found has no rows; see ``without_inputs``.
+    A program for which no input is found has no rows; see ``without_inputs``. Equal rows count once.
     """
     if n_runs < 1:
         raise ValueError("n_runs must be at least 1")
-    prepared = programs.select("program_id", "names", F.coalesce("requires", F.lit("")).alias("requires"), "single", F.size("names").alias("inputs"), F.transform("bounds", lambda b: b["least"]).alias("least"), F.transform("bounds", lambda b: b["greatest"]).alias("greatest"))
-    prepared = materialize(prepared, "programs")
-    phases = [lambda p: far_probes(p, seed), lambda p: stripe(p, seed, n_runs), lambda p: grid(p, seed, n_runs), lambda p: targeted(p, seed)]
-    found = None
-    short = prepared
-    for phase, generate in enumerate(phases):
-        made = generate(short).select("program_id", "names", "requires", F.col("at").cast("long").alias("at"), "values")
-        first = made.groupBy("program_id", "values").agg(F.min("at").alias("at"), F.first("names").alias("names"), F.first("requires").alias("requires"))
-        if found is not None:
-            first = first.join(found.select("program_id", "values"), ["program_id", "values"], "left_anti")
-        new = _allowed(materialize(first, "candidates")).select("program_id", F.lit(phase).alias("phase"), "at", "names", "values")
-        have = new if found is None else found.unionByName(new)
-        # A program has as many candidates as the phase makes, whatever its data: a window is bounded.
-        placed = have.withColumn("run", F.row_number().over(Window.partitionBy("program_id").orderBy("phase", "at")) - 1).where(F.col("run") < n_runs)
-        found = materialize(placed.select("program_id", "phase", "at", "names", "values"), "found")
-        have = found.groupBy("program_id").agg(F.count("*").alias("have"))
-        short = materialize(prepared.join(have, "program_id", "left").where((F.coalesce("have", F.lit(0)) < n_runs) & ((F.col("inputs") > 0) | F.col("have").isNull())).drop("have"), "short")
-        if short.isEmpty():
-            break
-    runs = found.withColumn("run", F.row_number().over(Window.partitionBy("program_id").orderBy("phase", "at")) - 1)
-    sizes = runs.groupBy("program_id").agg(F.count("*").alias("have")).join(prepared.select("program_id", "single"), "program_id")
-    again = F.when(F.col("single"), F.lit(0)).otherwise(F.floor((F.lit(n_runs - 1) - F.col("run")) / F.col("have")).cast("int"))
-    every = runs.join(sizes, "program_id").withColumn("turn", F.explode(F.sequence(F.lit(0), again)))
-    return every.select("program_id", (F.col("run") + F.col("turn") * F.col("have")).cast("int").alias("run"), F.map_from_arrays("names", "values").alias("values"))
+    alias = lambda j: F.concat(F.lit("in__"), j.cast("string"))
+    pairs = F.transform("names", lambda n, j: F.struct(n.alias("n"), alias(j).alias("a")))
+    renamed: Column = F.aggregate(pairs, F.col("requires"), lambda text, p: F.regexp_replace(text, F.concat(F.lit(r"\b"), p["n"], F.lit(r"\b")), p["a"]))
+    rows = programs.withColumn("requires", F.coalesce("requires", F.lit("")))
+    rows = rows.select("program_id", "names", "requires", F.when(F.col("requires") != "", renamed).otherwise(F.lit("")).alias("rule"), "single", F.transform("bounds", lambda b: b["least"]).alias("least"), F.transform("bounds", lambda b: b["greatest"]).alias("greatest"))
+    prepared = materialize(rows.distinct(), "programs")
+    kinds = {c: prepared.schema[c].dataType for c in ("program_id", "names", "single")}
+    schema = pa.schema([*[(c, to_arrow_type(k)) for c, k in kinds.items()], ("found", pa.list_(pa.list_(pa.int64())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c).to_pylist() for c in ("names", "requires", "rule", "least", "greatest")}
+            found = [_runs(Inputs(len(names or ()), least, most, seed), requires, rule, n_runs) for names, requires, rule, least, most in zip(*column.values())]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in kinds], pa.array(found, schema.field("found").type)], schema=schema)
+            yield out.filter(pa.array([bool(f) for f in found], pa.bool_()))
+
+    declared = ", ".join(f"{c} {k.simpleString()}" for c, k in kinds.items()) + ", found array<array<bigint>>"
+    runs = materialize(prepared.repartition(tasks(prepared)).mapInArrow(run, declared), "runs")
+    have = F.size("found")
+    every = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.when(F.col("single"), have - 1).otherwise(F.lit(n_runs - 1)))))
+    return every.select("program_id", "run", F.map_from_arrays("names", F.get("found", F.col("run") % have)).alias("values"))
 
 
 def without_inputs(programs: DataFrame, runs: DataFrame) -> DataFrame:

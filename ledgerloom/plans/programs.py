@@ -27,7 +27,8 @@ def sweep_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def program_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first inputs of each program from far probes, stripe, grid and targeted tuples, each checked by the whole requirement."""
-    found = sweep_programs(spark, sf_dir).select("program_id", P.parameters("source").alias("names"), K.bound_requirement("source").alias("requires"), F.lit(True).alias("single"))
+    rows = sweep_programs(spark, sf_dir)
+    found = rows.repartition(inputs.tasks(rows)).select("program_id", P.parameters("source").alias("names"), K.bound_requirement("source").alias("requires"), F.lit(True).alias("single"))
     runs = inputs.sweep(found.withColumn("bounds", K.bounds("requires", "names")), N_RUNS)
     return runs.select("program_id", "run", F.col("values")["a"].alias("a"), F.col("values")["b"].alias("b"))
 

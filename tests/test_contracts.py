@@ -150,3 +150,28 @@ def test_sweeps_equal_one_program_at_a_time(spark, seed):
     assert failed == {"impossible": "could not construct any input satisfying requires: a > 3 && a < 2", "constant": "could not construct any input satisfying requires: 1 > 2"}
     if not seed:
         assert len(got["keyword"]) == 8 and all(0 <= v["from"] <= v["k"] <= 100 for v in got["keyword"])
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1 << 16])
+def test_candidates_by_arrays_of_any_size(monkeypatch, cells):
+    monkeypatch.setattr(inputs, "CELLS", cells)
+    for name, names, requires, _ in [*PROGRAMS, ("wide", ["a", "b", "c"], f"a == b + {10**17} && c <= {10**25} && b <= {1 << 62}", True)]:
+        alias = {v: f"in__{k}" for k, v in enumerate(names)}
+        rule = re.sub(r"[A-Za-z_]\w*", lambda m: alias.get(m[0], m[0]), requires)
+        bounds = K.bounds_of(requires, names)
+        if name == "wide":
+            bounds = [(a if a is None or abs(a) < 1 << 63 else None, b if b is None or abs(b) < 1 << 63 else None) for a, b in bounds]
+        x = inputs.Inputs(len(names), [a for a, _ in bounds], [b for _, b in bounds], 5)
+        got = [dict(zip(names, r)) for r in inputs._runs(x, requires, rule, 8)]
+        assert len(got) == 8 if name == "wide" else got == plain(names, requires, 8, True, 5), name
+
+
+def test_no_candidate_is_written(spark, monkeypatch):
+    written, keep = [], inputs.materialize
+    monkeypatch.setattr(inputs, "materialize", lambda df, label: written.append(keep(df, label)) or written[-1])
+    rows = [(k, ["a", "b"], f"a == b + {1000 + k}", True) for k in range(6)] + [(0, ["a", "b"], "a == b + 1000", True), (6, ["a"], f"a > 1 && a < {10**25}", True)]
+    rows = spark.createDataFrame(rows, "program_id long, names array<string>, requires string, single boolean").withColumn("bounds", F.array().cast("array<struct<least:bigint,greatest:bigint>>"))
+    out = inputs.sweep(rows, 8).collect()
+    assert sorted((r.program_id, r.run) for r in out) == [(k, n) for k in range(7) for n in range(8)]
+    assert all(r["values"]["a"] == r["values"]["b"] + 1000 + r.program_id for r in out if r.program_id < 6)
+    assert written and max(w.count() for w in written) <= 7  # a row for each program, and none for a candidate
